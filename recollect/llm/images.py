@@ -23,20 +23,26 @@ from pyspark.sql import functions as F
 from recollect.llm.common import checkpointed, need, table
 
 SCALES = (1.0, 0.7071067811865476, 0.5)
-PATCH = 11
+PATCH = 15
 CORNER_SHARE = 0.02
 TABLES, WORD = 10, 24
-RADIUS = 36
-MIN_INLIERS = 5
+RADIUS = 40
+MIN_INLIERS = 4
 SHIFT_CELL, TURN_CELLS, SCALE_CELL = 8.0, 12, 0.5
 _TURNS = 32
 _IMAGES_AT_ONCE = 64
 
 
 def _pattern() -> np.ndarray:
-    """256 pairs of points in the patch, for each of the orientations: (turns, 256, 2, 2), rounded to pixels."""
+    """256 pairs of points in the patch, for each of the orientations: (turns, 256, 2, 2), rounded to pixels.
+
+    A pair lies across the orientation: what is left and right of it is as often
+    lighter as darker, so that the bits, and the words made of them, are spread evenly.
+    """
     rng = np.random.default_rng(20)
-    points = np.clip(rng.normal(0, PATCH / 2.2, (256, 2, 2)), -PATCH + 3, PATCH - 3)
+    points = np.clip(rng.normal(0, PATCH / 1.8, (4000, 2, 2)), 3 - PATCH, PATCH - 3)
+    points[:, 1, 0] = points[:, 0, 0]
+    points = points[np.abs(points[:, 0, 1] - points[:, 1, 1]) >= 4][:256]
     angle = np.arange(_TURNS) * 2 * np.pi / _TURNS
     turn = np.stack([np.stack([np.cos(angle), -np.sin(angle)], -1), np.stack([np.sin(angle), np.cos(angle)], -1)], -2)
     return np.clip(np.rint(np.einsum("tij,pqj->tpqi", turn, points)), -PATCH, PATCH).astype(np.int64)
