@@ -37,9 +37,11 @@ GROUP_PAGES = 4096
 #: The table of split hosts is broadcast up to so many rows, joined by sort-merge beyond.
 BROADCAST_HOSTS = 100_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<script\b.*?(?:</script\s*>|\Z)|<style\b.*?(?:</style\s*>|\Z)|<[a-z/!?][^>]*(?:>|\Z)|[^<\s]+|<", re.S | re.I)
+#: Markup: comments, scripts and styles with what they hold, tags. What lies between is text.
+_MARKUP = re.compile(r"(<!--.*?(?:-->|\Z)|<script\b.*?(?:</script\s*>|\Z)|<style\b.*?(?:</style\s*>|\Z)|<[a-z/!?][^>]*(?:>|\Z))", re.S | re.I)
 _NAME = re.compile(r"</?\s*([a-z][a-z0-9:-]*)", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_ENDED = frozenset("p li td tr option".split())
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,65 +52,66 @@ class Page:
 
     def __init__(self, text: str):
         self.tokens: list[str] = []
-        tag: list[bool] = []
-        where: list[int] = []
         self.places = [""]
         known = {"": 0}
         stack: list[str] = []
-        path, at = "", 0
-        tokens = self.tokens
-        for t in _TOKEN.findall(text):
-            if t[0] != "<" or t == "<":
-                tokens.append(t)
-                tag.append(False)
-                where.append(at)
+        at = 0
+        tokens, runs, kinds, places = self.tokens, [], [], []  # runs of tokens of one kind and place
+        for k, part in enumerate(_MARKUP.split(text)):
+            if not k % 2:
+                if part and (words := part.split()):
+                    tokens += words
+                    runs.append(len(words))
+                    kinds.append(False)
+                    places.append(at)
                 continue
-            m = _NAME.match(t)
-            if m is None or t.startswith(("<!", "<?")):
+            m = _NAME.match(part)
+            if m is None:
                 continue
             name = m[1].lower()
-            if name in ("script", "style"):
+            if name == "script" or name == "style":
                 continue
-            if t[1] == "/":
+            runs.append(1)
+            kinds.append(True)
+            if part[1] == "/":
                 tokens.append(f"</{name}>")
-                tag.append(True)
-                where.append(at)
-                if name in stack:
-                    while stack.pop() != name:
-                        pass
-                    path = "/".join(stack)
-                    at = known.setdefault(path, len(known))
-                    if at == len(self.places):
-                        self.places.append(path)
-                continue
-            if name in ("p", "li", "td", "tr", "option") and stack and stack[-1] == name:
-                stack.pop()  # these end where the next begins
-            if name not in _VOID:
+                places.append(at)
+                if name not in stack:
+                    continue
+                while stack.pop() != name:
+                    pass
+            else:
+                tokens.append(f"<{name}>")
+                if name in _ENDED and stack and stack[-1] == name:
+                    stack.pop()  # these end where the next begins
+                if name in _VOID:
+                    places.append(at)
+                    continue
                 stack.append(name)
-                path = "/".join(stack)
-                at = known.setdefault(path, len(known))
-                if at == len(self.places):
-                    self.places.append(path)
-            tokens.append(f"<{name}>")
-            tag.append(True)
-            where.append(at)
-        self.tag, self.where = np.array(tag, dtype=bool), np.array(where, dtype=np.int64)
+            path = "/".join(stack)
+            at = known.setdefault(path, len(known))
+            if at == len(self.places):
+                self.places.append(path)
+            if part[1] != "/":
+                places.append(at)
+        self.tag, self.where = np.repeat(np.array(kinds, dtype=bool), runs), np.repeat(np.array(places, dtype=np.int64), runs)
+
+
+class _Hashes(dict):
+    """Hashes of strings, remembered up to a bound."""
+
+    def __missing__(self, s: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = self[s] = xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
+        return h
 
 
-_HASHES: dict[str, int] = {}
+_HASHES = _Hashes()
 
 
 def _hash(strings: list[str]) -> np.ndarray:
-    known = _HASHES
-    if len(known) > 300_000:
-        known.clear()
-    out = []
-    for s in strings:
-        h = known.get(s)
-        if h is None:
-            h = known[s] = xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    return np.fromiter(map(_HASHES.__getitem__, strings), dtype=np.uint64, count=len(strings))
 
 
 def keys(page: Page) -> np.ndarray:
@@ -184,15 +187,18 @@ def deduce(tokens: list[np.ndarray], weights: np.ndarray, min_share: float, min_
 def slots_of(page: Page, template: np.ndarray, key: np.ndarray | None = None) -> tuple[list[dict[str, str]], int]:
     """The page's slots (path, text) and the number of its tokens that are template."""
     key = keys(page) if key is None else key
-    fixed = np.isin(key, template)
+    template = np.sort(template)
+    fixed = template[np.minimum(np.searchsorted(template, key), len(template) - 1)] == key if len(template) else np.zeros(len(key), dtype=bool)
     out: list[dict[str, str]] = []
     # a run of words ends at a template token or at a change of place
     data = np.flatnonzero(~fixed & ~page.tag)
     if len(data):
-        walls = np.cumsum(fixed)
+        walls, tokens = np.cumsum(fixed), page.tokens
         cut = np.flatnonzero((walls[data[1:]] != walls[data[:-1]]) | (page.where[data[1:]] != page.where[data[:-1]])) + 1
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(data)]):
-            out.append({"path": page.places[page.where[data[a]]], "text": _html.unescape(" ".join(page.tokens[i] for i in data[a:b].tolist()))})
+            first, last = int(data[a]), int(data[b - 1])
+            text = " ".join(tokens[first : last + 1] if last - first == b - a - 1 else [tokens[i] for i in data[a:b].tolist()])
+            out.append({"path": page.places[page.where[first]], "text": _html.unescape(text) if "&" in text else text})
     return out, int(fixed.sum())
 
 
@@ -252,7 +258,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_size: int = MIN_SI
     classes = merged.groupBy("host", "host_pages", "groups", "vector").agg(F.collect_list("token").alias("tokens")).filter(F.size("tokens") >= min_size)
     template = classes.groupBy("host", "groups").agg(F.flatten(F.collect_list("tokens")).alias("template"))
     template = template.select("host", "template", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
-    counted = placed.join(template, ["host", "part"], "left").select("page_id", "host", "html", "template")
+    # `groups` is carried along so that both uses of the pages have the same columns: they are shuffled once and read twice
+    counted = placed.join(template, ["host", "part"], "left").select("page_id", "host", "html", "groups", "template")
 
     def fill(batches):
         for b in batches:
