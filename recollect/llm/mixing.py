@@ -109,14 +109,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     are dealt as often as they occur. Long documents are not cut. Other columns
     are ignored. An empty table gives an empty schedule.
     """
-    placed, sources = _blocks(_documents(docs, seed), block_tokens)
+    # ids, counts and keys without the texts: what is summed up and ranked below is read from the checkpoint, the texts once
+    placed, sources = _blocks(checkpointed(_documents(docs, seed)), block_tokens)
     slots = schedule(sources, weights, alpha, block_tokens)
     return slots.join(placed.select("source", "block", "doc_id", "tokens"), ["source", "block"]).select("slot", "source", "epoch", "block", "doc_id", "tokens")
 
 
 def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, block_tokens: int = BLOCK_TOKENS, seed: str = SEED) -> DataFrame:
     """``docs`` as they are dealt: each row as often as the schedule deals its block, all columns as they were."""
-    blocks, sources = _blocks(_documents(docs, seed), block_tokens)
+    blocks, sources = _blocks(checkpointed(_documents(docs, seed)), block_tokens)
     times = schedule(sources, weights, alpha, block_tokens).groupBy("source", "block").agg(F.count("*").alias("times"))
     # Rows of equal source and key are equal in doc_id and text; they may lie in neighbouring blocks, so the n-th of them takes
     # the n-th count. The join is on the window's own keys: the texts are shuffled once.
