@@ -28,12 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.arrow_text import mix64
-from recollect.llm.common import checkpointed, need, table
+from recollect.llm.common import checkpointed, need, shuffle_partitions, table
 
 MIN_PAGES = 3
 MIN_SIZE = 3
 MIN_SHARE = 0.5
-GROUP_PAGES = 4096
+GROUP_PAGES = 2048
 #: The table of split hosts is broadcast up to so many rows, joined by sort-merge beyond.
 BROADCAST_HOSTS = 100_000
 
@@ -229,6 +229,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_size: int = MIN_SI
     if large.count() <= BROADCAST_HOSTS:
         large = F.broadcast(large)
     placed = base.join(large, "host", "left").select("page_id", "host", "html", F.coalesce("groups", F.lit(1)).alias("groups"), F.pmod(F.xxhash64("page_id", "html"), F.coalesce("groups", F.lit(1))).cast("int").alias("part"))
+    # an exchange of its own, which the deduction and the extraction both read: the pages are shuffled once
+    placed = placed.repartition(shuffle_partitions(pages.sparkSession), "host", "part")
 
     def sums(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         n, parts = group.num_rows, group["groups"][0].as_py()
@@ -258,7 +260,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_size: int = MIN_SI
     classes = merged.groupBy("host", "host_pages", "groups", "vector").agg(F.collect_list("token").alias("tokens")).filter(F.size("tokens") >= min_size)
     template = classes.groupBy("host", "groups").agg(F.flatten(F.collect_list("tokens")).alias("template"))
     template = template.select("host", "template", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
-    # `groups` is carried along so that both uses of the pages have the same columns: they are shuffled once and read twice
+    # `groups` is carried along so that both uses of the pages have the same columns
     counted = placed.join(template, ["host", "part"], "left").select("page_id", "host", "html", "groups", "template")
 
     def fill(batches):
