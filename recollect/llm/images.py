@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import checkpointed, need, table
+from recollect.llm.common import checkpointed, need, shuffle_partitions, table
 
 SCALES = (1.0, 0.7071067811865476, 0.5)
 PATCH = 15
@@ -112,8 +112,12 @@ def describe(images: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def descriptors(images: DataFrame) -> DataFrame:
-    """(image_id, corner, x, y, scale, angle, d0..d3) of (image_id, width, height, pixels): one byte a pixel, row by row."""
-    names = ["image_id", "corner", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3"]
+    """(image_id, spot, d0..d3) of (image_id, width, height, pixels): one byte a pixel, row by row.
+
+    ``spot`` packs where a corner is and how it lies: x and y in eighths of a pixel
+    (18 bits each), the scale's number (4), the angle in 4096ths of a turn (12).
+    """
+    names = ["image_id", "spot", "d0", "d1", "d2", "d3"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,15 +133,18 @@ def descriptors(images: DataFrame) -> DataFrame:
                     d = describe(np.frombuffer(b"".join(pixels[i] for i in part), np.uint8).reshape(len(part), h, w).astype(float))
                     if len(d["image"]) == 0:
                         continue
-                    order = np.argsort(d["image"], kind="stable")
-                    image = d["image"][order]
-                    nth = np.arange(len(image)) - np.searchsorted(image, image)
-                    bits = d["bits"][order].view(np.int64)
-                    own = np.array([ids[i] for i in part], dtype=np.int64)[image]
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(nth.astype(np.int32)), *[pa.array(d[k][order]) for k in ("x", "y", "scale", "angle")], *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)]], names)
+                    spot = (np.rint(d["x"] * 8).astype(np.int64) << 34) | (np.rint(d["y"] * 8).astype(np.int64) << 16)
+                    spot |= (np.searchsorted(-np.array(SCALES), -d["scale"]) << 12) | (np.rint(d["angle"] * 2048 / np.pi).astype(np.int64) & 4095)
+                    bits = d["bits"].view(np.int64)
+                    own = np.array([ids[i] for i in part], dtype=np.int64)[d["image"]]
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(spot), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)]], names)
+
+    rows = need(images, "image_id", "width", "height", "pixels").filter("image_id is not null and pixels is not null and width < 32768 and height < 32768")
+    return rows.mapInArrow(run, "image_id long, spot long, d0 long, d1 long, d2 long, d3 long")
+
 
-    rows = need(images, "image_id", "width", "height", "pixels").filter("image_id is not null and pixels is not null")
-    return rows.mapInArrow(run, "image_id long, corner int, x double, y double, scale double, angle double, d0 long, d1 long, d2 long, d3 long")
+def _part(c: str, shift: int, bits: int) -> Column:
+    return F.shiftrightunsigned(F.col(c), shift).bitwiseAND(F.lit((1 << bits) - 1))
 
 
 def _word(t: int, prefix: str) -> Column:
@@ -167,29 +174,34 @@ def find_copies(images: DataFrame, radius: int = RADIUS, min_inliers: int = MIN_
     groups = prints.groupBy("p0", "p1").agg(F.min("image_id").alias("first"))
     same = prints.join(groups, ["p0", "p1"]).filter("image_id <> first").select(F.col("first").alias("image_id"), F.col("image_id").alias("copy_id"), F.lit(None).cast("long").alias("inliers"), F.lit(True).alias("identical")).distinct()
     firsts = groups.select(F.col("first").alias("image_id")).distinct()
-    d = checkpointed(descriptors(whole.join(firsts, "image_id", "left_semi")))
-    columns = [c for c in d.columns]
-    keyed = d.select("*", F.posexplode(F.array(*[_word(t, "") for t in range(TABLES)])).alias("t", "word"))
-    a = keyed.select("t", "word", *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = keyed.select("t", "word", *[F.col(c).alias(f"b_{c}") for c in columns])
+    d = descriptors(whole.join(firsts, "image_id", "left_semi"))
+    keys = F.array(*[(F.lit(t << WORD) + _word(t, "")).cast("int") for t in range(TABLES)])
+    # both sides of the join read one exchange of slim rows
+    keyed = d.withColumn("key", F.explode(keys)).repartition(shuffle_partitions(images.sparkSession), "key")
+    columns = d.columns
+    a = keyed.select("key", *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = keyed.select("key", *[F.col(c).alias(f"b_{c}") for c in columns])
     apart = sum((F.bit_count(F.col(f"a_d{k}").bitwiseXOR(F.col(f"b_d{k}"))) for k in range(1, 4)), F.bit_count(F.col("a_d0").bitwiseXOR(F.col("b_d0"))))
     # a pair that meets in several tables counts in the first
     earlier = F.lit(False)
     for t in range(TABLES - 1):
-        earlier = earlier | ((F.lit(t) < F.col("t")) & (_word(t, "a_") == _word(t, "b_")))
-    met = a.join(b, ["t", "word"]).filter((F.col("a_image_id") < F.col("b_image_id")) & (apart <= radius) & ~earlier)
+        earlier = earlier | ((F.col("key") >= (t + 1) << WORD) & (_word(t, "a_") == _word(t, "b_")))
+    met = a.join(b, "key").filter((F.col("a_image_id") < F.col("b_image_id")) & (apart <= radius) & ~earlier)
+    pairs = met.select(F.col("a_image_id").alias("a"), F.col("b_image_id").alias("b"), "a_spot", "b_spot").repartition(shuffle_partitions(images.sparkSession), "a", "b")
     # the motion from a to b
-    scale = F.col("a_scale") / F.col("b_scale")
-    turn = F.col("b_angle") - F.col("a_angle")
-    dx = F.col("b_x") - scale * (F.cos(turn) * F.col("a_x") - F.sin(turn) * F.col("a_y"))
-    dy = F.col("b_y") - scale * (F.sin(turn) * F.col("a_x") + F.cos(turn) * F.col("a_y"))
-    motion = met.select("a_image_id", "b_image_id", "a_corner", "b_corner", F.log2(scale).alias("s"), (turn * F.lit(TURN_CELLS / (2 * np.pi))).alias("r"), dx.alias("dx"), dy.alias("dy"))
-    # two grids, half a cell apart: agreement is not lost at a cell's edge
+    scales = F.array(*map(F.lit, SCALES))
+    scale = F.element_at(scales, (_part("a_spot", 12, 4) + 1).cast("int")) / F.element_at(scales, (_part("b_spot", 12, 4) + 1).cast("int"))
+    turn = (_part("b_spot", 0, 12) - _part("a_spot", 0, 12)) * (2 * np.pi / 4096)
+    ax, ay, bx, by = (_part(f"{side}_spot", at, 18) / 8.0 for side in "ab" for at in (34, 16))
+    dx = bx - scale * (F.cos(turn) * ax - F.sin(turn) * ay)
+    dy = by - scale * (F.sin(turn) * ax + F.cos(turn) * ay)
+    motion = pairs.select("a", "b", "a_spot", "b_spot", F.log2(scale).alias("s"), (turn * (TURN_CELLS / (2 * np.pi))).alias("r"), dx.alias("dx"), dy.alias("dy"))
+    # two grids, half a cell apart: agreement is not lost at a cell's edge. A pair's matches are in one partition already
     cells = motion.withColumn("grid", F.explode(F.array(F.lit(0.0), F.lit(0.5))))
     cell = lambda c, width: F.floor(F.col(c) / F.lit(width) + F.col("grid")).cast("long")
-    votes = cells.groupBy("a_image_id", "b_image_id", "grid", cell("s", SCALE_CELL).alias("cs"), F.pmod(cell("r", 1.0), F.lit(TURN_CELLS)).alias("cr"), cell("dx", SHIFT_CELL).alias("cx"), cell("dy", SHIFT_CELL).alias("cy"))
-    agreed = votes.agg(F.least(F.size(F.collect_set("a_corner")), F.size(F.collect_set("b_corner"))).cast("long").alias("inliers")).filter(F.col("inliers") >= min_inliers)
-    near = agreed.groupBy(F.col("a_image_id").alias("image_id"), F.col("b_image_id").alias("copy_id")).agg(F.max("inliers").alias("inliers"))
+    votes = cells.groupBy("a", "b", "grid", cell("s", SCALE_CELL).alias("cs"), F.pmod(cell("r", 1.0), F.lit(TURN_CELLS)).alias("cr"), cell("dx", SHIFT_CELL).alias("cx"), cell("dy", SHIFT_CELL).alias("cy"))
+    agreed = votes.agg(F.least(F.size(F.collect_set("a_spot")), F.size(F.collect_set("b_spot"))).cast("long").alias("inliers")).filter(F.col("inliers") >= min_inliers)
+    near = agreed.groupBy(F.col("a").alias("image_id"), F.col("b").alias("copy_id")).agg(F.max("inliers").alias("inliers"))
     return near.withColumn("identical", F.lit(False)).unionByName(same)
 
 
