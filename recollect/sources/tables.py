@@ -103,7 +103,7 @@ def parse_markdown(files: DataFrame) -> DataFrame:
     key = lambda k: F.trim(F.regexp_extract(front, rf"(?m)^{k}:[ \t]*(.*)$", 1))
     inline = F.regexp_replace(key("tags"), r"[\[\]\"']", "")
     links = F.transform(F.regexp_extract_all(body, F.lit(r"\[\[([^\[\]]+)\]\]"), F.lit(1)), lambda x: F.trim(F.regexp_extract(x, r"^[^|#]*", 0)))
-    return files.select("path", F.when(key("title") == "", F.regexp_extract("path", r"([^/]+?)(?:\.md)?$", 1)).otherwise(key("title")).alias("title"), F.filter(F.transform(F.split(inline, ","), F.trim), lambda x: x != "").alias("tags"), front.alias("frontmatter"), body.alias("body"), F.array_distinct(F.filter(links, lambda x: x != "")).alias("links"))
+    return files.select("path", F.when(key("title") == "", F.regexp_extract("path", r"([^/]+?)(?:\.md)?$", 1)).otherwise(key("title")).alias("title"), F.filter(F.transform(F.split(inline, ","), lambda x: F.trim(x)), lambda x: x != "").alias("tags"), front.alias("frontmatter"), body.alias("body"), F.array_distinct(F.filter(links, lambda x: x != "")).alias("links"))
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
