@@ -141,7 +141,7 @@ def candidates(h: np.ndarray, first: np.ndarray, ix: Index) -> np.ndarray:
         # minima of windows of four blocks, from block to block; past the document's end there is nothing
         n = mins.shape[1]
         window = mins.copy()
-        for k in (1, 2, 3):
+        for k in range(1, min(4, n)):
             within = doc[: n - k] == doc[k:]
             np.minimum(window[:, : n - k], np.where(within, mins[:, k:], _TOP), out=window[:, : n - k])
         if w in ix.keys:
@@ -186,7 +186,7 @@ def matches(h: np.ndarray, at: np.ndarray, first: np.ndarray, ix: Index, contain
             for run in np.split(where, np.flatnonzero(np.diff(where) > ix.width[t]) + 1):
                 have = len(np.unique(h[lo + run]))
                 if have >= need_:
-                    found.append((d, t, int(at[lo + run[0]] - 0), int(at[lo + run[-1]]) + SHINGLE, have / len(goal)))
+                    found.append((d, t, int(at[lo + run[0]]), int(at[lo + run[-1]]) + SHINGLE, have / len(goal)))
     return found
 
 

@@ -48,7 +48,8 @@ def test_against_brute_force(spark):
         got.setdefault(r["doc_id"], set()).add(r["license"])
         assert r["containment"] >= CONTAINMENT - 1e-9
         w = plain(texts[r["doc_id"]])
-        assert plain(TEMPLATES[r["license"]])[-1] in w[r["first_word"] : r["end_word"] + 2]
+        own = set(plain(TEMPLATES[r["license"]]))
+        assert len(own & set(w[r["first_word"] : r["end_word"]])) >= CONTAINMENT * len(own)
     want = {i: b for i, t in enumerate(texts) if (b := brute(t))}
     pairs = {(i, x) for i, b in want.items() for x in b}
     have = {(i, x) for i, b in got.items() for x in b}
