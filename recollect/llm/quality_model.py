@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm.arrow_text import mix64, slices, utf8
 from recollect.llm.common import need, table
-from recollect.llm.simhash import distinct_words
+from recollect.llm.simhash import distinct_features
 
 #: Bounds of the fit: labelled and unlabelled documents, each the first in order of a hash of doc_id.
 LABELLED = 6000
@@ -78,7 +78,7 @@ def _field_hash(values: list[str | None], field: int) -> np.ndarray:
 
 
 def content_view(text: pa.Array) -> View:
-    features, n = distinct_words(text)
+    features, n = distinct_features(text, pairs=False)
     return View((features >> np.uint64(44 - WORD_BITS)).astype(np.int64), np.append(0, np.cumsum(n)))
 
 

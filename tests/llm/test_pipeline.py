@@ -13,7 +13,7 @@ def test_stages_take_effect(spark, tmp_path):
     rng = random.Random(12)
     passage = prose(rng, 70)
     rows = [(i, prose(rng, rng.randint(20, 300)), "en", rng.choice(["a", "a", "a", "b"]), 0) for i in range(80)]
-    rows += [(100 + i, rows[i][1], "en", "b", 0) for i in range(5)] + [(110 + i, rows[i][1] + " tail", "en", "b", 0) for i in range(10, 15)]
+    rows += [(100 + i, rows[i][1], "en", "b", 0) for i in range(5)] + [(200 + i, rows[i][1] + " tail", "en", "b", 0) for i in range(10, 15)]
     rows += [(120 + i, f"{prose(rng, 120)} {passage} {prose(rng, 150)}", "en", "a", 0) for i in range(6)]
     rows += [(130, "junk " * 500, "en", "a", 0), (131, None, "en", None, None), (132, "", None, "b", 0), (None, prose(rng, 30), None, None, None)]
     rows = [(a, b, c, d, len(b) if b is not None else None) for a, b, c, d, _ in rows]
@@ -28,7 +28,7 @@ def test_stages_take_effect(spark, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     out = {n: [(r["doc_id"], r["text"]) for r in seen[n].select("doc_id", "text").collect()] for n in list(seen)[:-1]}
     assert sorted(out["quality_rules"], key=str) == sorted([(i, t) for i, t, *_ in rows if naive(t) is None], key=str)
-    gone = {100 + i for i in range(5)} | {110 + i for i in range(10, 15)}
+    gone = {100 + i for i in range(5)} | {200 + i for i in range(10, 15)}
     assert sorted(out["near_dedup"], key=str) == sorted([x for x in out["quality_rules"] if x[0] not in gone], key=str)
     cut = duplicate_words([x for x in out["near_dedup"] if x[0] is not None])
     assert set(cut) == {121, 122, 123, 124, 125}

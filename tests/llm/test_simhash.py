@@ -3,12 +3,12 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from recollect.llm.simhash import compare, distinct_words, drop_near_duplicates, fingerprints, near_duplicates
+from recollect.llm.simhash import compare, distinct_features, drop_near_duplicates, fingerprints, near_duplicates
 
 from .conftest import DOCS, prose
 
 
-def brute_groups(prints, n, ids, radius=44, ratio=0.8):
+def brute_groups(prints, n, ids, radius=54, ratio=0.8):
     root = {i: i for i in ids}
 
     def find(x):
@@ -39,11 +39,11 @@ def corpus(rng, n=60):
 def test_fingerprint_is_the_sign_of_bit_sums():
     from recollect.llm.simhash import _SEEDS, mix64
 
-    texts = pa.array(["a b c", "one two", "x " * 600 + " ".join(str(i) for i in range(700))])
-    f, n = distinct_words(texts)
+    texts = pa.array(["a b c", "one two", "x " * 600 + " ".join(str(i) for i in range(700)), "a"])
+    f, n = distinct_features(texts)
     prints = fingerprints(f, np.cumsum(n) - n)
     at = np.append(0, np.cumsum(n))
-    for d in range(3):
+    for d in range(4):
         for w in range(4):
             h = mix64(f[at[d] : at[d + 1]] ^ _SEEDS[w])
             want = sum(1 << b for b in range(64) if sum(int(x) >> b & 1 for x in h) * 2 > n[d])
@@ -64,7 +64,7 @@ def test_compare_is_exact():
 
 def test_groups_against_brute_force(spark):
     texts = corpus(random.Random(2))
-    f, n = distinct_words(pa.array(texts))
+    f, n = distinct_features(pa.array(texts))
     want = brute_groups(fingerprints(f, np.cumsum(n) - n), n, list(range(len(texts))))
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
     for rows in (7, 32768):
