@@ -5,8 +5,10 @@ is known without reading: source, language, length and the layout (lines, word
 length, shares of capitals, digits, signs and accents), each in coarse steps.
 Each view trains a logistic regression on the labelled sample. In each round
 both label a pool of unlabelled documents, and each hands the ones it is surest
-of to the other view's training set. At the end each view is calibrated on
-labelled documents kept apart, and the calibrated log-odds are combined.
+of to the other view's training set. A view keeps what it was handed only if
+that lowers its loss on labelled documents kept apart (one view may be sure of
+what it can't see). At the end each view is calibrated on those, and the
+calibrated log-odds are combined.
 
 Only the fit uses a sample, bounded by ``LABELLED`` and ``POOL``; every document
 is scored.
@@ -27,9 +29,10 @@ from recollect.llm.common import need, table
 from recollect.llm.simhash import distinct_features
 
 #: Bounds of the fit: labelled and unlabelled documents, each the first in order of a hash of doc_id.
-LABELLED = 6000
+LABELLED = 12000
 POOL = 6000
 ROUNDS = 3
+STEPS = 150
 #: Share of the pool that a view hands over in a round, and the least certainty for it.
 HAND_OVER = 0.1
 CERTAIN = 0.95
@@ -100,23 +103,31 @@ def metadata_view(source: list, lang: list, text: pa.Array) -> View:
     return View(np.stack(cols, axis=1).ravel(), np.arange(n + 1) * _META_FIELDS)
 
 
-def fit(view: View, y: np.ndarray, size: int, steps: int = 150, ridge: float = 3e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression by full-batch Adagrad, deterministic."""
-    w, b = np.zeros(size), 0.0
-    gw, gb = np.full(size, 1e-8), 1e-8
+def fit(view: View, y: np.ndarray, size: int, steps: int = STEPS, ridge: float = 1e-5, least: int = 3) -> tuple[np.ndarray, float]:
+    """Logistic regression on features scaled by their naive Bayes log-odds, by full-batch Adagrad; deterministic.
+
+    A feature on fewer than ``least`` rows says nothing. Scaling lets a few telling
+    words outweigh hundreds of common ones.
+    """
     n = view.at[1:] - view.at[:-1]
-    scale = 1 / np.sqrt(np.maximum(n, 1))
     row = np.repeat(np.arange(len(y)), n)
+    count = np.bincount(view.ids, minlength=size)
+    good = np.bincount(view.ids, weights=y[row], minlength=size)
+    odds = np.log((good + 1) / (y.sum() + 2)) - np.log((count - good + 1) / ((1 - y).sum() + 2))
+    odds[count < least] = 0
+    x = odds[view.ids] / np.sqrt(np.maximum(n, 1))[row]
+    w, b = np.zeros(size), 0.0
+    gw, gb = np.full(size, 1e-8), 1e-8
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(view.sums(w) + b, -30, 30)))
-        err = (p - y) / max(len(y), 1)
-        grad = np.bincount(view.ids, (err * scale)[row], minlength=size) + ridge * w
+        z = np.append(0.0, np.cumsum(w[view.ids] * x))
+        err = (1 / (1 + np.exp(-np.clip(z[view.at[1:]] - z[view.at[:-1]] + b, -30, 30))) - y) / max(len(y), 1)
+        grad = np.bincount(view.ids, err[row] * x, minlength=size) + ridge * w
         gw += grad * grad
-        w -= 0.5 * grad / np.sqrt(gw)
+        w -= grad / np.sqrt(gw)
         g = err.sum()
         gb += g * g
-        b -= 0.5 * g / np.sqrt(gb)
-    return w, float(b)
+        b -= g / np.sqrt(gb)
+    return w * odds, float(b)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 300) -> np.ndarray:
@@ -158,11 +169,20 @@ def cotrain(a: View, b: View, y: np.ndarray, pool: np.ndarray, rounds: int = ROU
     have = [(train, y[train].astype(float)), (train, y[train].astype(float))]
     views, sizes = (a, b), (1 << WORD_BITS, 1 << META_BITS)
     models = [fit(v.take(rows), t, s) for v, (rows, t), s in zip(views, have, sizes)]
+
+    def loss(v: View, m: tuple[np.ndarray, float]) -> float:
+        z = v.take(held).sums(m[0]) + m[1]
+        c = calibrate(z[:, None], y[held])
+        z = np.clip(c[0] * z + c[1], -30, 30)
+        return float(np.mean(np.log1p(np.exp(-z)) + (1 - y[held]) * z))
+
+    losses = [loss(v, m) for v, m in zip(views, models)]
     for _ in range(rounds if len(free) else 0):
         given = []
         for v, m in zip(views, models):
             z = v.take(free).sums(m[0]) + m[1]
-            c = calibrate((v.take(train).sums(m[0]) + m[1])[:, None], y[train])
+            # certainty is judged on rows that the view was not trained on
+            c = calibrate((v.take(held).sums(m[0]) + m[1])[:, None], y[held])
             p = 1 / (1 + np.exp(-np.clip(c[0] * z + c[1], -30, 30)))
             sure = np.flatnonzero(np.maximum(p, 1 - p) >= CERTAIN)
             # the surest of either class, as many as the class's share of the labels allows
@@ -172,14 +192,22 @@ def cotrain(a: View, b: View, y: np.ndarray, pool: np.ndarray, rounds: int = ROU
                 own = sure[(p[sure] >= 0.5) == bool(cls)]
                 picks.append(own[np.argsort(-np.abs(p[own] - 0.5), kind="stable")][:most])
             took = np.concatenate(picks)
-            given.append((took, (p[took] >= 0.5).astype(float)))
+            given.append((free[took], (p[took] >= 0.5).astype(float)))
+        used = [np.zeros(0, np.int64)]
         for k in (0, 1):
             took, label = given[1 - k]
-            have[k] = (np.concatenate([have[k][0], free[took]]), np.concatenate([have[k][1], label]))
-        free = np.delete(free, np.unique(np.concatenate([given[0][0], given[1][0]])))
-        models = [fit(v.take(rows), t, s) for v, (rows, t), s in zip(views, have, sizes)]
-        if len(free) == 0:
+            if len(took) == 0:
+                continue
+            more = (np.concatenate([have[k][0], took]), np.concatenate([have[k][1], label]))
+            model = fit(views[k].take(more[0]), more[1], sizes[k])
+            if (new := loss(views[k], model)) < losses[k]:
+                have[k], models[k], losses[k] = more, model, new
+                used.append(took)
+        # what was taken up is labelled now; if neither view took any, more rounds would hand over the same
+        left = np.setdiff1d(free, np.concatenate(used), assume_unique=False)
+        if len(left) in (0, len(free)):
             break
+        free = left
     z = [v.take(held).sums(m[0]) + m[1] for v, m in zip(views, models)]
     own = [calibrate(x[:, None], y[held]) for x in z]
     x = np.stack([c[0] * v + c[1] for v, c in zip(z, own)], axis=1)
