@@ -143,8 +143,38 @@ def descriptors(images: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "image_id long, spot long, d0 long, d1 long, d2 long, d3 long")
 
 
-def _part(c: str, shift: int, bits: int) -> Column:
-    return F.shiftrightunsigned(F.col(c), shift).bitwiseAND(F.lit((1 << bits) - 1))
+def consensus(a: np.ndarray, b: np.ndarray, a_spot: np.ndarray, b_spot: np.ndarray, min_inliers: int) -> pa.RecordBatch:
+    """(image_id, copy_id, inliers) of the pairs (in runs) whose matches agree on one motion from a to b.
+
+    Motions vote for cells of scale, turn and shift, in two grids half a cell apart,
+    so that agreement is not lost at a cell's edge. A cell counts its corners of
+    the image that has fewer of them there.
+    """
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    pair = np.cumsum(new) - 1
+    field = lambda s, at, bits: (s >> at) & ((1 << bits) - 1)
+    scales = np.array(SCALES)
+    scale = scales[field(a_spot, 12, 4)] / scales[field(b_spot, 12, 4)]
+    turn = (field(b_spot, 0, 12) - field(a_spot, 0, 12)) * (2 * np.pi / 4096)
+    ax, ay, bx, by = (field(s, at, 18) / 8.0 for s in (a_spot, b_spot) for at in (34, 16))
+    dx = bx - scale * (np.cos(turn) * ax - np.sin(turn) * ay)
+    dy = by - scale * (np.sin(turn) * ax + np.cos(turn) * ay)
+    best = np.zeros(int(pair[-1]) + 1, dtype=np.int64)
+    for grid in (0.0, 0.5):
+        cells = [np.floor(v / width + grid).astype(np.int64) for v, width in ((np.log2(scale), SCALE_CELL), (turn, 2 * np.pi / TURN_CELLS), (dx, SHIFT_CELL), (dy, SHIFT_CELL))]
+        cells[1] %= TURN_CELLS
+        fewest = None
+        for spot in (a_spot, b_spot):
+            order = np.lexsort((spot, *cells, pair))
+            keys = [x[order] for x in (pair, *cells)]
+            head = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
+            fresh = head | np.append(True, spot[order][1:] != spot[order][:-1])
+            count = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(head))
+            fewest = count if fewest is None else np.minimum(fewest, count)
+        np.maximum.at(best, keys[0][head], fewest)
+    first = np.flatnonzero(new)
+    good = best >= min_inliers
+    return pa.RecordBatch.from_arrays([pa.array(a[first][good]), pa.array(b[first][good]), pa.array(best[good])], ["image_id", "copy_id", "inliers"])
 
 
 def _word(t: int, prefix: str) -> Column:
@@ -187,21 +217,27 @@ def find_copies(images: DataFrame, radius: int = RADIUS, min_inliers: int = MIN_
     for t in range(TABLES - 1):
         earlier = earlier | ((F.col("key") >= (t + 1) << WORD) & (_word(t, "a_") == _word(t, "b_")))
     met = a.join(b, "key").filter((F.col("a_image_id") < F.col("b_image_id")) & (apart <= radius) & ~earlier)
-    pairs = met.select(F.col("a_image_id").alias("a"), F.col("b_image_id").alias("b"), "a_spot", "b_spot").repartition(shuffle_partitions(images.sparkSession), "a", "b")
-    # the motion from a to b
-    scales = F.array(*map(F.lit, SCALES))
-    scale = F.element_at(scales, (_part("a_spot", 12, 4) + 1).cast("int")) / F.element_at(scales, (_part("b_spot", 12, 4) + 1).cast("int"))
-    turn = (_part("b_spot", 0, 12) - _part("a_spot", 0, 12)) * (2 * np.pi / 4096)
-    ax, ay, bx, by = (_part(f"{side}_spot", at, 18) / 8.0 for side in "ab" for at in (34, 16))
-    dx = bx - scale * (F.cos(turn) * ax - F.sin(turn) * ay)
-    dy = by - scale * (F.sin(turn) * ax + F.cos(turn) * ay)
-    motion = pairs.select("a", "b", "a_spot", "b_spot", F.log2(scale).alias("s"), (turn * (TURN_CELLS / (2 * np.pi))).alias("r"), dx.alias("dx"), dy.alias("dy"))
-    # two grids, half a cell apart: agreement is not lost at a cell's edge. A pair's matches are in one partition already
-    cells = motion.withColumn("grid", F.explode(F.array(F.lit(0.0), F.lit(0.5))))
-    cell = lambda c, width: F.floor(F.col(c) / F.lit(width) + F.col("grid")).cast("long")
-    votes = cells.groupBy("a", "b", "grid", cell("s", SCALE_CELL).alias("cs"), F.pmod(cell("r", 1.0), F.lit(TURN_CELLS)).alias("cr"), cell("dx", SHIFT_CELL).alias("cx"), cell("dy", SHIFT_CELL).alias("cy"))
-    agreed = votes.agg(F.least(F.size(F.collect_set("a_spot")), F.size(F.collect_set("b_spot"))).cast("long").alias("inliers")).filter(F.col("inliers") >= min_inliers)
-    near = agreed.groupBy(F.col("a").alias("image_id"), F.col("b").alias("copy_id")).agg(F.max("inliers").alias("inliers"))
+    n = shuffle_partitions(images.sparkSession)
+    pairs = met.select(F.col("a_image_id").alias("image_id"), F.col("b_image_id").alias("copy_id"), "a_spot", "b_spot").repartition(n, "image_id", "copy_id").sortWithinPartitions("image_id", "copy_id")
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            cols = [batch.column(i).to_numpy() for i in range(4)]
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols)]
+            if len(cols[0]) == 0:
+                continue
+            # the last pair may go on in the next batch
+            other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            at = int(other[-1]) + 1 if len(other) else 0
+            rest = [x[at:] for x in cols]
+            if at:
+                yield consensus(*(x[:at] for x in cols), min_inliers)
+        if rest is not None:
+            yield consensus(*rest, min_inliers)
+
+    near = pairs.mapInArrow(vote, "image_id long, copy_id long, inliers long")
     return near.withColumn("identical", F.lit(False)).unionByName(same)
 
 
