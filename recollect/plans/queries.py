@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from recollect.functions import text as tx
 from recollect.functions.vector import cosine, hash_embed
 from recollect.operators import evolution, filters, fusion, governance, graph, knowledge, records, rerank, routing, search, strength
 from recollect.operators import entity as ent
+from recollect.plans.session import checkpoint_dir
 from recollect.sources import tables as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -815,4 +817,277 @@ def fact_search(s, d):
     return routing.fact_scores(search.cosine_scores(src.vector_entries(s, d), _vector_queries(s, d)), facts).select("query_id", "id", "score", "weighted", "rank")
 
 
+# ---- rows, references and small tables -----------------------------------------------------------------------------
+
+@query("memories", sql="SELECT user_id, count(*) AS n FROM memories WHERE is_deleted = 0 AND user_id < 'src2' GROUP BY 1")
+def delete_all(s, d):
+    m = src.memories(s, d)
+    mine = m.filter("is_deleted = 0 and user_id < 'src2'")
+    after = records.soft_delete(m, mine).filter("is_deleted = 1").join(mine.select("id"), "id", "left_semi")
+    return after.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("ve", sql="SELECT id, round(vector[1] + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END, 6) AS first FROM ve WHERE id % 10 <> 0")
+def vector_upsert(s, d):
+    v = src.vector_entries(s, d).withColumns({"vector": F.transform("vector", lambda x: x.cast("double")), "seq": F.lit(0), "is_deleted": F.lit(0)})
+    changed = v.filter("id % 3 = 0").withColumns({"vector": F.transform("vector", lambda x: x + 1), "seq": F.lit(1)})
+    gone = v.filter("id % 10 = 0").withColumns({"seq": F.lit(2), "is_deleted": F.lit(1)})
+    return records.current(v.unionByName(changed).unionByName(gone), order=("seq",)).select("id", F.round(F.col("vector")[0], 6).alias("first"))
+
+
+@query("ve", sql="SELECT count(*) AS n, min(len(vector)) AS dimension, count(DISTINCT user_id) AS users FROM ve")
+def vector_collection_info(s, d):
+    return src.vector_entries(s, d).agg(F.count("*").alias("n"), F.min(F.size("vector")).cast("long").alias("dimension"), F.count_distinct("user_id").alias("users"))
+
+
+@query("ve", sql="SELECT q.id AS query_id, e.id, round(least(1.0, greatest(0.0, list_cosine_similarity(e.vector, q.vector))), 9) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(least(1.0, greatest(0.0, list_cosine_similarity(e.vector, q.vector))), 9) DESC, e.id) - 1 AS rank FROM ve e JOIN ve q ON e.user_id = q.user_id AND q.id < 40 WHERE round(list_cosine_similarity(e.vector, q.vector), 9) >= 0.1 QUALIFY rank < 5")
+def vector_topk_tenant(s, d):
+    v = src.vector_entries(s, d)
+    q = v.filter("id < 40").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"), "user_id")
+    return search.vector_top_k(v, q, 5, 0.1, same_tenant=True)
+
+
+@query("live", "dtok", sql="SELECT id, round(sqrt(sum(c * c)), 6) AS norm FROM (SELECT id, ('0x' || right(md5(t), 2))::INT % 128 AS b, count(*) AS c FROM (SELECT id, unnest(words) AS t FROM dtok) GROUP BY 1, 2) GROUP BY 1")
+def hash_embed_norms(s, d):
+    # the embedding is at unit length: the norm of the counts is the count of one place over its value
+    tokens = _texts(s, d).select("id", tx.tokenize(F.col("text")).alias("w"))
+    place = F.transform("w", lambda t: F.conv(F.right(F.md5(t.cast("binary")), F.lit(2)), 16, 10).cast("int") % 128)
+    counts = tokens.select("id", F.explode(place).alias("b")).groupBy("id", "b").agg(F.count("*").alias("c"))
+    return counts.groupBy("id").agg(F.round(F.sqrt(F.sum(F.col("c") * F.col("c"))), 6).alias("norm"))
+
+
+@query("chain", sql="SELECT source_id, target_id, relation FROM chain WHERE source_id IN (1, 2, 3) AND relation = 'next'")
+def graph_neighbors(s, d):
+    return graph.neighbors(graph.dedup_edges(src.chain_edges(s, d)), s.range(1, 4), "next").select("source_id", "target_id", "relation")
+
+
+@query("chain", sql="SELECT a.id, EXISTS (SELECT 1 FROM chain WHERE source_id = a.id AND target_id = a.id + 7) AS has_edge FROM (SELECT unnest(range(50)) AS id) a")
+def has_edge(s, d):
+    e = src.chain_edges(s, d).select(F.col("source_id").alias("id"), F.col("target_id")).distinct()
+    hit = e.filter(F.col("target_id") == F.col("id") + 7).select("id", F.lit(True).alias("h")).distinct()
+    return s.range(50).join(hit, "id", "left").select("id", F.coalesce("h", F.lit(False)).alias("has_edge"))
+
+
+@query("chain", sql="SELECT source_id, target_id, relation FROM chain WHERE source_id < 100 AND source_id % 5 <> 0 AND target_id % 5 <> 0")
+def delete_node(s, d):
+    e = graph.dedup_edges(src.chain_edges(s, d)).filter("source_id < 100")
+    nodes = src.table(s, d, "events").select(F.col("event_id").alias("id")).unionByName(e.select(F.col("target_id").alias("id"))).distinct()
+    return graph.delete_node(e, nodes, nodes.filter("id % 5 = 0"))[0].select("source_id", "target_id", "relation")
+
+
+@query(sql="SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id < 500")
+def get_node(s, d):
+    e = src.table(s, d, "events").filter("event_id < 500")
+    return e.select(F.col("event_id").alias("id"), F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("chain", sql="""WITH RECURSIVE e AS (SELECT event_id AS a, event_id + 64 AS b FROM events WHERE event_id % 3 <> 0 AND event_id < 600), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS l FROM b UNION SELECT r.id, b.b FROM r JOIN b ON b.a = r.l), c AS (SELECT id, min(l) AS cluster FROM r GROUP BY 1) SELECT cluster, count(*) AS size, list_sort(list(id)) AS members FROM c GROUP BY 1 HAVING count(*) > 1""")
+def clusters(s, d):
+    e = src.table(s, d, "events").filter("event_id % 3 <> 0 and event_id < 600").select(F.col("event_id").alias("source_id"), (F.col("event_id") + 64).alias("target_id"), F.lit("x").alias("relation"))
+    return graph.clusters(e)
+
+
+@query("ve", sql=f"WITH {_ZETTEL}, old AS (SELECT source_id, target_id FROM zl WHERE source_id % 2 = 0), nz AS (SELECT * FROM (SELECT * FROM zs WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) <= 9) ANTI JOIN old USING (source_id, target_id) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) <= 5) SELECT source_id, target_id, max(score) AS score FROM (SELECT * FROM nz UNION ALL SELECT target_id, source_id, score FROM nz) GROUP BY 1, 2")
+def zettel_new_links(s, d):
+    v = src.vector_entries(s, d)
+    return evolution.zettel_links(v, evolution.zettel_links(v).filter("source_id % 2 = 0"))
+
+
+@query("ve", sql="WITH w AS (SELECT * FROM ve WHERE id < 50), z AS (SELECT a.id AS source_id, b.id AS target_id, round(list_cosine_similarity(a.vector, b.vector), 9) AS score FROM w a JOIN w b ON a.user_id = b.user_id AND a.id <> b.id), t AS (SELECT * FROM z WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) <= 5) SELECT source_id, target_id, max(score) AS score FROM (SELECT * FROM t UNION ALL SELECT target_id, source_id, score FROM t) GROUP BY 1, 2")
+def dream(s, d):
+    return evolution.zettel_links(src.vector_entries(s, d).filter("id < 50"), threshold=0.1)
+
+
+@query("strength", sql="SELECT id AS memory_id, coalesce(access_count, 0) AS access_count, coalesce(base_value, 0.5) AS base_value FROM (SELECT unnest(range(150, 260)) AS id) LEFT JOIN strength ON memory_id = id")
+def strength_or_default(s, d):
+    t = strength.touched(s.range(150, 260), src.strengths(s, d), NOW)
+    return t.select("memory_id", (F.col("access_count") - 1).alias("access_count"), "base_value")
+
+
+@query("strength", sql="SELECT memory_id, access_count + 1 AS access_count, TIMESTAMP '2024-02-02' AS last_accessed FROM strength WHERE memory_id < 20")
+def testing_effect(s, d):
+    return strength.touched(s.range(20), src.strengths(s, d), NOW).select("memory_id", "access_count", "last_accessed")
+
+
+@query("facts", sql="SELECT id, CASE WHEN id % 3 = 0 THEN lower(object) ELSE object END AS object FROM facts WHERE subject < 30 AND id % 7 <> 0")
+def facts_current(s, d):
+    f = src.facts(s, d).filter("subject < 30").withColumns({"seq": F.lit(0), "is_deleted": F.lit(0)})
+    changed = f.filter("id % 3 = 0").withColumns({"object": F.lower("object"), "seq": F.lit(1)})
+    gone = f.filter("id % 7 = 0").withColumns({"seq": F.lit(2), "is_deleted": F.lit(1)})
+    return records.current(f.unionByName(changed).unionByName(gone), order=("seq",)).select("id", "object")
+
+
+@query(sql="SELECT event_id AS id FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (ORDER BY ts DESC, event_id DESC) <= 20")
+def reasoning_episodes(s, d):
+    return records.timeline(src.episodes(s, d), ["view"], k=20).select("id")
+
+
+@query(sql="SELECT o_orderkey AS id, o_orderkey % 4 = 0 AS is_identity FROM orders WHERE o_orderkey < 2000")
+def identity_facts(s, d):
+    o = src.table(s, d, "orders").filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, F.array(F.lit("identity"), F.lit("x"))).when(F.col("o_orderkey") % 4 == 1, F.array(F.lit("x"))).alias("tags"))
+    return records.with_identity(o).select("id", "is_identity")
+
+
+@query(sql="SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'n' || conv_id END AS actor_id, CASE WHEN turn % 3 = 0 THEN 'n' || conv_id ELSE role END AS attributed_to FROM conversations")
+def attribution(s, d):
+    m = src.table(s, d, "conversations").withColumn("name", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("n"), F.col("conv_id").cast("string"))))
+    return records.attribute(m).select("conv_id", "turn", "actor_id", "attributed_to")
+
+
+_ENT = "en AS (SELECT o_custkey AS id, list_sort(list(DISTINCT 'm' || o_orderkey % 40)) AS linked FROM orders GROUP BY 1)"
+
+
+def _linked(s, d):
+    return src.table(s, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("m"), (F.col("o_orderkey") % 40).cast("string")))).alias("linked_memory_ids"), F.lit(0).alias("is_deleted"))
+
+
+@query(sql=f"WITH {_ENT} SELECT id, list_filter(linked, lambda x: x NOT IN ('m1', 'm2', 'm3', 'm7')) AS linked, CASE WHEN len(list_filter(linked, lambda x: x NOT IN ('m1', 'm2', 'm3', 'm7'))) = 0 THEN 1 ELSE 0 END AS is_deleted FROM en")
+def reference_removal(s, d):
+    gone = s.createDataFrame([("m1",), ("m2",), ("m3",), ("m7",)], "id string")
+    return records.remove_reference(_linked(s, d), gone).select("id", F.col("linked_memory_ids").alias("linked"), "is_deleted")
+
+
+@query(sql=f"WITH {_ENT} SELECT id, CASE WHEN id % 3 = 0 THEN list_sort(list_distinct(list_append(linked, 'm99'))) ELSE linked END AS linked FROM en")
+def entity_append(s, d):
+    e = _linked(s, d)
+    return ent.link_memories(e, e.filter("id % 3 = 0").select("id", F.lit("m99").alias("memory_id"))).select("id", F.col("linked_memory_ids").alias("linked"))
+
+
+@query(sql=f"WITH {_ENT} SELECT id, unnest(linked) AS memory_id FROM en WHERE id < 40")
+def linked_memories(s, d):
+    return _linked(s, d).filter("id < 40").select("id", F.explode("linked_memory_ids").alias("memory_id"))
+
+
+@query(sql="SELECT event_id AS id, CASE WHEN event_id % 10 = 0 THEN 'empty' WHEN event_id % 11 = 0 THEN 'invalid id' WHEN row_number() OVER (PARTITION BY u, t ORDER BY event_id) > 1 THEN 'duplicate' END AS reason FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'a b' ELSE 'u' || user_id END AS u, CASE WHEN event_id % 10 = 0 THEN '' ELSE event_type END AS t FROM events)")
+def write_check(s, d):
+    i = F.col("event_id")
+    rows = src.table(s, d, "events").select(i.alias("id"), F.when(i % 11 == 0, "a b").otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("user_id"), F.when(i % 10 == 0, " ").otherwise(F.col("event_type")).alias("text"))
+    return governance.write_check(rows).select("id", "reason")
+
+
+@query(sql="SELECT c_custkey AS id, CASE WHEN length(v) > 30 THEN right(v, 30) ELSE v END AS value FROM (SELECT c_custkey, c_name || chr(10) || 'seen again ' || c_custkey AS v FROM customer)")
+def block_append(s, d):
+    c = src.table(s, d, "customer")
+    return c.select(F.col("c_custkey").alias("id"), governance.append_block(F.col("c_name"), F.concat(F.lit("seen again "), F.col("c_custkey").cast("string")), 30).alias("value"))
+
+
+@query(sql="SELECT n_nationkey AS agent_id, unnest(['human', 'persona']) AS label FROM nation WHERE n_nationkey % 2 = 1")
+def block_defaults(s, d):
+    n = src.table(s, d, "nation").select(F.col("n_nationkey").alias("agent_id"))
+    return governance.default_blocks(n, n.filter("agent_id % 2 = 0")).select("agent_id", "label")
+
+
+@query(sql="SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'new ' || c_name ELSE c_name END AS value FROM customer WHERE c_custkey % 9 <> 0")
+def block_upsert(s, d):
+    c = src.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("value"), F.lit(0).alias("seq"))
+    new = c.filter("id % 2 = 0").withColumns({"value": F.concat(F.lit("new "), "value"), "seq": F.lit(1)})
+    gone = c.filter("id % 9 = 0").select("id")
+    return knowledge.upsert_latest(c.unionByName(new), "id", "seq").join(gone, "id", "left_anti").select("id", "value")
+
+
+@query(sql="SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'out ' || event_type WHEN event_id % 3 = 1 THEN event_type ELSE '{\"other\":1}' END AS text FROM events WHERE event_id < 300")
+def tool_capture(s, d):
+    i = F.col("event_id")
+    e = src.table(s, d, "events").filter(i < 300)
+    out = F.when(i % 3 == 0, F.concat(F.lit(" out "), "event_type")).otherwise(F.lit(" "))
+    inp = F.when(i % 3 == 1, F.concat(F.lit('{"query":"'), "event_type", F.lit('"}'))).otherwise(F.lit('{"other":1}'))
+    return e.select(i.alias("id"), tx.tool_text(out, inp).alias("text"))
+
+
+@query(sql="SELECT event_id AS id, 'Observation: ' || event_type || chr(10) || 'Thoughts: t' || event_id || chr(10) || 'Action: a' || chr(10) || 'Result: r' AS content FROM events WHERE event_id < 300")
+def reasoning_narrative(s, d):
+    e = src.table(s, d, "events").filter("event_id < 300")
+    return e.select(F.col("event_id").alias("id"), tx.narrative(F.col("event_type"), F.concat(F.lit("t"), F.col("event_id").cast("string")), F.lit("a"), F.lit("r")).alias("content"))
+
+
+@query(sql="SELECT event_id AS id, CASE WHEN event_id % 3 = 0 AND event_id % 10 < 7 THEN 'NOOP' WHEN event_id % 3 = 0 THEN 'UPDATE' ELSE 'ADD' END AS event, 'text ' || event_id AS text FROM events WHERE event_id < 300")
+def decision_parse(s, d):
+    i = F.col("event_id")
+    e = src.table(s, d, "events").filter(i < 300)
+    answer = F.concat(F.lit('```json\n[{"text":"text '), i.cast("string"), F.lit('"'), F.when(i % 3 == 0, F.concat(F.lit(',"event":"update","confidence":0.'), (i % 10).cast("string"))).otherwise(""), F.lit('},{"event":"NONSENSE","text":"x"},{"event":"ADD","text":" "}]\n```'))
+    return e.select(i.alias("id"), F.explode(tx.parse_decisions(answer)).alias("x")).select("id", "x.event", "x.text")
+
+
+@query(sql="SELECT event_id AS id, 'u' || user_id AS source, 'did_' || event_type AS relation, 'e' || event_id AS target FROM events WHERE event_id < 300")
+def triplet_parse(s, d):
+    i = F.col("event_id")
+    e = src.table(s, d, "events").filter(i < 300)
+    u = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    t = F.concat(F.lit("e"), i.cast("string"))
+    answer = F.concat(F.lit('[{"source":"'), u, F.lit('","relation":"Did '), "event_type", F.lit('!","target":"'), t, F.lit('"},{"source":"nobody","relation":"x","target":"y"}]'))
+    return e.select(i.alias("id"), F.explode(tx.parse_triplets(answer, F.array(u, t))).alias("x")).select("id", "x.source", "x.relation", "x.target")
+
+
+@query(sql="SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN (event_id % 10) / 10.0::DOUBLE WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 ELSE 0.5 END AS score FROM events WHERE event_id < 400")
+def rerank_score_parse(s, d):
+    i = F.col("event_id")
+    said = F.when(i % 4 == 0, F.concat(F.lit("Score: 0."), (i % 10).cast("string"))).when(i % 4 == 1, "7 of 10").when(i % 4 == 2, "-3.5").otherwise("no idea")
+    return src.table(s, d, "events").filter(i < 400).select(i.alias("id"), tx.parse_score(said).alias("score"))
+
+
+@query("live", sql=f"SELECT id FROM live WHERE {_redact_sql('content')} <> content")
+def has_sensitive(s, d):
+    return _live(s, d).filter(tx.has_sensitive(F.col("content"))).select("id")
+
+
+@query("live", sql="SELECT 'episodic' AS namespace, event_id AS id, 0.5::DOUBLE AS score FROM events WHERE event_id < 20 UNION ALL SELECT 'procedural', rule_id, 0.7 FROM (SELECT unnest(range(3)) AS rule_id) UNION ALL SELECT 'semantic', seq, 0.9 FROM live WHERE seq < 10")
+def namespace_union(s, d):
+    e = src.episodes(s, d).filter("id < 20").select(F.lit("episodic").alias("namespace"), "id", F.lit(0.5).alias("score"))
+    r = s.range(3).select(F.lit("procedural").alias("namespace"), "id", F.lit(0.7).alias("score"))
+    return e.unionByName(r).unionByName(_live(s, d).filter("seq < 10").select(F.lit("semantic").alias("namespace"), F.col("seq").alias("id"), F.lit(0.9).alias("score")))
+
+
+@query("causal", sql="WITH RECURSIVE p AS (SELECT seed, [seed] AS path, 1.0::DOUBLE AS c, 0 AS n FROM (SELECT min(event_id) AS seed FROM events WHERE user_id < 5 GROUP BY user_id) UNION ALL SELECT seed, list_append(path, q.effect), c * confidence, n + 1 FROM p JOIN causal q ON q.cause = path[-1] WHERE n < 3 AND NOT list_contains(path, q.effect)) SELECT seed, max(round(c, 9)) AS best, count(*) AS n FROM p WHERE n = 3 GROUP BY 1")
+def causal_best(s, d):
+    p = graph.causal_paths(src.causal_edges(s, d), _causal_seeds(s, d), "effects", 3).filter(F.size("path") == 4)
+    return p.groupBy("seed").agg(F.max("confidence").alias("best"), F.count("*").alias("n"))
+
+
+@query("causal", sql="SELECT cause, effect, relation, confidence FROM causal WHERE cause < 100 OR effect < 100")
+def causal_neighbors(s, d):
+    return src.causal_edges(s, d).filter("cause < 100 or effect < 100").select("cause", "effect", "relation", "confidence")
+
+
+@query("vhits", sql="SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM vhits QUALIFY rank < 3")
+def rerank_noop(s, d):
+    return rerank.passthrough(search.cosine_scores(src.vector_entries(s, d), _vector_queries(s, d)), 3)
+
+
+# ---- streams -------------------------------------------------------------------------------------------------------
+
+def _stream(s, d, name):
+    return s.readStream.schema(src.table(s, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _drained(df, name, mode):
+    state = f"{checkpoint_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+@query(sql="SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS access_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_access_counts(s, d):
+    from recollect.streaming.operators import access_counts
+
+    logs = _stream(s, d, "events").select(F.col("ts").cast("timestamp").alias("accessed_at"), F.col("event_type").alias("access_type"))
+    return _drained(access_counts(logs, "1 day"), "stream_access_counts", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "access_type", "n")
+
+
+@query("outcomes", sql=f"WITH {_RULES} SELECT rule_id, helpful_count, harmful_count, deprecated FROM rules")
+def stream_rules(s, d):
+    from recollect.streaming.operators import rule_stream
+
+    o = _stream(s, d, "labels").select((F.col("doc_id") % 100).alias("rule_id"), F.col("doc_id").alias("seq"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("helpful"))
+    return _drained(rule_stream(o), "stream_rules", "update")
+
+
+@query("strength", sql="SELECT memory_id, access_count FROM strength")
+def stream_strength(s, d):
+    from recollect.streaming.operators import strength_stream
+
+    logs = _stream(s, d, "events").select((F.col("event_id") % 200).alias("memory_id"), F.col("ts").alias("accessed_at"))
+    return _drained(strength_stream(logs), "stream_strength", "update").select("memory_id", "access_count")
+
+
 __all__ = ["ORACLE", "QUERIES", "cosine"]
