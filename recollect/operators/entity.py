@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from recollect.functions.entity_words import GENERIC, PARTICLES, PLACES, SURNAMES
 from recollect.functions.text import normalize
 from recollect.functions.vector import cosine
+from recollect.plans.session import small_side
 
 _PRIORITY = {"PROPER": 4, "QUOTED": 3, "TOPIC": 2, "IDENTIFIER": 1}
 _CAPITAL = re.compile(r"\b[A-Z][a-z]+\b")
@@ -80,7 +81,7 @@ def search_entities(entities: DataFrame, queries: DataFrame, k: int = 10) -> Dat
     a, b = normalize(F.col("text")), normalize(F.col("query"))
     near = cosine(F.col("vector"), F.col("query_vector"))
     score = F.when(a == b, 1.0).when((a != "") & (b != "") & (a.contains(b) | b.contains(a)), 0.8).when(near > 0.3, near)
-    return top_k(entities.crossJoin(queries).select("query_id", "id", F.round(score, 9).alias("score")).filter("score is not null"), k, ["query_id"])
+    return top_k(entities.crossJoin(small_side(queries)).select("query_id", "id", F.round(score, 9).alias("score")).filter("score is not null"), k, ["query_id"])
 
 
 def match_entities(new: DataFrame, known: DataFrame, least: float = 0.95) -> DataFrame:

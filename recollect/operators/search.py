@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.text import lemmas, tokenize
 from recollect.functions.vector import norm, unit_cosine
+from recollect.plans.session import small_side
 
 K1, B = 1.5, 0.75
 
@@ -29,7 +30,7 @@ def cosine_scores(entries: DataFrame, queries: DataFrame, same_tenant: bool = Fa
     """
     e = entries.withColumn("__n", norm(F.col("vector"))).filter(F.col("__n") > 0)
     q = queries.withColumn("__m", norm(F.col("query_vector"))).filter(F.col("__m") > 0)
-    joined = e.join(q, "user_id") if same_tenant else e.crossJoin(q)
+    joined = e.join(q, "user_id") if same_tenant else e.crossJoin(small_side(q))
     fits = F.when(F.size("vector") != F.size("query_vector"), F.raise_error(F.lit("vectors differ in dimension")).cast("double"))
     score = fits.otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), unit_cosine(F.col("vector"), F.col("__n"), F.col("query_vector"), F.col("__m")))))
     return joined.select("query_id", "id", F.round(score, 9).alias("score"))
@@ -49,7 +50,7 @@ def keyword_overlap(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Share of the query's distinct tokens that the document (id, text) has; only those above 0."""
     d = docs.select("id", F.array_distinct(tokenize(F.col("text"))).alias("words"))
     q = queries.select("query_id", F.array_distinct(tokenize(F.col("query"))).alias("terms")).filter(F.size("terms") > 0)
-    scored = d.crossJoin(q).select("query_id", "id", F.round(F.size(F.array_intersect("terms", "words")) / F.size("terms"), 9).alias("score"))
+    scored = d.crossJoin(small_side(q)).select("query_id", "id", F.round(F.size(F.array_intersect("terms", "words")) / F.size("terms"), 9).alias("score"))
     return scored.filter("score > 0")
 
 
@@ -72,7 +73,7 @@ def bm25(docs: DataFrame, queries: DataFrame, lemmatized: bool = True, k1: float
     d = docs.select("id", *by, words(F.col("text")).alias("words"))
     stats = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
     terms = queries.select("query_id", *by, F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", *by, "term").agg(F.count("*").alias("weight"))
-    wanted = terms.select(*by, "term").distinct()
+    wanted = small_side(terms.select(*by, "term").distinct())
     # counted with the words still beside each other: one row a document and query term
     counts = d.select("id", *by, F.size("words").alias("dl"), F.explode("words").alias("term")).join(wanted, [*by, "term"]).groupBy("id", *by, "dl", "term").agg(F.count("*").alias("f"))
     df = counts.groupBy(*by, "term").agg(F.count("*").alias("df"))

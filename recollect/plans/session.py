@@ -7,6 +7,10 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast by hint only after it was found to have no more rows than this.
+BROADCAST_ROWS = 50_000
 
 
 def session(name: str = "recollect", master: str | None = None, **options: str) -> SparkSession:
@@ -36,3 +40,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has few rows, as it is otherwise (then the join shuffles). Counting stops just beyond the bound."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
