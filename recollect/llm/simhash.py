@@ -214,11 +214,12 @@ def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     gone = near_duplicates(docs, **parameters).select(F.col("doc_id").alias("__rc_id"), F.lit(True).alias("__rc_gone"))
     twice = need(docs, "doc_id").filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__rc_id"), F.lit(False).alias("__rc_gone"))
     marks = gone.unionByName(twice).groupBy("__rc_id").agg(F.max("__rc_gone").alias("__rc_gone"))
+    # the join leaves rows of an id in one partition, and the window needs no more: the texts are shuffled once.
+    # Rows without an id are spread by their text within it
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    order = Window.partitionBy("doc_id", spread).orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in ["text", *[k for k, t in docs.dtypes if k != "text" and not t.startswith("map")]]])
     left = docs.join(marks, docs["doc_id"] == marks["__rc_id"], "left").filter("not coalesce(__rc_gone, false)")
-    single = left.filter("__rc_gone is null").select(*[docs[c] for c in docs.columns])
-    order = Window.partitionBy("__rc_id").orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in ["text", *[k for k, t in docs.dtypes if k != "text" and not t.startswith("map")]]])
-    several = left.filter("__rc_gone is not null").withColumn("__rc_nr", F.row_number().over(order)).filter("__rc_nr = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return single.unionByName(several)
+    return left.withColumn("__rc_nr", F.row_number().over(order)).filter("__rc_gone is null or __rc_nr = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
