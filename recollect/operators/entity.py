@@ -15,15 +15,17 @@ from recollect.functions.text import normalize
 from recollect.functions.vector import cosine
 from recollect.plans.session import small_side
 
-_PRIORITY = {"PROPER": 4, "QUOTED": 3, "TOPIC": 2, "IDENTIFIER": 1}
-_CAPITAL = re.compile(r"\b[A-Z][a-z]+\b")
+_PRIORITY = {kind: n for n, kind in enumerate(("IDENTIFIER", "TOPIC", "QUOTED", "PROPER"))}
+_CAP = "[A-Z][a-z]+"
+_CAPITAL = re.compile(rf"\b{_CAP}\b")
 _NAME = re.compile("[" + SURNAMES + "][一-鿿]")
 _PLACE = re.compile("|".join(sorted(PLACES, key=len, reverse=True)))
 _QUOTES = re.compile("\"([^\"]+)\"|'([^']+)'|「([^」]+)」|“([^”]+)”")
-_DOTTED = re.compile(r"\b[a-z][a-z0-9]*(?:[.][a-z][a-z0-9]*)+\b")
-_CAMEL = re.compile(r"\b[A-Z][a-z]+[A-Z]\w*\b")
+_PART = "[a-z][0-9a-z]*"
+_DOTTED = re.compile(rf"\b{_PART}(?:[.]{_PART})+\b")
+_CAMEL = re.compile(rf"\b{_CAP}[A-Z]\w*\b")
 _SNAKE = re.compile(r"\b[a-z]+_[a-z_]+\b")
-_TITLE = re.compile(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b")
+_TITLE = re.compile(rf"\b{_CAP}(?:\s+{_CAP})+\b")
 _HAN = re.compile("[一-鿿]{2,4}")
 
 ENTITY = "array<struct<text:string,type:string,start:int,end:int>>"
@@ -39,7 +41,7 @@ def find_entities(text: str) -> list[tuple[str, str, int, int]]:
     plain = lambda rx, kind, skip: [(m[0], kind, m.start(), m.end()) for m in rx.finditer(text) if not skip(m[0])]
     generic = lambda s: _norm(s) in GENERIC
     found += plain(_CAPITAL, "PROPER", generic) + plain(_NAME, "PROPER", lambda s: s in GENERIC) + plain(_PLACE, "PROPER", lambda s: False)
-    found += [(next(g for g in m.groups() if g is not None), "QUOTED", m.start(), m.end()) for m in _QUOTES.finditer(text)]
+    found += [(m[m.lastindex], "QUOTED", m.start(), m.end()) for m in _QUOTES.finditer(text)]
     found += plain(_DOTTED, "IDENTIFIER", lambda s: False) + plain(_CAMEL, "IDENTIFIER", lambda s: False) + plain(_SNAKE, "IDENTIFIER", generic)
     found += plain(_TITLE, "TOPIC", lambda s: generic(s) or len(set(s.split())) < 2)
     found += plain(_HAN, "TOPIC", lambda s: s in GENERIC or s in PLACES or any(c in PARTICLES for c in s) or (len(s) < 3 and s[0] in SURNAMES))

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OPERATORS = ("eq", "ne", "gt", "gte", "lt", "lte", "in", "nin", "contains", "icontains")
+OPERATORS = tuple("in nin eq ne lt gt lte gte icontains contains".split())
 _ALIASES = {"run_id": "session_id"}
 
 

@@ -6,11 +6,15 @@ shared folder every few hops, so plans stay short and lost executors cost little
 
 from __future__ import annotations
 
+from typing import Literal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.plans.session import checkpointed
 
+Direction = Literal["out", "in", "both"]
+
 
 def dedup_edges(edges: DataFrame) -> DataFrame:
     return edges.dropDuplicates(["source_id", "target_id", "relation"])
@@ -36,7 +40,7 @@ def delete_node(edges: DataFrame, nodes: DataFrame, ids: DataFrame) -> tuple[Dat
     return left, nodes.join(gone, "id", "left_anti")
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, direction: str = "out", relation: str | None = None) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, direction: Direction = "out", relation: str | None = None) -> DataFrame:
     """(seed, id, depth): least depth of every node within ``max_depth`` hops of each seed, the seed itself left out.
 
     ``both`` is the union of the two closures (a path never turns), with the lesser depth.

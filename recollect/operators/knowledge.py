@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _KINDS = {
-    "attributes": ("name", "age", "occupation", "location", "birthday", "email", "phone"),
-    "preferences": ("likes", "dislikes", "prefers", "hates", "favorite"),
-    "plans": ("planning", "intends", "will", "goal"),
-    "relationships": ("has", "knows", "related_to", "friend", "family"),
+    "attributes": tuple("phone email birthday location occupation age name".split()),
+    "preferences": tuple("favorite hates prefers dislikes likes".split()),
+    "plans": tuple("goal will intends planning".split()),
+    "relationships": tuple("family friend related_to knows has".split()),
 }
 
 

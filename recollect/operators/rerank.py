@@ -45,7 +45,7 @@ def mmr(candidates: DataFrame, k: int = 5, weight: float = MMR_LAMBDA, duplicate
 def metadata_boost(score: Column, metadata: Column, wanted: dict[str, object], weights: dict[str, float] | None = None) -> Column:
     """``score`` times 1 + weight for each wanted value that the metadata has, never above 1; of a list one value is enough."""
     out = score
-    for key, weight in (weights or {"user_id": 0.5, "tags": 0.2, "session_id": 0.3}).items():
+    for key, weight in (weights or dict(tags=0.2, session_id=0.3, user_id=0.5)).items():
         if key not in wanted:
             continue
         values = wanted[key] if isinstance(wanted[key], (list, tuple)) else [wanted[key]]

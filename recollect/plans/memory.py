@@ -21,6 +21,8 @@ from recollect.functions.vector import hash_embed
 from recollect.operators import entity, evolution, filters, fusion, governance, graph, knowledge, records, rerank, routing, search, strength
 from recollect.plans.recipes import recipe as _recipe
 
+Opt, Meta, Strs, Answer = str | None, dict[str, Any] | None, list[str], dict[str, Any]
+
 SCHEMAS = {
     "memories": "id string, user_id string, agent_id string, session_id string, content string, metadata string, created_at string, valid_at string, invalid_at string, expired_at string, is_deleted int, state string, seq long",
     "facts": "id string, user_id string, subject string, predicate string, object string, context string, confidence double, provenance string, tags array<string>, created_at string, is_deleted int, seq long",
@@ -45,7 +47,7 @@ class Memory:
         self.spark, self.path, self.scorer, self.llm = spark, path.rstrip("/"), scorer, llm
         self._seq = 0
 
-    # -- tables --------------------------------------------------------------------------------------------------------
+    # == tables
 
     def _log(self, name: str) -> DataFrame:
         # an empty first part gives the table its schema before anything is written
@@ -69,16 +71,16 @@ class Memory:
     def _mine(self, user_id: str) -> DataFrame:
         return self._current("memories").filter(F.col("user_id") == filters.check_id(user_id, "user_id"))
 
-    # -- memories ------------------------------------------------------------------------------------------------------
+    # == memories
 
-    def add(self, messages: str | list[dict[str, str]], user_id: str, agent_id: str | None = None, session_id: str | None = None, metadata: dict | None = None, valid_at: str | None = None, memory_type: str | None = None) -> list[str]:
+    def add(self, messages: str | list[dict[str, str]], user_id: str, agent_id: Opt = None, session_id: Opt = None, metadata: Meta = None, valid_at: Opt = None, memory_type: Opt = None) -> Strs:
         """Store a text, or each message of a list; equal ones in a call once. ``memory_type`` fact, episode or rule goes to that table."""
         filters.check_id(user_id, "user_id")
         texts = [messages] if isinstance(messages, str) else [m["content"] for m in messages if m.get("content")]
         if memory_type in ("procedural", "rule"):
             return [self.add_rule(t, user_id) for t in texts]
         if memory_type == "fact":
-            return [self.add_fact(*[self._triple(t)[k] for k in ("subject", "predicate", "object")], user_id=user_id) for t in texts]
+            return [self.add_fact(*[self._triple(t)[k] for k in "subject predicate object".split()], user_id=user_id) for t in texts]
         if memory_type == "episode":
             return [self.add_episode(t, user_id) for t in texts]
         rows = [
@@ -94,7 +96,7 @@ class Memory:
     def get(self, memory_id: str) -> DataFrame:
         return self._current("memories").filter(F.col("id") == memory_id)
 
-    def get_all(self, user_id: str, session_id: str | None = None, where: dict | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
+    def get_all(self, user_id: str, session_id: Opt = None, where: Meta = None, offset: int = 0, limit: int | None = None) -> DataFrame:
         rows = self._mine(user_id)
         if session_id:
             rows = rows.filter(F.col("session_id") == session_id)
@@ -108,7 +110,7 @@ class Memory:
         self._append("memories", [old.asDict() | new])
         return True
 
-    def update(self, memory_id: str, content: str | None = None, metadata: dict | None = None) -> bool:
+    def update(self, memory_id: str, content: Opt = None, metadata: Meta = None) -> bool:
         old = self.get(memory_id).first()
         if old is None:
             return False
@@ -123,21 +125,21 @@ class Memory:
         self._append("memories", rows)
         return len(rows)
 
-    def invalidate(self, memory_id: str, at: str | None = None) -> bool:
+    def invalidate(self, memory_id: str, at: Opt = None) -> bool:
         return self._change(memory_id, invalid_at=at or _now(), expired_at=_now())
 
     def get_history(self, memory_id: str) -> DataFrame:
         return records.history_of(self._log("memories").filter(F.col("id") == memory_id), order=("seq",)).orderBy("seq")
 
-    def list_agents(self, user_id: str) -> list[str]:
+    def list_agents(self, user_id: str) -> Strs:
         return sorted(r[0] for r in self._mine(user_id).filter("agent_id is not null").select("agent_id").distinct().collect())
 
-    def list_users(self) -> list[str]:
+    def list_users(self) -> Strs:
         return sorted(r[0] for r in self._current("memories").select("user_id").distinct().collect())
 
-    # -- search --------------------------------------------------------------------------------------------------------
+    # == search
 
-    def search(self, query: str, user_id: str, top_k: int = 7, threshold: float | None = None, recipe: str = "HYBRID_RRF", where: dict | None = None, at: str | None = None, show_expired: bool = False, today: str | None = None) -> DataFrame:
+    def search(self, query: str, user_id: str, top_k: int = 7, threshold: float | None = None, recipe: str = "HYBRID_RRF", where: Meta = None, at: Opt = None, show_expired: bool = False, today: Opt = None) -> DataFrame:
         """(id, content, score, rank, ...) of the user's memories, by a recipe."""
         r = _recipe(recipe)
         threshold = (0.0 if r.hybrid else 0.1) if threshold is None else threshold
@@ -182,14 +184,14 @@ class Memory:
         a = self._log("accesses").groupBy("memory_id").agg(F.count("*").alias("access_count"), F.max(F.substring("accessed_at", 1, 19)).cast("timestamp_ntz").alias("last_accessed"))
         return a.select("memory_id", F.lit(1.0).alias("strength"), "access_count", "last_accessed", F.lit(0.5).alias("base_value"), F.lit(False).alias("archived"))
 
-    def log_access(self, memory_ids: list[str], access_type: str = "search", app_id: str | None = None) -> None:
+    def log_access(self, memory_ids: Strs, access_type: str = "search", app_id: Opt = None) -> None:
         self._append("accesses", [{"memory_id": i, "app_id": app_id, "access_type": access_type, "accessed_at": _now()} for i in memory_ids])
 
-    # -- typed memories ------------------------------------------------------------------------------------------------
+    # == typed memories
 
-    def add_fact(self, subject: str, predicate: str, object: str, user_id: str = "default", context: str | None = None, confidence: float = 1.0, tags: list[str] | None = None) -> str:
+    def add_fact(self, subject, predicate, object, user_id="default", context: Opt = None, confidence: float = 1.0, tags: Strs | None = None) -> str:
         i = f"fact-{uuid.uuid4()}"
-        self._append("facts", [{"id": i, "user_id": user_id, "subject": subject, "predicate": predicate, "object": object, "context": context, "confidence": confidence, "provenance": "user", "tags": tags or [], "created_at": _now()}])
+        self._append("facts", [{"id": i, "user_id": user_id, "object": object, "subject": subject, "predicate": predicate, "context": context, "confidence": confidence, "provenance": "user", "tags": tags or [], "created_at": _now()}])
         return i
 
     def add_identity(self, key: str, value: str, user_id: str) -> str:
@@ -208,16 +210,16 @@ class Memory:
         self._append("facts", rows)
         return len(rows)
 
-    def add_episode(self, content: str, user_id: str, event_type: str = "fact", at: str | None = None, **fields: str) -> str:
+    def add_episode(self, content: str, user_id: str, event_type: str = "fact", at: Opt = None, **fields: str) -> str:
         i = f"epi-{uuid.uuid4()}"
         self._append("episodes", [{"id": i, "user_id": user_id, "event_type": event_type, "content": content, "reference_time": at or _now(), **fields}])
         return i
 
-    def timeline(self, user_id: str, kinds: list[str] | None = None, k: int = 50) -> DataFrame:
+    def timeline(self, user_id: str, kinds: Strs | None = None, k: int = 50) -> DataFrame:
         rows = self._current("episodes").filter(F.col("user_id") == user_id)
         return (rows.filter(F.col("event_type").isin(*kinds)) if kinds else rows).orderBy(F.desc("reference_time"), F.desc("id")).limit(k)
 
-    def add_rule(self, rule: str, user_id: str, namespace: str = "default") -> str:
+    def add_rule(self, rule: str, user_id: str, namespace="default") -> str:
         i = f"rule-{uuid.uuid4()}"
         self._append("rules", [{"id": i, "user_id": user_id, "namespace": namespace, "rule": rule}])
         return i
@@ -235,7 +237,7 @@ class Memory:
     def rules_prompt(self, user_id: str) -> str:
         return knowledge.rules_prompt(self.rules(user_id)).first()["prompt"]
 
-    def add_causal_edge(self, cause: str, effect: str, relation: str = "causes", confidence: float = 0.5, user_id: str = "default") -> None:
+    def add_causal_edge(self, cause: str, effect: str, relation="causes", confidence=0.5, user_id: str = "default") -> None:
         self._append("causal", [{"cause": cause, "effect": effect, "relation": relation, "confidence": confidence, "user_id": user_id}])
 
     def causal_paths(self, event: str, direction: str = "effects", max_depth: int = 5) -> DataFrame:
@@ -245,9 +247,9 @@ class Memory:
     def counterfactual(self, cause: str, effect: str) -> DataFrame:
         return graph.counterfactual(self._log("causal"), self.spark.createDataFrame([(cause, effect)], "cause string, effect string"))
 
-    # -- blocks, graph, upkeep -----------------------------------------------------------------------------------------
+    # == blocks, graph, upkeep
 
-    def set_block(self, agent_id: str, label: str, value: str) -> None:
+    def set_block(self, agent_id, label, value) -> None:
         self._append("blocks", [{"agent_id": agent_id, "label": label, "value": value[:2000]}])
 
     def blocks(self, agent_id: str) -> DataFrame:
@@ -261,7 +263,7 @@ class Memory:
     def _links(self) -> DataFrame:
         return records.current(self._log("links").withColumn("id", F.concat_ws("|", "source_id", "target_id", "relation")), "id", ("seq",))
 
-    def cognify(self, text: str, user_id: str) -> dict[str, Any]:
+    def cognify(self, text: str, user_id: str) -> Answer:
         """Store a text with its entities and their relations, and link it to similar memories."""
         ids = self.add(text, user_id)
         found = entity.find_entities(text)
@@ -283,18 +285,18 @@ class Memory:
         reached = graph.graph_scores(graph.bfs(self._links(), self.spark.createDataFrame([(seed,)], "seed string"), max_depth, direction))
         return reached.join(self._current("memories").select("id", "content"), "id", "left").orderBy("depth", "id")
 
-    def reflect(self, user_id: str) -> list[str]:
+    def reflect(self, user_id: str) -> Strs:
         said = evolution.lessons(self.timeline(user_id, ["reasoning"], 20))
         new = evolution.accept_lessons(said, self.rules(user_id)).orderBy("source_id", "pos").collect()
         return [self.add_rule(r["statement"], user_id, "reflection") for r in new]
 
-    def route(self, query: str) -> list[str]:
+    def route(self, query: str) -> Strs:
         q = self.spark.createDataFrame([("q", query)], "query_id string, query string")
         return [r["namespace"] for r in routing.route(q).orderBy("rank").collect()]
 
-    # -- orchestration -------------------------------------------------------------------------------------------------
+    # == orchestration
 
-    def remember(self, text: str, user_id: str, agent_id: str | None = None) -> dict[str, Any]:
+    def remember(self, text: str, user_id: str, agent_id: Opt = None) -> dict[str, Any]:
         """Redact, skip what is stored already, store, and log the raw text as an episode."""
         clean = self.spark.createDataFrame([(text.strip(),)], "t string").select(tx.redact(F.col("t"))).first()[0]
         if not clean or not self._mine(user_id).filter(F.col("content") == clean).isEmpty():
@@ -306,7 +308,7 @@ class Memory:
             self.set_block(agent_id, "human", f"{old['value']}\n{clean}"[-2000:] if old and old["value"] else clean)
         return {"captured": True, "raw_id": raw, "memory_ids": ids}
 
-    def recall(self, query: str, user_id: str, top_k: int = 7, budget: int = 2000, agent_id: str | None = None) -> dict[str, Any]:
+    def recall(self, query: str, user_id: str, top_k: int = 7, budget: int = 2000, agent_id: Opt = None) -> dict[str, Any]:
         hits = self.search(query, user_id, 4 * top_k, recipe="FORGETTING")
         rows = hits.select(F.lit("q").alias("query_id"), "id", "score", F.col("content").alias("text"))
         fit = rerank.token_budget(rows, budget).filter(F.col("pos") < top_k).join(rows.drop("query_id"), "id").orderBy("pos").collect()

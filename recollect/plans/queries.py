@@ -87,7 +87,7 @@ def _query_vectors(s, d):
     return src.query_texts(s, d).select("query_id", hash_embed(F.col("query")).alias("query_vector"))
 
 
-# ---- records -------------------------------------------------------------------------------------------------------
+# == records
 
 @query("live", sql="SELECT id, user_id, content FROM live WHERE id = 'mem-3'")
 def get_memory(s, d):
@@ -166,7 +166,7 @@ def messages_text(s, d):
     return records.messages_text(src.table(s, d, "conversations"))
 
 
-# ---- filters and time ----------------------------------------------------------------------------------------------
+# == filters and time
 
 @query("live", sql="SELECT id FROM live WHERE agent_id <> 'en' AND user_id IN ('src1', 'src2', 'src3') AND lower(content) LIKE '%en%' AND CAST(json_extract_string(metadata, '$.n_chars') AS DOUBLE) > 500")
 def filter_ops(s, d):
@@ -215,7 +215,7 @@ def expiration(s, d):
     return _live(s, d).filter(filters.not_expired("2025-01-01")).select("id")
 
 
-# ---- search --------------------------------------------------------------------------------------------------------
+# == search
 
 @query("ve", sql="SELECT id, round(least(1.0, greatest(0.0, list_cosine_similarity(vector, (SELECT vector FROM ve WHERE id = 0)))), 9) AS score FROM ve WHERE round(list_cosine_similarity(vector, (SELECT vector FROM ve WHERE id = 0)), 9) >= 0.1 ORDER BY score DESC, id LIMIT 10")
 def vector_topk(s, d):
@@ -248,7 +248,7 @@ def keyword_overlap(s, d):
 
 
 def _lemma(t: str) -> str:
-    cases = " ".join(f"WHEN {t} LIKE '%{e}' AND length({t}) - {len(e)} >= 3 THEN left({t}, length({t}) - {len(e)})" for e in ("s", "es", "ed", "ing", "ies", "ied"))
+    cases = " ".join(f"WHEN {t} LIKE '%{e}' AND length({t}) - {len(e)} >= 3 THEN left({t}, length({t}) - {len(e)})" for e in "s es ed ing ies ied".split())
     return f"CASE WHEN length({t}) <= 3 THEN {t} {cases} ELSE {t} END"
 
 
@@ -257,7 +257,7 @@ def _bm25_sql(lemma: bool, docs: str = "dtok") -> str:
     return f"""dt AS (SELECT id, {t} AS term FROM (SELECT id, unnest(words) AS t FROM {docs})), dl AS (SELECT id, len(words) AS dl FROM {docs}), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
     q AS (SELECT query_id, {t} AS term, count(*) AS w FROM (SELECT query_id, unnest(terms) AS t FROM qtok) GROUP BY 1, 2), f AS (SELECT id, term, count(*) AS f FROM dt WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
     df AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
-    bm AS (SELECT query_id, f.id, round(sum(w * ln((n - df + 0.5) / (df + 0.5) + 1.0) * (f * 2.5) / (f + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM f JOIN q USING (term) JOIN df USING (term) JOIN dl ON dl.id = f.id, st GROUP BY 1, 2)"""
+    bm AS (SELECT query_id, f.id, round(sum(w * ln(1.0 + (n + 0.5 - df) / (0.5 + df)) * (f * 2.5) / (f + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM f JOIN q USING (term) JOIN df USING (term) JOIN dl ON dl.id = f.id, st GROUP BY 1, 2)"""
 
 
 @query("dtok", "qtok", sql=f"WITH {_bm25_sql(True)} SELECT query_id, id, score FROM bm WHERE score > 0")
@@ -284,7 +284,7 @@ def bm25_index(s, d):
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).filter("df >= 10")
 
 
-# ---- fusion --------------------------------------------------------------------------------------------------------
+# == fusion
 
 _EMB = """bk AS (SELECT id, ('0x' || right(md5(t), 2))::INT % 128 AS b, count(*) AS c FROM (SELECT id, unnest(words) AS t FROM dtok) GROUP BY 1, 2), bn AS (SELECT id, sqrt(sum(c * c)) AS n FROM bk GROUP BY 1),
     qk AS (SELECT query_id, ('0x' || right(md5(t), 2))::INT % 128 AS b, count(*) AS c FROM (SELECT query_id, unnest(terms) AS t FROM qtok) GROUP BY 1, 2), qn AS (SELECT query_id, sqrt(sum(c * c)) AS n FROM qk GROUP BY 1),
@@ -343,7 +343,7 @@ def temporal_search(s, d):
     return routing.temporal_join(hits, times.filter(filters.valid_at("2024-06-01")), 10).select("query_id", "id", "score", "rank")
 
 
-# ---- strength ------------------------------------------------------------------------------------------------------
+# == strength
 
 _DT = f"greatest(0.0, epoch_us(TIMESTAMP '{NOW}') / 1e6 - epoch_us(last_accessed) / 1e6)"
 _BASE = f"least(1.0, strength * exp(-{_DT} / greatest(1.0, least(1.0, base_value + 0.05 * access_count) * 86400.0)))"
@@ -380,7 +380,7 @@ def archive_stale(s, d):
     return strength.to_archive(src.strengths(s, d), NOW).select("memory_id")
 
 
-# ---- knowledge -----------------------------------------------------------------------------------------------------
+# == knowledge
 
 _RULES = """rs AS (SELECT rule_id, max(h) AS helpful_count, max(m) AS harmful_count, bool_or(m > h AND m >= 3) AS deprecated FROM (SELECT rule_id, CAST(sum(helpful::INT) OVER w AS BIGINT) AS h, CAST(sum((NOT helpful)::INT) OVER w AS BIGINT) AS m FROM outcomes WINDOW w AS (PARTITION BY rule_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) GROUP BY 1),
     rules AS (SELECT *, round(helpful_count / (helpful_count + harmful_count), 9) AS confidence FROM rs)"""
@@ -472,7 +472,7 @@ def token_budget(s, d):
     return rerank.token_budget(rows, 2000)
 
 
-# ---- graph ---------------------------------------------------------------------------------------------------------
+# == graph
 
 def _bfs_sql(a: str, b: str, extra: str = "") -> str:
     return f"WITH RECURSIVE r AS (SELECT unnest([3, 11, 42])::BIGINT AS seed, 0 AS depth, seed AS id UNION SELECT r.seed, depth + 1, c.{b} FROM r JOIN chain c ON c.{a} = r.id WHERE depth < 4 {extra}) SELECT seed, id, min(depth)::BIGINT AS depth FROM r WHERE id <> seed GROUP BY 1, 2"
@@ -581,7 +581,7 @@ def related_memories(s, d):
     return evolution.related(evolution.zettel_links(src.vector_entries(s, d)), v, s.range(50))
 
 
-# ---- governance ----------------------------------------------------------------------------------------------------
+# == governance
 
 @query(sql="SELECT doc_id AS request_id, doc_id % 9 <> 0 AND doc_id % 4 <> 0 AND (doc_id % 5 IN (0, 1, 2)) AS allowed, CASE WHEN doc_id % 9 = 0 THEN 'memory not found' WHEN doc_id % 4 = 0 THEN 'memory state is paused (not active)' WHEN doc_id % 5 = 0 THEN 'self access' WHEN doc_id % 5 >= 3 THEN 'app_id is empty' ELSE 'app app-' || doc_id % 5 || ' access granted' END AS reason FROM documents")
 def access_check(s, d):
@@ -662,7 +662,7 @@ def business_metrics(s, d):
     return governance.business_metrics(_live(s, d))
 
 
-# ---- text and entities ---------------------------------------------------------------------------------------------
+# == text and entities
 
 @query("live", "dtok", sql=f"SELECT id, len(words) AS n, list_transform(list_slice(words, 1, 30), lambda t: {_lemma('t')}) AS lemmas FROM dtok")
 def lemmatize(s, d):
@@ -758,7 +758,7 @@ def reflect(s, d):
     return evolution.accept_lessons(evolution.lessons(e), r).groupBy("source_id").agg(F.count("*").alias("n"))
 
 
-# ---- reranking and routing -----------------------------------------------------------------------------------------
+# == reranking and routing
 
 @query()
 def mmr(s, d):
@@ -817,7 +817,7 @@ def fact_search(s, d):
     return routing.fact_scores(search.cosine_scores(src.vector_entries(s, d), _vector_queries(s, d)), facts).select("query_id", "id", "score", "weighted", "rank")
 
 
-# ---- rows, references and small tables -----------------------------------------------------------------------------
+# == rows, references and small tables
 
 @query("memories", sql="SELECT user_id, count(*) AS n FROM memories WHERE is_deleted = 0 AND user_id < 'src2' GROUP BY 1")
 def delete_all(s, d):
@@ -1053,7 +1053,7 @@ def rerank_noop(s, d):
     return rerank.passthrough(search.cosine_scores(src.vector_entries(s, d), _vector_queries(s, d)), 3)
 
 
-# ---- streams -------------------------------------------------------------------------------------------------------
+# == streams
 
 def _stream(s, d, name):
     return s.readStream.schema(src.table(s, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,5 +138,3 @@ def dump(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifex
         raise ValueError(f"unknown kind: {kind}")
     df.write.mode(mode).format(kind).save(path)
 
-
-MEMORY = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "user_id", "agent_id", "session_id", "content", "metadata")])

@@ -13,7 +13,7 @@ def memory(spark, tmp_path):
 def test_preferences_are_recalled(memory):
     said = ["Alice likes dark roast coffee", "Alice prefers trains over planes", "Alice works with Python daily", "Alice plays the cello", "Alice lives in Lisbon"]
     asked = ["coffee roast", "trains or planes", "Python work", "cello plays", "lives Lisbon"]
-    memory.add([{"role": "user", "content": t} for t in [*said, said[0]]], "alice")
+    memory.add([dict(content=t, role="user") for t in [*said, said[0]]], "alice")
     assert memory.get_all("alice").count() == 5 and memory.get_all("bob").count() == 0
     hits = [said[i] in [r["content"] for r in memory.search(q, "alice", 3, 0.01).collect()] for i, q in enumerate(asked)]
     assert sum(hits) >= 4
