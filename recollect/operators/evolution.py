@@ -65,18 +65,22 @@ def alike(a: Column, b: Column) -> Column:
     return (a == b) | ((F.length(a) > 10) & b.contains(a)) | ((F.length(b) > 10) & a.contains(b))
 
 
-def accept_lessons(proposals: DataFrame, rules: DataFrame) -> DataFrame:
+def accept_lessons(proposals: DataFrame, rules: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Lessons that no rule says already; of alike proposals the first (by source_id, pos) stays.
 
     A proposal is dropped only for one that itself was accepted, as if they came one
-    by one. Proposals are few (lines of the latest episodes): they are folded per
-    user in one array.
+    by one. Proposals are few (lines of a user's latest episodes): they are folded
+    in an array for each value of ``by``, which rules then carry, too.
     """
-    fresh = proposals.join(rules.select("rule"), alike(F.col("statement"), F.col("rule")), "left_anti")
+    known = rules.select("rule", *[F.col(c).alias(f"__{c}") for c in by])
+    same = alike(F.col("statement"), F.col("rule"))
+    for c in by:
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    fresh = proposals.join(known, same, "left_anti")
     items = F.array_sort(F.collect_list(F.struct("source_id", "pos", "statement")))
     kind = f"array<struct<source_id:{dict(proposals.dtypes)['source_id']},pos:int,statement:string>>"
     kept = F.aggregate(items, F.array().cast(kind), lambda s, x: F.when(F.exists(s, lambda y: alike(x["statement"], y["statement"])), s).otherwise(F.array_append(s, x)))
-    return fresh.agg(F.explode(kept).alias("x")).select("x.source_id", "x.pos", "x.statement")
+    return fresh.groupBy(*by).agg(kept.alias("kept")).select(*by, F.explode("kept").alias("x")).select(*by, "x.source_id", "x.pos", "x.statement")
 
 
 def capture(rows: DataFrame, by: str = "user_id", order: str = "seq", text: str = "text") -> DataFrame:

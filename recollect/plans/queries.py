@@ -751,11 +751,19 @@ def capture(s, d):
     return evolution.capture(rows).select("user_id", "seq", "text_hash")
 
 
-@query(sql="SELECT 1 AS source_id, 1 AS n")
+@query(sql="SELECT source_id, statement FROM (SELECT conv_id * 1000 + turn AS source_id, trim(unnest(string_split(trim(text), chr(10)))) AS statement FROM conversations UNION ALL SELECT conv_id * 1000 + turn, trim(role) FROM conversations) WHERE length(statement) >= 5")
+def reflect_lessons(s, d):
+    c = src.table(s, d, "conversations")
+    return evolution.lessons(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("thoughts"), F.col("role").alias("action"))).select("source_id", "statement")
+
+
+@query()
 def reflect(s, d):
-    e = s.createDataFrame([(1, "keep tests small\nok", "Run the linter first"), (2, "keep tests small and fast", None)], "id long, thoughts string, action string")
-    r = s.createDataFrame([("run the linter first",)], "rule string")
-    return evolution.accept_lessons(evolution.lessons(e), r).groupBy("source_id").agg(F.count("*").alias("n"))
+    c = src.table(s, d, "conversations")
+    said = evolution.lessons(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("thoughts"), F.col("role").alias("action")))
+    said = said.withColumn("user_id", F.floor(F.col("source_id") / 1000))
+    rules = c.filter("turn = 0").select(F.col("conv_id").alias("user_id"), F.col("text").alias("rule"))
+    return evolution.accept_lessons(said, rules, ("user_id",))
 
 
 # == reranking and routing
