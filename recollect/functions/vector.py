@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,17 +44,17 @@ def hash_embed(text: Column, dimension: int = DIMENSION) -> Column:
     if dimension not in (2, 4, 8, 16, 32, 64, 128, 256):
         raise ValueError("dimension must be a power of two up to 256")
 
-    @F.pandas_udf("array<double>")
-    def embed(tokens: pd.Series) -> pd.Series:
-        place: dict[str, int] = {}
-        out = []
-        for row in tokens:
-            row = [] if row is None else row
-            for t in row:
-                if t not in place:
-                    place[t] = hashlib.md5(t.encode("utf-8")).digest()[-1] % dimension
-            counts = np.bincount([place[t] for t in row], minlength=dimension).astype(float) if len(row) else np.zeros(dimension)
-            out.append(counts / max(float(np.sqrt((counts * counts).sum())), 1e-300))
-        return pd.Series(out)
+    @F.arrow_udf("array<double>")
+    def embed(tokens: pa.Array) -> pa.Array:
+        if isinstance(tokens, pa.ChunkedArray):
+            tokens = tokens.combine_chunks()
+        n = len(tokens)
+        size = tokens.value_lengths().fill_null(0).to_numpy()
+        words = tokens.flatten().dictionary_encode()
+        place = np.array([hashlib.md5(t.encode("utf-8")).digest()[-1] % dimension for t in words.dictionary.to_pylist()], dtype=np.int64)
+        cell = np.repeat(np.arange(n), size) * dimension + place[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        counts = np.bincount(cell, minlength=n * dimension).reshape(n, dimension).astype(float)
+        unit = counts / np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), 1e-300)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dimension), pa.array(unit.ravel()))
 
     return embed(tokenize(text))

@@ -56,7 +56,7 @@ def keyword_overlap(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, words: Column) -> DataFrame:
     """(term, id, tf, length): the inverted index of (id, text)."""
-    rows = docs.select("id", words.alias("words")).select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
+    rows = docs.select("id", words.alias("words")).select("id", F.size("words").alias("length"), F.explode_outer("words").alias("term")).filter("term is not null")
     return rows.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
 
 
@@ -75,7 +75,8 @@ def bm25(docs: DataFrame, queries: DataFrame, lemmatized: bool = True, k1: float
     terms = queries.select("query_id", *by, F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", *by, "term").agg(F.count("*").alias("weight"))
     wanted = small_side(terms.select(*by, "term").distinct())
     # counted with the words still beside each other: one row a document and query term
-    counts = d.select("id", *by, F.size("words").alias("dl"), F.explode("words").alias("term")).join(wanted, [*by, "term"]).groupBy("id", *by, "dl", "term").agg(F.count("*").alias("f"))
+    # (an inner explode would have the words computed once more below it, to filter out documents without any)
+    counts = d.select("id", *by, F.size("words").alias("dl"), F.explode_outer("words").alias("term")).join(wanted, [*by, "term"]).groupBy("id", *by, "dl", "term").agg(F.count("*").alias("f"))
     df = counts.groupBy(*by, "term").agg(F.count("*").alias("df"))
     scored = counts.join(terms, [*by, "term"]).join(df, [*by, "term"])
     scored = scored.join(stats, by) if by else scored.crossJoin(F.broadcast(stats))

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores, where a table has fewer files than there are cores; otherwise as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _iso(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM-dd")
 
@@ -22,7 +28,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as memories: tenant, agent and session ids, validity as ISO days, JSON metadata."""
     i = F.col("doc_id")
     valid = F.when(i % 4 == 0, None).otherwise(_iso(_plus(i % 300)))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("mem-"), i.cast("string")).alias("id"),
         F.col("source").alias("user_id"),
         F.when(i % 7 == 0, None).otherwise(F.col("lang")).alias("agent_id"),
