@@ -6,7 +6,9 @@ overlap by three quarters, so a text that holds the template has a window that
 holds all of it, with a Jaccard similarity of at least ``LEAST``, even with the
 share of words changed that verification allows. ``BANDS`` bands of ``ROWS``
 MinHash values make such a window share a band with the template with a
-probability of over 0.99 (``collision``). Candidates are then counted exactly:
+probability of over 0.99 (``collision``). A template of ``_SHORT`` shingles or
+fewer is too small a share of any window for that: it is looked up by each of its
+shingles instead, which misses none. Candidates are then counted exactly:
 the share of the template's distinct shingles that the window, widened to its
 neighbours, holds.
 """
@@ -46,6 +48,7 @@ TEMPLATES = {
     "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced or transmitted in any form without permission.",
+    "all-rights-reserved-name": "All rights reserved.",
 }
 
 SHINGLE = 2
@@ -54,6 +57,8 @@ BANDS, ROWS = 16, 1
 LEAST = 0.3
 #: Widths of windows, in shingles; the stride is a quarter of the width.
 _SMALLEST = 8
+#: Templates of so few shingles have windows of half the smallest width, and are found without bands.
+_SHORT = 3
 
 _A = (mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 _B = mix64(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)).astype(np.uint32)
@@ -84,6 +89,7 @@ class Index:
     length: list[int]
     width: list[int]
     keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    short: list[int]
 
 
 def _band_keys(mins: np.ndarray) -> np.ndarray:
@@ -98,16 +104,20 @@ def _band_keys(mins: np.ndarray) -> np.ndarray:
 def index(templates: dict[str, str]) -> Index:
     names, sets, length, width = [], [], [], []
     keys: dict[int, list] = {}
+    short = []
     for name in sorted(templates):
         h, _ = shingles(words(normalise(pa.array([templates[name]]))), SHINGLE)
         if len(h) == 0:
             raise ValueError(f"template {name} has under {SHINGLE} words")
-        w = _SMALLEST
+        w = _SMALLEST // 2 if len(h) <= _SHORT else _SMALLEST
         # a text that starts anywhere, on a grid of w / 4, must fit into one window
         while w - w // 4 < len(h):
             w *= 2
-        mins = np.stack([(h.astype(np.uint32) * _A[f] + _B[f]).min(keepdims=True) for f in range(BANDS * ROWS)])
-        keys.setdefault(w, []).append((_band_keys(mins)[:, 0], len(names), mins[::ROWS, 0] & _LOW))
+        if w < _SMALLEST:
+            short.append(len(names))
+        else:
+            mins = np.stack([(h.astype(np.uint32) * _A[f] + _B[f]).min(keepdims=True) for f in range(BANDS * ROWS)])
+            keys.setdefault(w, []).append((_band_keys(mins)[:, 0], len(names), mins[::ROWS, 0] & _LOW))
         names.append(name)
         sets.append(np.unique(h))
         length.append(len(h))
@@ -121,11 +131,11 @@ def index(templates: dict[str, str]) -> Index:
         for e in entries:
             maybe[np.arange(BANDS), e[2]] = True
         flat[w] = (k[order], t[order], maybe)
-    return Index(names, sets, length, width, flat)
+    return Index(names, sets, length, width, flat, short)
 
 
 def candidates(h: np.ndarray, first: np.ndarray, ix: Index) -> np.ndarray:
-    """Rows (document, start, end, template) of windows that share a band with a template of their width; start, end: shingles of the slice."""
+    """Rows (document, start, end, template) of windows that share a band with a template of their width, or a shingle with a short one; start, end: shingles of the slice."""
     count = np.diff(first)
     stride = _SMALLEST // 4
     blocks = -(-count // stride)
@@ -138,8 +148,12 @@ def candidates(h: np.ndarray, first: np.ndarray, ix: Index) -> np.ndarray:
     x = h.astype(np.uint32)
     mins = np.stack([_minhash(x, heads, f) for f in range(BANDS * ROWS)])
     out = []
+    for t in ix.short:
+        spot = np.flatnonzero(np.isin(h, ix.shingle[t]))
+        own = np.searchsorted(first, spot, side="right") - 1
+        out.append(np.stack([own, np.maximum(spot - ix.width[t], first[own]), np.minimum(spot + ix.width[t], first[own + 1]), np.full(len(spot), t)], axis=1))
     w = _SMALLEST
-    while True:
+    while ix.keys:
         # minima of windows of four blocks, from block to block; past the document's end there is nothing
         n = mins.shape[1]
         window = mins.copy()

@@ -66,3 +66,31 @@ def test_two_copies_two_rows(spark):
 
 def test_edges(nasty, empty):
     assert scan(nasty).count() == 0 and scan(empty).count() == 0
+
+
+def test_lines_as_they_stand_in_documents(spark):
+    """Lines of the test tables, not made from TEMPLATES; the bare notice has two shingles and stands anywhere, also alone or changed in one word."""
+    lines = {
+        "all-rights-reserved-name": ["All rights reserved.", "ALL RIGHTS RESERVED", "(c) 2019 Some Press -- all rights reserved"],
+        "gpl-3.0-name": ["This program is licensed under the GNU General Public License, version 3."],
+        "cc-by-nc-4.0-name": ["This work is licensed under CC BY-NC 4.0."],
+    }
+    rng = random.Random(8)
+    rows, want = [], {}
+    for name, texts in lines.items():
+        for line in texts:
+            for before, after in ((0, 0), (0, 40), (40, 0), *((rng.randint(1, 400), rng.randint(1, 400)) for _ in range(25))):
+                want[len(rows)] = {name}
+                rows.append((len(rows), f"{prose(rng, before)}\n{line}\n{prose(rng, after)}", "en", "s", 0))
+    for line in ("all rights belong to them", "no rights reserved", "reserved rights all"):
+        rows.append((len(rows), f"{prose(rng, 50)}\n{line}\n{prose(rng, 50)}", "en", "s", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    got: dict[int, set] = {}
+    for r in scan(docs).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    short = {i for i, x in want.items() if x == {"all-rights-reserved-name"}}
+    assert {i: x for i, x in got.items() if i in short or i not in want} == {i: want[i] for i in short}
+    # these are found by bands, of which each window shares one with a probability of over 0.99
+    assert sum(got.get(i) == x for i, x in want.items()) >= 0.98 * len(want)
+    alone = scan(docs, {"bare": "All rights reserved."}).collect()
+    assert {r["doc_id"] for r in alone} == short and all(r["end_word"] - r["first_word"] == 3 for r in alone)
