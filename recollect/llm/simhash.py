@@ -3,15 +3,13 @@
 The fingerprint of a document is the sign of the sum of its features' hash bits;
 features are its distinct words and distinct pairs of neighbouring words (words
 alone would take two texts of one small vocabulary for copies). Two documents
-are near duplicates when their fingerprints differ in at most ``radius`` bits
-and the smaller has at least ``size_ratio`` of the larger's features. 54 of 256
+are near duplicates when their fingerprints differ in at most ``radius`` bits,
+whatever their sizes. 54 of 256
 bits is a cosine of 0.79 between the feature sets: about six words changed in a
 hundred, one by one, or more in a row.
 
 Documents of equal fingerprint are folded first. The distinct fingerprints are
-laid out in tiles: by size band (a factor 1 / ``size_ratio`` wide, so partners
-are in the same or the next band) and inside it in order of population count.
-Tile pairs whose population counts are further apart than the radius are never
+laid out in tiles in order of population count. Tile pairs whose population counts are further apart than the radius are never
 formed; the rest is compared by numpy exclusive-or and bit counts in blocks,
 which are skipped by the same rule. Every tile pair hands on a spanning forest
 of its hits, not all of them, so a group of thousands costs thousands of edges.
@@ -33,8 +31,11 @@ from recollect.llm.components import components
 
 BITS = 256
 RADIUS = 54
+#: Of ``compare`` on its own; near duplicates are not held to it.
 SIZE_RATIO = 0.8
-TILE_ROWS = 32768
+#: Least rows of a tile; beyond, the root of so many times the rows.
+TILE_ROWS = 8192
+TILE_SPREAD = 1000
 BLOCK_ROWS = 512
 
 _LANES = np.array([int.from_bytes(bytes((b >> i) & 1 for i in range(8)), "little") for b in range(256)], dtype=np.uint64)
@@ -105,10 +106,10 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def compare(fa, na, fb, nb, radius: int = RADIUS, size_ratio: float = SIZE_RATIO, same: bool = False, block: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """All index pairs (i of a, j of b) within the radius and size ratio; ``same``: a is b, pairs once.
+def compare(fa, na, fb, nb, radius: int = RADIUS, size_ratio: float | None = SIZE_RATIO, same: bool = False, block: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs (i of a, j of b) within the radius and, unless it is None, the size ratio; ``same``: a is b, pairs once.
 
-    ``fa``, ``fb``: n x 4 uint64. Blocks in order of population count are skipped
+    ``near_edges`` gives no size ratio. ``fa``, ``fb``: n x 4 uint64. Blocks in order of population count are skipped
     where no two counts are within the radius.
     """
     if len(fa) == 0 or len(fb) == 0:
@@ -137,41 +138,45 @@ def compare(fa, na, fb, nb, radius: int = RADIUS, size_ratio: float = SIZE_RATIO
                 i, j = i[later], j[later]
             near = np.bitwise_count(fa[i] ^ fb[j]).sum(axis=1) <= radius
             i, j = i[near], j[near]
-            fits = np.minimum(na[i], nb[j]) >= size_ratio * np.maximum(na[i], nb[j])
-            out_i.append(oa[i[fits]])
-            out_j.append(ob[j[fits]])
+            if size_ratio is not None:
+                fits = np.minimum(na[i], nb[j]) >= size_ratio * np.maximum(na[i], nb[j])
+                i, j = i[fits], j[fits]
+            out_i.append(oa[i])
+            out_j.append(ob[j])
     if not out_i:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def near_edges(prints: DataFrame, radius: int = RADIUS, size_ratio: float = SIZE_RATIO, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Edges (src > dst) that connect exactly the near duplicates among distinct fingerprints (id, n, f0..f3)."""
-    width = -math.log(size_ratio)
+def near_edges(prints: DataFrame, radius: int = RADIUS, tile_rows: int | None = None) -> DataFrame:
+    """Edges (src > dst) that connect exactly the near duplicates among distinct fingerprints (id, f0..f3).
+
+    ``tile_rows`` grows with the root of the rows where it isn't given, and with it
+    both the number of tiles, as often as which a row is copied, and a tile pair's work.
+    """
+    if tile_rows is None:
+        tile_rows = max(TILE_ROWS, math.isqrt(TILE_SPREAD * prints.count()))
     pop = sum((F.bit_count(F.col(f"f{i}")) for i in range(1, 4)), F.bit_count("f0"))
-    rows = prints.withColumn("band", F.floor(F.log("n") / F.lit(width) + F.lit(1e-9)).cast("int")).withColumn("pop", pop)
-    # A band's rows in order of population count, cut every tile_rows: a cell's rows are spread over its stretch by hash.
-    cell = rows.groupBy("band", "pop").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("band").orderBy("pop").rowsBetween(Window.unboundedPreceding, -1)
-    cell = cell.withColumn("s", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    # cells are at most 257 a band, whatever the rows: the join is a broadcast of bounded size
-    rows = rows.join(F.broadcast(cell), ["band", "pop"]).withColumn("tile", F.floor((F.col("s") + F.pmod(F.xxhash64("id"), F.col("c"))) / F.lit(tile_rows)))
-    tiles = rows.groupBy("band", "tile").agg(F.min("pop").alias("lo"), F.max("pop").alias("hi"))
-    left = tiles.select(F.col("band").alias("lb"), F.col("tile").alias("lt"), F.col("lo").alias("ll"), F.col("hi").alias("lh"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("rb"))
-    right = tiles.select(F.col("band").alias("rb"), F.col("tile").alias("rt"), F.col("lo").alias("rl"), F.col("hi").alias("rh"))
-    pairs = left.join(right, "rb").filter((F.col("rl") - F.col("lh") <= radius) & (F.col("ll") - F.col("rh") <= radius) & ((F.col("rb") > F.col("lb")) | (F.col("lt") <= F.col("rt"))))
-    pairs = pairs.select("lb", "lt", "rb", "rt")
-    own = (F.col("lb") == F.col("rb")) & (F.col("lt") == F.col("rt"))
-    sides = pairs.select("*", F.col("lb").alias("band"), F.col("lt").alias("tile"), F.lit(0).alias("side")).unionByName(pairs.filter(~own).select("*", F.col("rb").alias("band"), F.col("rt").alias("tile"), F.lit(1).alias("side")))
-    placed = rows.select("band", "tile", "id", "n", "f0", "f1", "f2", "f3").join(sides, ["band", "tile"])
+    rows = prints.withColumn("pop", pop)
+    # Rows in order of population count, cut every tile_rows: a cell's rows are spread over its stretch by hash.
+    cell = rows.groupBy("pop").agg(F.count("*").alias("c"))
+    # cells are at most 257, whatever the rows: the window's one partition and the broadcast are of bounded size
+    cell = cell.withColumn("s", F.coalesce(F.sum("c").over(Window.orderBy("pop").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.join(F.broadcast(cell), "pop").withColumn("tile", F.floor((F.col("s") + F.pmod(F.xxhash64("f0", "f1", "f2", "f3"), F.col("c"))) / F.lit(tile_rows)))
+    tiles = rows.groupBy("tile").agg(F.min("pop").alias("lo"), F.max("pop").alias("hi"))
+    left = tiles.select(F.col("tile").alias("lt"), F.col("lo").alias("ll"), F.col("hi").alias("lh"))
+    right = tiles.select(F.col("tile").alias("rt"), F.col("lo").alias("rl"), F.col("hi").alias("rh"))
+    pairs = left.join(right, (F.col("lt") <= F.col("rt")) & (F.col("rl") - F.col("lh") <= radius) & (F.col("ll") - F.col("rh") <= radius)).select("lt", "rt")
+    sides = pairs.select("*", F.col("lt").alias("tile"), F.lit(0).alias("side")).unionByName(pairs.filter("lt <> rt").select("*", F.col("rt").alias("tile"), F.lit(1).alias("side")))
+    placed = rows.select("tile", "id", "f0", "f1", "f2", "f3").join(sides, "tile")
 
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         side = part["side"].to_numpy()
-        ids, n = part["id"].to_numpy(), part["n"].to_numpy()
+        ids, n = part["id"].to_numpy(), np.ones(part.num_rows, np.int64)
         f = np.stack([part[f"f{i}"].to_numpy().view(np.uint64) for i in range(4)], axis=1)
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = key[0].as_py() == key[2].as_py() and key[1].as_py() == key[3].as_py()
-        i, j = compare(f[a], n[a], f[a], n[a], radius, size_ratio, True) if same else compare(f[a], n[a], f[b], n[b], radius, size_ratio)
+        same = key[0].as_py() == key[1].as_py()
+        i, j = compare(f[a], n[a], f[a], n[a], radius, None, True) if same else compare(f[a], n[a], f[b], n[b], radius, None)
         order = np.argsort(ids, kind="stable")
         rank = np.empty(len(ids), dtype=np.int64)
         rank[order] = np.arange(len(ids))
@@ -179,10 +184,10 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, size_ratio: float = SIZE
         moved = np.flatnonzero(root != np.arange(len(ids)))
         return pa.table({"src": ids[order[moved]], "dst": ids[order[root[moved]]]})
 
-    return placed.groupBy("lb", "lt", "rb", "rt").applyInArrow(run, "src long, dst long")
+    return placed.groupBy("lt", "rt").applyInArrow(run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, size_ratio: float = SIZE_RATIO, tile_rows: int = TILE_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile_rows: int | None = None) -> DataFrame:
     """Documents that copy another: (doc_id, kept_doc_id, group_size), a row for each ``doc_id`` that goes.
 
     Groups are the connected components of the near-duplicate relation; the
@@ -195,10 +200,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size_ratio: float = S
     no rows out.
     """
     prints = checkpointed(fingerprint_table(docs))
-    f = ["f0", "f1", "f2", "f3", "n"]
+    f = ["f0", "f1", "f2", "f3"]
     folded = checkpointed(prints.groupBy(*f).agg(F.min("doc_id").alias("id"), F.collect_set("doc_id").alias("ids")))
     # one id may stand for several fingerprints: equal rows of `nodes` stay apart in the comparison, equal ids meet in the components
-    near = near_edges(folded.select("id", *f), radius, size_ratio, tile_rows)
+    near = near_edges(folded.select("id", *f), radius, tile_rows)
     equal = folded.filter(F.size("ids") > 1).select(F.explode("ids").alias("src"), F.col("id").alias("dst")).filter("src != dst")
     groups = components(near.filter("src != dst").unionByName(equal))
     size = groups.groupBy("root").agg((F.count("*") + 1).alias("group_size"))

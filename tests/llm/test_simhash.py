@@ -91,3 +91,21 @@ def test_large_group_is_one(spark):
     rows = [(i, " ".join(x if rng.random() > 0.02 else "changed%d" % rng.randint(0, 9) for x in w), "en", "s", 0) for i in range(1500)]
     got = near_duplicates(spark.createDataFrame(rows, DOCS), tile_rows=500).collect()
     assert len(got) == 1499 and {r["kept_doc_id"] for r in got} == {0} and {r["group_size"] for r in got} == {1500}
+
+
+def test_copies_of_another_length(spark):
+    """Within the radius, but with far fewer features than the other: cut short, or with lines put round it."""
+    rng = random.Random(14)
+    texts = []
+    for n in (150, 300, 600, 1200):
+        t = prose(rng, n)
+        line = " ".join("menu%d" % rng.randrange(10**6) for _ in range(n // 4))
+        texts += [t, line + "\n" + t, " ".join(t.split()[: n * 7 // 10])]
+    f, n = distinct_features(pa.array(texts))
+    prints = fingerprints(f, np.cumsum(n) - n)
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if sum(int(x).bit_count() for x in prints[i] ^ prints[j]) <= 54}
+    assert sum(min(n[i], n[j]) < 0.8 * max(n[i], n[j]) for i, j in near) >= 4
+    want = brute_groups(prints, n, list(range(len(texts))), ratio=0.0)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    for rows in (3, None):
+        assert {r["doc_id"]: r["kept_doc_id"] for r in near_duplicates(docs, tile_rows=rows).collect()} == want
