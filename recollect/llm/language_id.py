@@ -28,6 +28,9 @@ SAMPLE_DOCS = 256
 #: Phrases end at every multiple of so many characters, at any length of text; strips are parsed side by side.
 STRIP = 1024
 
+#: Cells of the table that holds automata in full; those that do not fit are kept by their transitions alone.
+DENSE_CELLS = 1 << 26
+
 _OTHER, _GAP = 0, 1
 _STEP = 29
 _MASK = (1 << _STEP) - 1
@@ -69,41 +72,63 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """All languages' automata in one table of 'state and character to next state and phrases ended'."""
+    """The languages' automata: small ones in one table of 'state and character to next state and phrases ended', the others as sorted transitions.
+
+    The table takes the languages of the smallest alphabets, as many as
+    ``dense_cells`` hold, whose letters get the first codes. Neither the number of
+    languages nor their alphabets are bounded; both forms count the same phrases.
+    """
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], dense_cells: int = DENSE_CELLS):
         self.languages = sorted(samples)
         texts = [normalise(samples[k]) for k in self.languages]
-        letters = sorted({c for t in texts for c in t if c != " "})
+        alphabets = [sorted(set(t) - {" "}) for t in texts]
+        self.bits = np.log2([max(len(t), 2) for t in texts])
+        letters: dict[str, int] = {}
+        automata = {}
+        cells, self.dense, self.sparse, self.narrow = 0, [], [], 2
+        for k in sorted(range(len(texts)), key=lambda k: (len(alphabets[k]), k)):
+            new = [c for c in alphabets[k] if c not in letters]
+            letters.update(zip(new, range(len(letters) + 2, len(letters) + 2 + len(new))))
+            codes = [letters[c] if c != " " else _GAP for c in texts[k]]
+            trans = suffix_automaton(codes)
+            n = len(trans)
+            automata[k] = (n, np.repeat(np.arange(n), [len(x) for x in trans]), np.fromiter((c for x in trans for c in x), dtype=np.int64), np.fromiter((s for x in trans for s in x.values()), dtype=np.int64))
+            if not self.sparse and (cells + n) * (len(letters) + 2) <= min(dense_cells, _MASK):
+                cells += n
+                self.dense.append(k)
+                self.narrow = len(letters) + 2
+            else:
+                self.sparse.append(k)
         self.width = len(letters) + 2
         self.code = np.zeros(0x110000, dtype=np.uint8 if self.width <= 256 else np.uint32)
-        letter = np.array([ord(c) for c in letters], dtype=np.int64)
         # what is no letter is a gap; a letter that no sample holds is matched by none
         self.code[:] = _GAP
         self.code[self._letters()] = _OTHER
-        self.code[letter] = np.arange(2, self.width)
-        self.bits = np.log2([max(len(t), 2) for t in texts])
+        self.code[np.array([ord(c) for c in letters], dtype=np.int64)] = np.arange(2, self.width)
         tables, roots, base = [], [], 0
-        for t in texts:
-            trans = suffix_automaton(self.code[np.frombuffer(t.encode("utf-32-le"), np.uint32)].tolist())
-            root = base * self.width
-            start = np.full(self.width, root | (1 << _STEP), dtype=np.int64)  # a character the sample lacks: a phrase of its own
-            for c, s in trans[0].items():
-                start[c] = ((base + s) * self.width) | (1 << _STEP)  # the phrase before ends, the next begins with c
+        for k in self.dense:
+            n, rows, cols, to = automata.pop(k)
+            root = base * self.narrow
+            start = np.full(self.narrow, root | (1 << _STEP), dtype=np.int64)  # a character the sample lacks: a phrase of its own
+            # the phrase before ends, the next begins with c
+            start[cols[rows == 0]] = ((base + to[rows == 0]) * self.narrow) | (1 << _STEP)
             absent = start == (root | (1 << _STEP))
-            full = np.tile(np.where(absent, start + (1 << _STEP), start), (len(trans), 1))
+            full = np.tile(np.where(absent, start + (1 << _STEP), start).astype(np.int32), (n, 1))
             full[0] = np.where(absent, start, start - (1 << _STEP))
-            rows = np.repeat(np.arange(len(trans)), [len(x) for x in trans])
-            cols = np.fromiter((c for x in trans for c in x), dtype=np.int64)
-            full[rows, cols] = (np.fromiter((s for x in trans for s in x.values()), dtype=np.int64) + base) * self.width
-            if full.max() >> 31:
-                raise ValueError("the sample is too large")
-            tables.append(full.astype(np.int32).ravel())
+            full[rows, cols] = (to + base) * self.narrow
+            tables.append(full.ravel())
             roots.append(root)
-            base += len(trans)
-        if base * self.width > _MASK:
-            raise ValueError("the sample is too large")
-        self.table, self.roots = np.concatenate(tables), np.array(roots, dtype=np.int32)
+            base += n
+        self.table, self.roots = np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, dtype=np.int32)
+        self.edges = []
+        for k in self.sparse:
+            n, rows, cols, to = automata.pop(k)
+            key = rows * self.width + cols
+            order = np.argsort(key)
+            start = np.zeros(self.width, dtype=np.int64)  # 0: the sample lacks the character
+            start[cols[rows == 0]] = to[rows == 0]
+            self.edges.append((np.append(key[order], np.iinfo(np.int64).max), np.append(to[order], 0), start))
 
     @staticmethod
     def _letters() -> np.ndarray:
@@ -121,16 +146,32 @@ class Parser:
         size = np.minimum(chars[doc] - nth * strip, strip)
         order = np.argsort(-size, kind="stable")
         doc, start, size = doc[order], start[order], size[order]
-        state = np.tile(self.roots[:, None], (1, len(doc)))
-        count = np.zeros(state.shape, dtype=np.int32)
         active = len(doc) - np.searchsorted(size[::-1], np.arange(1, int(size[0]) + 1)) if len(size) else []
-        for j, k in enumerate(active):
-            s = self.table[state[:, :k] + codes[start[:k] + j]]
-            count[:, :k] += s >> _STEP
-            state[:, :k] = s & _MASK
-        count += state != self.roots[:, None]
         out = np.zeros((len(chars), len(self.languages)), dtype=np.int64)
-        np.add.at(out, doc, count.T)
+        if self.dense:
+            known = codes if self.narrow == self.width else np.where(codes < self.narrow, codes, _OTHER)
+            state = np.tile(self.roots[:, None], (1, len(doc)))
+            count = np.zeros(state.shape, dtype=np.int32)
+            for j, k in enumerate(active):
+                s = self.table[state[:, :k] + known[start[:k] + j]]
+                count[:, :k] += s >> _STEP
+                state[:, :k] = s & _MASK
+            count += state != self.roots[:, None]
+            own = np.zeros((len(chars), len(self.dense)), dtype=np.int64)
+            np.add.at(own, doc, count.T)
+            out[:, self.dense] = own
+        for language, (key, to, begin) in zip(self.sparse, self.edges):
+            state, count = np.zeros(len(doc), dtype=np.int64), np.zeros(len(doc), dtype=np.int64)
+            for j, k in enumerate(active):
+                c, at = codes[start[:k] + j], state[:k]
+                want = at * self.width + c
+                i = np.searchsorted(key, want)
+                hit = key[i] == want
+                # no such transition: the phrase ends, and a character that the sample lacks is one of its own
+                count[:k] += ~hit & (at != 0)
+                count[:k] += begin[c] == 0
+                state[:k] = np.where(hit, to[i], begin[c])
+            np.add.at(out[:, language], doc, count + (state != 0))
         return out, chars
 
 

@@ -61,3 +61,21 @@ def test_edges(nasty, empty):
     assert {r["language"] for r in identify(nasty.limit(3), {}).collect()} == {None}
     one = identify(nasty.filter("doc_id = 7"), {"en": "some text"}).collect()[0]
     assert one["language"] == "en" and one["runner_up"] is None
+
+
+def test_any_number_of_languages_and_scripts():
+    """What does not fit into the table is parsed by its transitions, with the same phrases; wide alphabets at the default bounds."""
+    rng = random.Random(11)
+    samples = {k: tongue(rng, v, 150) for k, v in TONGUES.items()}
+    texts = [tongue(rng, rng.choice(list(TONGUES.values())), rng.randint(1, 120)) for _ in range(30)] + ["", "q", "日本 x", "123 !!", "ñu KA"]
+    want, _ = Parser(samples).phrases(pa.array(texts), 64)
+    for cells in (0, 20_000, 60_000):
+        parser = Parser(samples, cells)
+        assert len(parser.sparse) > 0
+        assert (parser.phrases(pa.array(texts), 64)[0] == want).all()
+    wide = {f"latin{i}": tongue(rng, list(TONGUES.values())[i], 8000)[:48_000] for i in range(3)}
+    wide["han"] = "".join(chr(0x4E00 + int(2800 * rng.random() ** 2)) for _ in range(48_000))
+    parser = Parser(wide)
+    got, chars = parser.phrases(pa.array([wide["han"][100:400] + "。", wide["latin1"][50:350]]))
+    assert parser.languages[int(got[0].argmin())] == "han" and parser.languages[int(got[1].argmin())] == "latin1"
+    assert got[0].tolist() == [naive_phrases(wide[k], wide["han"][100:400] + "。", 1024) for k in parser.languages]
