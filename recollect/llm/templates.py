@@ -5,15 +5,21 @@ occurrence vector says how often it occurs on each page of a host; tokens with
 equal vectors form a class. A class is valid if it has ``min_size`` tokens on
 ``min_share`` of the pages, if its tokens come in one order on every page
 (tokens that don't are dropped), and if it nests: the root class, once on every
-page, is the outermost, and all occurrences of another class fall between the
+page of the host's skeleton, is the outermost, and all occurrences of another class fall between the
 same two root tokens. The valid classes are the template. What stands between
 template tokens, tags and scripts aside, is the page's data: its slots.
 
+A host's skeleton are the pages on which at least half of its common tokens
+occur once; common are those that occur once on ``min_share`` of its pages. Empty
+and odd pages (errors, say) thus have no say in the template; it is applied to
+them all the same.
+
 Vectors are never built over a whole host: a token's vector is summed up as
 ``sum(count * r(page))`` modulo 2**64 with a random value per page, which is
 equal for equal vectors and adds up over groups of pages. Hosts of up to
 ``GROUP_PAGES`` pages are one group; larger ones are split by hash of the page,
-and their groups' sums are added.
+and their groups' sums are added. Their common tokens, and those on ``min_share``
+of the pages, are counted over the whole host first.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm.arrow_text import mix64
@@ -139,8 +145,25 @@ def ordered(rows: np.ndarray) -> np.ndarray:
     return keep
 
 
-def deduce(tokens: list[np.ndarray], weights: np.ndarray, min_share: float, min_size: int = MIN_SIZE) -> tuple[np.ndarray, ...]:
-    """(token, signature, pages, total, valid) of the tokens on ``min_share`` of a group's pages."""
+def once_on(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that occur once on a page, page by page, and whose page each is."""
+    own = [u[c == 1] for u, c in (np.unique(t, return_counts=True) for t in tokens)]
+    return np.concatenate(own) if own else np.zeros(0, np.uint64), np.repeat(np.arange(len(own)), [len(t) for t in own])
+
+
+def skeleton(tokens: list[np.ndarray], min_share: float, common: np.ndarray | None = None) -> np.ndarray:
+    """The pages on which at least half of the common tokens occur once; by default those are counted on the pages themselves."""
+    flat, page = once_on(tokens)
+    if common is None:
+        name, pages = np.unique(flat, return_counts=True)
+        common = name[pages >= max(min_share * sum(len(t) > 0 for t in tokens), 1)]
+    if len(common) == 0:
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(2 * np.bincount(page[np.isin(flat, common)], minlength=len(tokens)) >= len(common))
+
+
+def deduce(tokens: list[np.ndarray], weights: np.ndarray, min_share: float, min_size: int = MIN_SIZE, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(token, signature, pages, total, valid) of the tokens on ``min_share`` of a group's pages, or of those ``wanted``."""
     n = len(tokens)
     page = np.repeat(np.arange(n), [len(t) for t in tokens])
     flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
@@ -154,7 +177,7 @@ def deduce(tokens: list[np.ndarray], weights: np.ndarray, min_share: float, min_
     total = np.diff(np.append(start, len(token)))
     pages = np.add.reduceat((head | np.append(True, owner[1:] != owner[:-1])).astype(np.int64), start)
     sig = np.add.reduceat(weights[owner], start)
-    often = np.flatnonzero(pages >= max(min_share * n, 1))
+    often = np.flatnonzero(pages >= max(min_share * n, 1) if wanted is None else np.isin(token[start], wanted))
     name, sig, pages, total, start = token[start][often], sig[often], pages[often], total[often], start[often]
     valid = np.zeros(len(often), dtype=bool)
     klass = np.unique(np.stack([sig, pages.astype(np.uint64), total.astype(np.uint64)], axis=1), axis=0, return_inverse=True)[1].ravel()
@@ -219,21 +242,48 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_size: int = MIN_SI
     pages each. Long pages are read whole, broken markup is read as far as it goes.
     Other columns are ignored.
 
-    In a host of several groups a token is looked at if it is on a quarter of
-    ``min_share`` of a group's pages: groups are random, of some thousand pages, so
-    that none on ``min_share`` of the host's is missed.
+    In a host of several groups the first count leaves out tokens on under a quarter
+    of ``min_share`` of a group's pages; what is on three quarters of ``min_share``
+    of the host's by that count is then counted in full, so that none on
+    ``min_share`` is missed, however the pages are spread over the groups.
     """
     base = need(pages, "page_id", "url", "html").filter("html is not null").select("page_id", host_of(F.col("url")).alias("host"), "html")
     hosts = checkpointed(base.groupBy("host").agg(F.count("*").alias("host_pages")))
     large = hosts.filter(F.col("host_pages") > group_pages).select("host", F.ceil(F.col("host_pages") / F.lit(float(group_pages))).cast("int").alias("groups"))
-    if large.count() <= BROADCAST_HOSTS:
+    split = large.count()
+    if split <= BROADCAST_HOSTS:
         large = F.broadcast(large)
     placed = base.join(large, "host", "left").select("page_id", "host", "html", F.coalesce("groups", F.lit(1)).alias("groups"), F.pmod(F.xxhash64("page_id", "html"), F.coalesce("groups", F.lit(1))).cast("int").alias("part"))
     # an exchange of its own, which the deduction and the extraction both read: the pages are shuffled once
     placed = placed.repartition(shuffle_partitions(pages.sparkSession), "host", "part")
 
+    def counts(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        if group["groups"][0].as_py() == 1:  # left out here, not before, so that the exchange is the same
+            return pa.table({"host": pa.array([], pa.string()), "token": pa.array([], pa.int64()), "on": pa.array([], pa.int64()), "once": pa.array([], pa.int64())})
+        tokens = [t for t in (keys(Page(x)) for x in group["html"].to_pylist()) if len(t)]
+        name, on = np.unique(np.concatenate([np.unique(t) for t in tokens]) if tokens else np.zeros(0, np.uint64), return_counts=True)
+        often = on >= min_share / 4 * len(tokens)
+        name, on = name[often], on[often]
+        one, times = np.unique(once_on(tokens)[0], return_counts=True)
+        once = np.zeros(len(name), np.int64)
+        if len(one):
+            at = np.minimum(np.searchsorted(one, name), len(one) - 1)
+            once = np.where(one[at] == name, times[at], 0)
+        # the row without a token says how many pages there are
+        return pa.table({"host": pa.array([key[0].as_py()] * (len(name) + 1), pa.string()), "token": pa.array([*name.view(np.int64).tolist(), None], pa.int64()), "on": pa.array([*on.tolist(), len(tokens)], pa.int64()), "once": pa.array([*once.tolist(), 0], pa.int64())})
+
+    given = placed.withColumns({"common": F.lit(None).cast("array<long>"), "wanted": F.lit(None).cast("array<long>")})
+    if split:
+        seen = placed.groupBy("host", "part").applyInArrow(counts, "host string, token long, on long, once long")
+        seen = seen.groupBy("host", "token").agg(F.sum("on").alias("on"), F.sum("once").alias("once")).withColumn("full", F.max(F.when(F.col("token").isNull(), F.col("on"))).over(Window.partitionBy("host")))
+        lists = seen.filter((F.col("token").isNotNull()) & (F.col("on") >= F.lit(0.75 * min_share) * F.col("full")))
+        lists = lists.groupBy("host").agg(F.collect_list("token").alias("wanted"), F.collect_list(F.when(F.col("once") >= F.lit(min_share) * F.col("full"), F.col("token"))).alias("common"))
+        lists = lists.join(large, "host").select("host", "wanted", "common", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
+        given = placed.join(lists, ["host", "part"], "left")
+
     def sums(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         n, parts = group.num_rows, group["groups"][0].as_py()
+        base_pages = 0
         if n < min_pages and parts == 1:
             cols = [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool)]
         else:
@@ -245,16 +295,24 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_size: int = MIN_SI
             for i, w in enumerate(weights.tolist()):
                 twin[i] = seen[w] = seen.get(w, -1) + 1
             weights = mix64(weights + twin * _K)
-            cols = deduce([keys(Page(texts[i])) for i in order], weights[order], min_share if parts == 1 else min_share / 4, min_size)
+            tokens = [keys(Page(texts[i])) for i in order]
+            common, wanted = (np.array(group[c][0].as_py() or [], dtype=np.int64).view(np.uint64) if parts > 1 else None for c in ("common", "wanted"))
+            stay = skeleton(tokens, min_share, common)
+            if parts == 1 and len(stay) < min_pages:
+                stay = stay[:0]
+            base_pages = len(stay)
+            cols = deduce([tokens[i] for i in stay], weights[order][stay], min_share, min_size, wanted)
         name, sig, on, total, valid = cols
         part = key[1].as_py()
-        return pa.table({"host": pa.array([key[0].as_py()] * len(name), pa.string()), "part": pa.array([part] * len(name), pa.int32()), "groups": pa.array([parts] * len(name), pa.int32()), "token": name.view(np.int64), "sig": sig.view(np.int64), "on": on, "total": total, "valid": valid})
+        # the row without a token says how many pages the skeleton has
+        m = len(name) + 1
+        return pa.table({"host": pa.array([key[0].as_py()] * m, pa.string()), "part": pa.array([part] * m, pa.int32()), "groups": pa.array([parts] * m, pa.int32()), "token": pa.array([*name.view(np.int64).tolist(), None], pa.int64()), "sig": np.append(sig.view(np.int64), 0), "on": np.append(on, base_pages), "total": np.append(total, 0), "valid": np.append(valid, False)})
 
-    found = placed.groupBy("host", "part").applyInArrow(sums, "host string, part int, groups int, token long, sig long, on long, total long, valid boolean")
-    # one group: its verdict stands. Several: vectors add up (modulo 2**64, hence by halves), and a token must be valid in each
+    found = given.groupBy("host", "part").applyInArrow(sums, "host string, part int, groups int, token long, sig long, on long, total long, valid boolean")
+    # one group: its verdict stands. Several: vectors add up (modulo 2**64, hence by halves), and a token must be valid in each where it is
     low, high = F.col("sig").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("sig", 32)
-    merged = found.groupBy("host", "token", "groups").agg(F.sum("on").alias("on"), F.sum("total").alias("total"), F.sum(low).alias("lo"), F.sum(high).alias("hi"), F.min("valid").alias("valid"), F.count("*").alias("n"))
-    merged = merged.filter("valid and n = groups").join(hosts, "host").filter(F.col("on") >= F.col("host_pages") * F.lit(min_share))
+    merged = found.groupBy("host", "token", "groups").agg(F.sum("on").alias("on"), F.sum("total").alias("total"), F.sum(low).alias("lo"), F.sum(high).alias("hi"), F.min("valid").alias("valid"))
+    merged = merged.withColumn("host_pages", F.max(F.when(F.col("token").isNull(), F.col("on"))).over(Window.partitionBy("host"))).filter("valid").filter((F.col("host_pages") >= min_pages) & (F.col("on") >= F.col("host_pages") * F.lit(min_share)))
     carry = F.shiftrightunsigned("lo", 32)
     merged = merged.withColumn("vector", F.struct((F.col("lo").bitwiseAND(F.lit(0xFFFFFFFF))).alias("l"), ((F.col("hi") + carry).bitwiseAND(F.lit(0xFFFFFFFF))).alias("h"), "on", "total"))
     classes = merged.groupBy("host", "host_pages", "groups", "vector").agg(F.collect_list("token").alias("tokens")).filter(F.size("tokens") >= min_size)

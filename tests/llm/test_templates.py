@@ -85,3 +85,19 @@ def test_edges(spark):
     by = {r["page_id"]: r for r in got}
     assert by[3]["host"] == "" and by[4]["slots"] == [] and len(by[6]["text"]) > 200_000
     assert extract(df.limit(0)).count() == 0
+
+
+def test_odd_pages_do_not_take_the_template_away(spark):
+    """Empty and error pages, and more equal rows than a group holds, in one group and in several."""
+    rng = random.Random(6)
+    rows = [(i, u, h, None, 1, None) for i, u, h, _ in site(rng, 200)]
+    odd = [(900, "http://one.example/e", "", None, 1, None), (901, "http://one.example/f", "<p>error", None, 1, None), (902, "http://one.example/g", "<html><body>Not found</body></html>", None, 1, None)]
+    plain = {r["page_id"]: (r["template_tokens"], r["text"]) for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(n > 20 for n, _ in plain.values())
+    for size in (2048, 50):
+        got = {r["page_id"]: (r["template_tokens"], r["text"]) for r in extract(spark.createDataFrame(rows + odd, SCHEMA), group_pages=size).collect()}
+        assert {i: got[i] for i in plain} == plain
+        assert got[900] == (0, "") and got[901] == (0, "error") and got[902][1] == "Not found"
+    same = [rows[0]] * 120 + rows[:3]
+    got = [r["template_tokens"] for r in extract(spark.createDataFrame(same, SCHEMA), group_pages=50).collect()]
+    assert len(got) == 123 and min(got) > 20
