@@ -3,24 +3,26 @@
 zstandard's ratio (bytes in / bytes out) of a whole document and of its fixed
 chunks tells repetitive text (compresses far too well) and noise (hardly
 compresses) from prose. Ratios rise with length, since the compressor learns
-as it goes, so each length has its own limits.
+as it goes, so each length has its own limits: a text's for the whole, and for
+each chunk those of the chunk's length (the last one is what is left over).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from recollect.llm.arrow_text import slices
 from recollect.llm.common import need
 
 
 @dataclass(frozen=True)
 class Band:
-    """Limits for texts of at least ``from_bytes`` bytes, up to the next band."""
+    """Limits for texts and chunks of at least ``from_bytes`` bytes, up to the next band."""
 
     from_bytes: int
     lowest: float
@@ -36,39 +38,46 @@ BANDS = (
     Band(8192, 1.45, 4.0),
     Band(32768, 1.5, 4.8),
 )
-CHUNK_BYTES = 4096
-CHUNK_LIMITS = (1.35, 3.6)
+CHUNK_BYTES = 2048
+#: Most of a text's bytes that may lie in chunks outside their limits.
 BAD_SHARE = 0.3
 LEVEL = 3
 
 RESULT = "doc_id long, n_bytes long, ratio double, n_chunks int, lowest_chunk double, highest_chunk double, bad_share double, reason string, keep boolean"
+_NAMES = ["n_bytes", "ratio", "n_chunks", "lowest_chunk", "highest_chunk", "bad_share", "reason", "keep"]
+_KINDS = [pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
 
 
-def measure(text: str | None, compressor, bands=BANDS, chunk_bytes=CHUNK_BYTES, chunk_limits=CHUNK_LIMITS, bad_share=BAD_SHARE) -> tuple:
+def measure(text: str | None, compressor, bands: tuple[Band, ...] = BANDS, chunk_bytes: int = CHUNK_BYTES, bad_share: float = BAD_SHARE) -> tuple:
     """(n_bytes, ratio, n_chunks, lowest_chunk, highest_chunk, bad_share, reason, keep) of one text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     n = len(raw)
     if not raw.strip():
         return n, None, 0, None, None, None, "empty", False
+    starts = [b.from_bytes for b in bands]
     ratio = n / len(compressor.compress(raw))
-    band = [b for b in bands if b.from_bytes <= n][-1]
-    # a short rest belongs to the chunk before it
-    cuts = list(range(0, max(n - chunk_bytes, 0) + 1, chunk_bytes)) if n >= 2 * chunk_bytes else [0]
-    low = high = share = None
-    chunks = 0
-    if n >= 2 * chunk_bytes:
-        each = np.array([len(raw[a:b]) / len(compressor.compress(raw[a:b])) for a, b in zip(cuts, [*cuts[1:], n])])
-        chunks, low, high = len(each), float(each.min()), float(each.max())
-        share = float(((each < chunk_limits[0]) | (each > chunk_limits[1])).mean())
+    band = bands[bisect_right(starts, n) - 1]
+    low = high = ratio  # a text of one chunk is that chunk
+    bad = 0 if band.lowest <= ratio <= band.highest else n
+    if n > chunk_bytes:
+        low, high, bad = float("inf"), 0.0, 0
+        for at in range(0, n, chunk_bytes):
+            chunk = raw[at : at + chunk_bytes]
+            r = len(chunk) / len(compressor.compress(chunk))
+            own = bands[bisect_right(starts, len(chunk)) - 1]
+            if not own.lowest <= r <= own.highest:
+                bad += len(chunk)
+            low, high = min(low, r), max(high, r)
+    share = bad / n
     if ratio > band.highest:
         reason = "repetitive"
     elif ratio < band.lowest:
         reason = "incompressible"
-    elif share is not None and share > bad_share:
+    elif share > bad_share:
         reason = "chunks"
     else:
         reason = None
-    return n, ratio, chunks, low, high, share, reason, reason is None
+    return n, ratio, -(-n // chunk_bytes), low, high, share, reason, reason is None
 
 
 def _zstd(level: int):
@@ -77,44 +86,45 @@ def _zstd(level: int):
     return zstandard.ZstdCompressor(level=level, write_content_size=True)
 
 
-def compression_bands(docs: DataFrame, bands: tuple[Band, ...] = BANDS, chunk_bytes: int = CHUNK_BYTES, chunk_limits: tuple[float, float] = CHUNK_LIMITS, bad_share: float = BAD_SHARE, level: int = LEVEL) -> DataFrame:
+def compression_bands(docs: DataFrame, bands: tuple[Band, ...] = BANDS, chunk_bytes: int = CHUNK_BYTES, bad_share: float = BAD_SHARE, level: int = LEVEL) -> DataFrame:
     """Measure every document and say whether it stays; one row a row of ``docs``.
 
     ``keep`` is false with ``reason`` *repetitive* or *incompressible* (the ratio
     of the whole text is outside its length's band), *chunks* (more than
-    ``bad_share`` of the chunks are outside ``chunk_limits``), or *empty*.
+    ``bad_share`` of its bytes lie in chunks outside the bands of their own
+    lengths), or *empty*.
 
-    Null and blank texts are *empty*. A null ``doc_id`` is carried along.
-    Repeated rows are judged one by one, alike. Very long texts are read whole;
-    texts of under two chunks have no chunk figures. Other columns are ignored.
+    Null and blank texts are *empty*, with 0 chunks. A text of up to
+    ``chunk_bytes`` is one chunk. A null ``doc_id`` is carried along. Repeated rows
+    are judged one by one, alike. Very long texts are read whole. Other columns
+    are ignored. No rows in, no rows out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = _zstd(level)
-        names = ["n_bytes", "ratio", "n_chunks", "lowest_chunk", "highest_chunk", "bad_share", "reason", "keep"]
-        kinds = [pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
-        for batch in batches:
-            rows = [measure(t.as_py(), z, bands, chunk_bytes, chunk_limits, bad_share) for t in batch.column(1)]
-            cols = list(zip(*rows)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", *names])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                cols = zip(*[measure(t.as_py(), z, bands, chunk_bytes, bad_share) for t in batch.column(1)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, _KINDS)]], ["doc_id", *_NAMES])
 
     return need(docs, "doc_id", "text").mapInArrow(run, RESULT)
 
 
-def keep_good(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that the compression bands keep, with all their columns.
+def keep_good(docs: DataFrame, bands: tuple[Band, ...] = BANDS, chunk_bytes: int = CHUNK_BYTES, bad_share: float = BAD_SHARE, level: int = LEVEL) -> DataFrame:
+    """The rows of ``docs`` that the compression bands keep, with all their columns, whatever those are called.
 
-    The verdict is a column computed beside the row, so nothing is joined or shuffled.
+    The verdict is computed beside the row, so nothing is joined or shuffled. Null
+    and blank texts go; a null ``doc_id`` and repeated rows are judged by their
+    text like any other. An empty table stays empty.
     """
-    limits = {"bands": BANDS, "chunk_bytes": CHUNK_BYTES, "chunk_limits": CHUNK_LIMITS, "bad_share": BAD_SHARE} | {k: v for k, v in parameters.items() if k != "level"}
-    level = parameters.get("level", LEVEL)
     names = list(docs.columns)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = _zstd(level)
-        for batch in batches:
-            yield batch.filter(pa.array([measure(t.as_py(), z, **limits)[-1] for t in batch.column(at)], pa.bool_()))
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                yield batch.filter(pa.array([measure(t.as_py(), z, bands, chunk_bytes, bad_share)[-1] for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
