@@ -16,11 +16,14 @@ Decoding looks up each id's stretch in one byte string by an offset table.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -43,6 +46,23 @@ def read_vocabulary(path: str) -> list[bytes]:
     return [t for _, t in pairs]
 
 
+class _Pieces(dict):
+    """Tokens of the pieces seen, up to a bound."""
+
+    def __init__(self, codec: "Codec"):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, piece: str) -> list[int]:
+        raw = piece.encode("utf-8", "surrogatepass")
+        ids = self.codec.encode_piece(raw)
+        if len(raw) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder of one vocabulary; every single byte must be a token."""
 
@@ -64,7 +84,7 @@ class Codec:
             self.halves.append(self._halves(i, t))
         self.offsets = np.append(0, np.cumsum(self.size)).astype(np.int64)
         self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        self.memo: dict[str, list[int]] = {}
+        self.memo = _Pieces(self)
 
     def _shorter(self, token: bytes) -> int:
         """The longest token that is a proper prefix of this one; -1: none."""
@@ -150,18 +170,7 @@ class Codec:
                 at -= size[token]
 
     def encode(self, text: str) -> list[int]:
-        memo, out = self.memo, []
-        for piece in self.split.findall(text):
-            ids = memo.get(piece)
-            if ids is None:
-                raw = piece.encode("utf-8", "surrogatepass")
-                ids = self.encode_piece(raw)
-                if len(raw) <= MEMO_BYTES:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[piece] = ids
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.split.findall(text))))
 
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of a run of ids, by the offset table."""
@@ -174,12 +183,15 @@ class Codec:
         return self.decode_bytes(np.asarray(ids, dtype=np.int64)).tobytes().decode("utf-8", "surrogatepass") if len(ids) else ""
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[bytes, Codec] = {}
 
 
 def _codec(tokens: list[bytes], pattern: str) -> Codec:
-    """One codec a worker process and vocabulary."""
-    key = hash((pattern, len(tokens), tokens[-1], b"".join(tokens[-500:])))
+    """One codec a worker process and vocabulary (all of its tokens, and the pattern, tell vocabularies apart)."""
+    digest = hashlib.md5(pattern.encode())
+    digest.update(np.array([len(t) for t in tokens], dtype=np.int64).tobytes())
+    digest.update(b"".join(tokens))
+    key = digest.digest()
     if key not in _CODECS:
         _CODECS[key] = Codec(tokens, pattern)
     return _CODECS[key]
@@ -222,9 +234,10 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PAT
 def bpe_decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) from (doc_id, ids): each id's bytes by the offset table.
 
-    Null ids give a null text, no ids an empty one. An id outside the vocabulary,
-    or a null among the ids, is an error. Bytes that aren't UTF-8, from ids no
-    encoder gave, become U+FFFD.
+    Null ids give a null text, no ids an empty one. A null among the ids, or an id
+    outside the vocabulary, makes the row's text null. Bytes that aren't UTF-8, from
+    ids no encoder gave, become U+FFFD. Null doc_ids and repeated rows are carried
+    along, long lists are decoded whole, other columns are ignored.
     """
     shared = coded.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
@@ -234,18 +247,17 @@ def bpe_decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         pool = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         for b in batches:
             lists = b.column("ids")
-            flat = lists.flatten()
-            if flat.null_count:
-                raise ValueError("a null among the ids")
-            ids = flat.to_numpy().astype(np.int64)
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(tokens)):
-                raise ValueError("an id is outside the vocabulary")
+            ids = pc.fill_null(lists.flatten(), -1).to_numpy().astype(np.int64)
+            wrong = (ids < 0) | (ids >= len(tokens))
+            ids = np.where(wrong, 0, ids)
             n = offsets[ids + 1] - offsets[ids]
             upto = np.append(0, np.cumsum(n))
             raw = pool[np.arange(int(n.sum())) + np.repeat(offsets[ids] - upto[:-1], n)].tobytes()
             counts = lists.value_lengths().fill_null(0).to_numpy()
-            ends = upto[np.append(0, np.cumsum(counts))].tolist()
-            valid = lists.is_valid().to_pylist()
+            rows = np.append(0, np.cumsum(counts))
+            ends = upto[rows].tolist()
+            bad = np.append(0, np.cumsum(wrong))[rows]
+            valid = (lists.is_valid().to_numpy(zero_copy_only=False) & (bad[1:] == bad[:-1])).tolist()
             texts = [raw[s:e].decode("utf-8", "replace") if ok else None for s, e, ok in zip(ends[:-1], ends[1:], valid)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 

@@ -4,15 +4,16 @@ The fingerprint of a document is the sign of the sum of its features' hash bits;
 features are its distinct words and distinct pairs of neighbouring words (words
 alone would take two texts of one small vocabulary for copies). Two documents
 are near duplicates when their fingerprints differ in at most ``radius`` bits,
-whatever their sizes. 54 of 256
-bits is a cosine of 0.79 between the feature sets: about six words changed in a
-hundred, one by one, or more in a row.
+whatever their sizes. 54 of 256 bits is a cosine of 0.79 between the feature
+sets: about six words changed in a hundred, one by one, or more in a row.
 
 Documents of equal fingerprint are folded first. The distinct fingerprints are
-laid out in tiles in order of population count. Tile pairs whose population counts are further apart than the radius are never
-formed; the rest is compared by numpy exclusive-or and bit counts in blocks,
-which are skipped by the same rule. Every tile pair hands on a spanning forest
-of its hits, not all of them, so a group of thousands costs thousands of edges.
+laid out in tiles in order of population count. Tile pairs whose population
+counts are further apart than the radius are never formed; the rest is compared
+by numpy exclusive-or and bit counts in blocks, which are skipped by the same
+rule. Every tile pair hands on a spanning forest of its hits, not all of them,
+so a group of thousands costs thousands of edges. Comparing is quadratic in the
+number of distinct fingerprints, with population counts as the only saving.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ from recollect.llm.components import components
 
 BITS = 256
 RADIUS = 54
-#: Of ``compare`` on its own; near duplicates are not held to it.
-SIZE_RATIO = 0.8
 #: Least rows of a tile; beyond, the root of so many times the rows.
 TILE_ROWS = 8192
 TILE_SPREAD = 1000
@@ -106,18 +105,20 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def compare(fa, na, fb, nb, radius: int = RADIUS, size_ratio: float | None = SIZE_RATIO, same: bool = False, block: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """All index pairs (i of a, j of b) within the radius and, unless it is None, the size ratio; ``same``: a is b, pairs once.
+def compare(fa: np.ndarray, fb: np.ndarray, radius: int = RADIUS, same: bool = False, block: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs (i of a, j of b) within the radius; ``same``: a is b, pairs once.
 
-    ``near_edges`` gives no size ratio. ``fa``, ``fb``: n x 4 uint64. Blocks in order of population count are skipped
+    ``fa``, ``fb``: n x 4 uint64. Blocks in order of population count are skipped
     where no two counts are within the radius.
     """
     if len(fa) == 0 or len(fb) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     pa_, pb_ = (np.bitwise_count(f).sum(axis=1).astype(np.int64) for f in (fa, fb))
     oa, ob = np.argsort(pa_, kind="stable"), np.argsort(pb_, kind="stable")
-    fa, na, pa_, fb, nb, pb_ = fa[oa], na[oa], pa_[oa], fb[ob], nb[ob], pb_[ob]
+    fa, pa_, fb, pb_ = fa[oa], pa_[oa], fb[ob], pb_[ob]
     a_, b_ = ([np.ascontiguousarray(f[:, i]) for i in range(3)] for f in (fa, fb))
+    bits = np.empty((block, block), dtype=np.uint64)
+    counts = [np.empty((block, block), dtype=np.uint8) for _ in range(2)]
     out_i, out_j = [], []
     for s in range(0, len(fa), block):
         e = min(s + block, len(fa))
@@ -126,23 +127,21 @@ def compare(fa, na, fb, nb, radius: int = RADIUS, size_ratio: float | None = SIZ
         for t in range(max(lo, s) if same else lo, hi, block):
             u = min(t + block, hi)
             # three of the four words are enough to rule nearly all pairs out
-            d = np.bitwise_count(x[0] ^ b_[0][None, t:u])
-            d += np.bitwise_count(x[1] ^ b_[1][None, t:u])
-            d += np.bitwise_count(x[2] ^ b_[2][None, t:u])
-            hit = np.flatnonzero(d.ravel() <= radius)
-            if len(hit) == 0:
+            w, d, c = bits[: e - s, : u - t], counts[0][: e - s, : u - t], counts[1][: e - s, : u - t]
+            np.bitwise_count(np.bitwise_xor(x[0], b_[0][None, t:u], out=w), out=d)
+            for k in (1, 2):
+                np.bitwise_count(np.bitwise_xor(x[k], b_[k][None, t:u], out=w), out=c)
+                np.add(d, c, out=d)
+            if d.min() > radius:
                 continue
-            i, j = hit // (u - t) + s, hit % (u - t) + t
+            i, j = np.nonzero(d <= radius)
+            i, j = i + s, j + t
             if same:
                 later = i < j
                 i, j = i[later], j[later]
             near = np.bitwise_count(fa[i] ^ fb[j]).sum(axis=1) <= radius
-            i, j = i[near], j[near]
-            if size_ratio is not None:
-                fits = np.minimum(na[i], nb[j]) >= size_ratio * np.maximum(na[i], nb[j])
-                i, j = i[fits], j[fits]
-            out_i.append(oa[i])
-            out_j.append(ob[j])
+            out_i.append(oa[i[near]])
+            out_j.append(ob[j[near]])
     if not out_i:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(out_i), np.concatenate(out_j)
@@ -172,11 +171,11 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, tile_rows: int | None =
 
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         side = part["side"].to_numpy()
-        ids, n = part["id"].to_numpy(), np.ones(part.num_rows, np.int64)
+        ids = part["id"].to_numpy()
         f = np.stack([part[f"f{i}"].to_numpy().view(np.uint64) for i in range(4)], axis=1)
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = key[0].as_py() == key[1].as_py()
-        i, j = compare(f[a], n[a], f[a], n[a], radius, None, True) if same else compare(f[a], n[a], f[b], n[b], radius, None)
+        i, j = compare(f[a], f[a], radius, True) if same else compare(f[a], f[b], radius)
         order = np.argsort(ids, kind="stable")
         rank = np.empty(len(ids), dtype=np.int64)
         rank[order] = np.arange(len(ids))

@@ -1,3 +1,4 @@
+import base64
 import random
 
 import tiktoken
@@ -51,6 +52,24 @@ def test_texts_against_tiktoken_and_round_trip(spark):
     assert {r["doc_id"]: r["text"] for r in bpe_decode(coded).collect()} == dict(rows)
 
 
+def test_vocabularies_that_agree_at_the_end(spark, tmp_path):
+    """Each is encoded by its own codec, also within one worker."""
+    rest = [b"x%d" % i for i in range(600)]
+    for name, pair in (("one", b"ab"), ("two", b"cd")):
+        tokens = [bytes([b]) for b in range(256)] + [pair] + rest
+        (tmp_path / name).write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(tokens)))
+    docs = spark.createDataFrame([(1, "abcd")], "doc_id long, text string").coalesce(1)
+    got = {name: bpe_encode(docs, str(tmp_path / name)).first()["ids"] for name in ("one", "two")}
+    assert got == {"one": [256, 99, 100], "two": [97, 98, 256]}
+
+
+def test_odd_ids(spark):
+    rows = [(1, [64, None]), (2, [10**6]), (3, [-1, 64]), (4, []), (5, None), (None, [64]), (6, [64, 65])]
+    got = [(r["doc_id"], r["text"]) for r in bpe_decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()]
+    tokens = read_vocabulary(VOCABULARY)
+    assert got == [(1, None), (2, None), (3, None), (4, ""), (5, None), (None, tokens[64].decode()), (6, (tokens[64] + tokens[65]).decode())]
+
+
 def test_edges(nasty, empty):
     rows = bpe_encode(nasty)
     got = rows.collect()

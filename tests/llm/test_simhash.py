@@ -8,7 +8,7 @@ from recollect.llm.simhash import compare, distinct_features, drop_near_duplicat
 from .conftest import DOCS, prose
 
 
-def brute_groups(prints, n, ids, radius=54, ratio=0.8):
+def brute_groups(prints, ids, radius=54):
     root = {i: i for i in ids}
 
     def find(x):
@@ -19,7 +19,7 @@ def brute_groups(prints, n, ids, radius=54, ratio=0.8):
     for i in range(len(ids)):
         for j in range(i):
             d = sum(int(x).bit_count() for x in prints[i] ^ prints[j])
-            if d <= radius and min(n[i], n[j]) >= ratio * max(n[i], n[j]):
+            if d <= radius:
                 a, b = find(ids[i]), find(ids[j])
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids if find(i) != i}
@@ -54,18 +54,17 @@ def test_compare_is_exact():
     rng = np.random.default_rng(3)
     f = rng.integers(0, 1 << 63, (300, 4)).astype(np.uint64)
     f[100:200] = f[:100] ^ (np.uint64(1) << rng.integers(0, 63, (100, 4)).astype(np.uint64))
-    n = rng.integers(50, 100, 300)
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if sum(int(x).bit_count() for x in f[i] ^ f[j]) <= 100 and min(n[i], n[j]) >= 0.8 * max(n[i], n[j])}
-    i, j = compare(f, n, f, n, radius=100, same=True, block=37)
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if sum(int(x).bit_count() for x in f[i] ^ f[j]) <= 100}
+    i, j = compare(f, f, radius=100, same=True, block=37)
     assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == want and want
-    i, j = compare(f[:150], n[:150], f[150:], n[150:], radius=100, block=37)
+    i, j = compare(f[:150], f[150:], radius=100, block=37)
     assert {(a, b + 150) for a, b in zip(i.tolist(), j.tolist())} == {(a, b) for a, b in want if a < 150 <= b}
 
 
 def test_groups_against_brute_force(spark):
     texts = corpus(random.Random(2))
     f, n = distinct_features(pa.array(texts))
-    want = brute_groups(fingerprints(f, np.cumsum(n) - n), n, list(range(len(texts))))
+    want = brute_groups(fingerprints(f, np.cumsum(n) - n), list(range(len(texts))))
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
     for rows in (7, 32768):
         got = near_duplicates(docs, tile_rows=rows).collect()
@@ -105,7 +104,22 @@ def test_copies_of_another_length(spark):
     prints = fingerprints(f, np.cumsum(n) - n)
     near = {(i, j) for j in range(len(texts)) for i in range(j) if sum(int(x).bit_count() for x in prints[i] ^ prints[j]) <= 54}
     assert sum(min(n[i], n[j]) < 0.8 * max(n[i], n[j]) for i, j in near) >= 4
-    want = brute_groups(prints, n, list(range(len(texts))), ratio=0.0)
+    want = brute_groups(prints, list(range(len(texts))))
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
     for rows in (3, None):
         assert {r["doc_id"]: r["kept_doc_id"] for r in near_duplicates(docs, tile_rows=rows).collect()} == want
+
+
+def test_appended_text_is_near_whenever_the_radius_says_so(spark):
+    """Texts with 30 % put at the end: every pair within the radius is found, and nearly all are within it."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(60):
+        t = prose(rng, 200)
+        texts += [t, f"{t} {prose(rng, 60)}"]
+    f, n = distinct_features(pa.array(texts))
+    prints = fingerprints(f, np.cumsum(n) - n)
+    near = {2 * k + 1: 2 * k for k in range(60) if sum(int(x).bit_count() for x in prints[2 * k] ^ prints[2 * k + 1]) <= 54}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["kept_doc_id"] for r in near_duplicates(docs, tile_rows=16).collect()}
+    assert len(near) > 50 and got == brute_groups(prints, list(range(len(texts)))) and all(got[i] == k for i, k in near.items())
