@@ -1,22 +1,27 @@
-"""Substring dedup by relative Lempel-Ziv parsing over the whole corpus.
-
-Every document is a reference block. A document is parsed into factors, runs
-of words that stand word for word in a block before it (or earlier in itself);
-factors of ``min_words`` and more are duplicate spans. A factor is followed
-along the first place, in order of (doc_id, position), where its words occur.
-
-No block is shipped to another. Two sampled indexes find the factors:
+"""Substring dedup: documents parsed relative to the corpus's own reference, an index of word windows.
+
+The reference is the corpus without what it repeats: of every window of
+``min_words`` words that occurs more than once, the first place, in order of
+(doc_id, position). Relative to it a document is parsed into factors from left
+to right. A factor begins at a window that the reference holds (and that isn't
+that place itself) and goes on as long as the document's next word is the
+reference's next; since the reference holds a window once, that is the longest
+match. The windows across a factor's end are looked up as well: the next factor
+begins with the first of them that is found, its overlap trimmed, and the two
+are one duplicate span.
+
+This differs from relative Lempel-Ziv parsing against blocks in the index: the
+reference is sharded by hash of the window, not by block, and a match is found
+by hash, not in a suffix array. Factors under ``min_words`` are never sought.
+Documents needn't be sent to every block: a passage in many documents would
+have to meet as many blocks. Two steps find the factors:
 
 1. Anchors. Of each ``min_words`` window the smallest hash among its runs of
    ``ANCHOR_WORDS`` words is kept (winnowing), so equal windows, wherever they
    stand, keep equal anchors. An anchor that occurs once rules out every window
    that chose it; that leaves only the repeated part of the corpus.
-2. Windows. The windows whose anchor repeats are grouped by their own hash;
-   the first occurrence is the reference, all others are duplicates. Following
-   the references from window to window gives the factors, and since each
-   window is looked up by itself, the words around a factor's boundary are
-   checked as well: neighbouring factors join into one span exactly if every
-   window across their boundary is a duplicate, too.
+2. Windows. The windows whose anchor repeats are grouped by their own hash, of
+   128 bits (64 alone would make some windows of 100 TB equal that aren't).
 """
 
 from __future__ import annotations
@@ -25,17 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.arrow_text import Words, shingles, slices, sliding_min, words
-from recollect.llm.common import checkpointed, need, shuffle_partitions, table, text_hash
+from recollect.llm.arrow_text import Words, mix64, shingles, slices, sliding_min, words
+from recollect.llm.common import checkpointed, need, table, text_hash
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 16
 #: A word's place is kept in so many bits, beside a tag that tells texts of one doc_id apart.
-PLACE_BITS = 26
-_TAG = 64 - PLACE_BITS
+PLACE_BITS = 30
+_SECOND = np.uint64(0x94D049BB133111EB)
 
 
 def _tag(u1):
@@ -62,12 +67,12 @@ def anchors(w: Words, min_words: int = MIN_WORDS, k: int = ANCHOR_WORDS) -> tupl
     return h[np.searchsorted(at, first)], first, doc
 
 
-def windows_with(w: Words, chosen: list[np.ndarray], min_words: int = MIN_WORDS, k: int = ANCHOR_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Windows whose anchor is among the document's ``chosen`` hashes: (hash, index of first word)."""
+def windows_with(w: Words, chosen: list[np.ndarray], min_words: int = MIN_WORDS, k: int = ANCHOR_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows whose anchor is among the document's ``chosen`` hashes: (hash, second hash, index of first word)."""
     h, at = shingles(w, min_words)
     a, first, doc = anchors(w, min_words, k)
     if len(h) == 0 or len(a) == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     good = np.concatenate([np.isin(a[lo:hi], c) for lo, hi, c in zip(*(np.searchsorted(doc, np.arange(len(chosen)) + d) for d in (0, 1)), chosen)] or [np.zeros(0, bool)])
     # a window's anchor is the chosen run with the smallest (hash, place) inside it; each anchor is the minimum of a stretch of windows
     hs, ats = shingles(w, k)
@@ -78,7 +83,9 @@ def windows_with(w: Words, chosen: list[np.ndarray], min_words: int = MIN_WORDS,
     best, bdoc = best[ok], docs[: len(ok)][ok]
     stretch = np.cumsum(np.append(True, (best[1:] != best[:-1]) | (bdoc[1:] != bdoc[:-1]))[: len(best)]) - 1
     take = good[stretch]
-    return h[take], at[take]
+    # the second hash is made of other hashes of the words
+    g, _ = shingles(Words(mix64(w.hash ^ _SECOND), w.first, w.start, w.end), min_words)
+    return h[take], g[take], at[take]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,15 +96,17 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def duplicate_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(documents by text, duplicate windows).
+    """(documents of ``min_words`` and more by text, duplicate windows).
 
     The first has doc_id, u1, u2 (the text's hashes), n_words, owner (the
     smallest doc_id with that text); the second, for owners only: owner, tag,
     place, ref_doc_id, ref_place.
     """
     base = need(docs, "doc_id", "text").filter("doc_id is not null and text is not null").withColumns({"u1": text_hash(F.col("text"), 1), "u2": text_hash(F.col("text"), 2)})
-    ids = base.mapInArrow(_count_words, "doc_id long, u1 long, u2 long, n_words long")
-    ids = checkpointed(ids.withColumn("owner", F.min("doc_id").over(Window.partitionBy("u1", "u2"))).distinct())
+    # shorter texts have no window; among them are the texts that most documents may share, such as the empty one
+    ids = base.mapInArrow(_count_words, "doc_id long, u1 long, u2 long, n_words long").filter(F.col("n_words") >= min_words).distinct()
+    ids = ids.join(ids.groupBy("u1", "u2").agg(F.min("doc_id").alias("owner")), ["u1", "u2"])
+    ids = checkpointed(ids.select("doc_id", "u1", "u2", "n_words", "owner"))
 
     def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -111,10 +120,10 @@ def duplicate_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[Data
                 n = np.diff(np.append(head, len(h)))
                 yield pa.RecordBatch.from_arrays([pa.array(h[head].view(np.int64)), b.column("u1").take(pa.array(doc[head])), pa.array(n > 1)], ["a", "u1", "twice"])
 
-    over = Window.partitionBy("a")
     found = base.select("u1", "text").mapInArrow(emit_anchors, "a long, u1 long, twice boolean")
-    found = found.withColumns({"lo": F.min("u1").over(over), "hi": F.max("u1").over(over), "any": F.max("twice").over(over)}).filter("lo <> hi or any")
-    repeated = found.groupBy("u1").agg(F.collect_set("a").alias("chosen"))
+    # a frequent anchor is summed up before the shuffle, and its rows may be split by the join
+    often = found.groupBy("a").agg(F.min("u1").alias("lo"), F.max("u1").alias("hi"), F.max("twice").alias("any")).filter("lo <> hi or any").select("a")
+    repeated = found.join(often, "a", "left_semi").groupBy("u1").agg(F.collect_set("a").alias("chosen"))
     owners = ids.filter("doc_id = owner").select(F.col("u1").alias("o1"), F.col("u2").alias("o2"), F.col("owner")).distinct()
     units = owners.join(repeated, owners["o1"] == repeated["u1"]).select("o1", "o2", "owner", "chosen")
     text = base.join(units, (base["u1"] == units["o1"]) & (base["u2"] == units["o2"]) & (base["doc_id"] == units["owner"])).select("owner", "u1", "chosen", "text")
@@ -125,34 +134,35 @@ def duplicate_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[Data
                 w = words(b.column("text"), lower=False)
                 lists = b.column("chosen")
                 flat, at = lists.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
-                h, first = windows_with(w, [flat[s:e] for s, e in zip(at[:-1], at[1:])], min_words)
+                h, g, first = windows_with(w, [flat[s:e] for s, e in zip(at[:-1], at[1:])], min_words)
                 if len(h) == 0:
                     continue
                 doc = np.searchsorted(w.first, first, side="right") - 1
                 # empty documents share their first word's index with the next: the last of them is meant
                 place = (first - w.first[doc]).astype(np.uint64)
+                if place.max() >> np.uint64(PLACE_BITS):
+                    raise ValueError(f"a text has over {1 << PLACE_BITS} words")
                 tag = b.column("u1").to_numpy().view(np.uint64)[doc] >> np.uint64(PLACE_BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("owner").take(pa.array(doc)), pa.array(((tag << np.uint64(PLACE_BITS)) | place).view(np.int64))], ["h", "owner", "spot"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), b.column("owner").take(pa.array(doc)), pa.array(((tag << np.uint64(PLACE_BITS)) | place).view(np.int64))], ["h", "g", "owner", "spot"])
 
-    n = shuffle_partitions(docs.sparkSession)
-    every = text.mapInArrow(emit_windows, "h long, owner long, spot long")
+    every = text.mapInArrow(emit_windows, "h long, g long, owner long, spot long")
     place = F.col("spot").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-    every = every.select("h", "owner", place.alias("place"), _tag(F.col("spot")).alias("tag")).repartition(n, "h").sortWithinPartitions("h", "owner", "tag", "place")
+    every = every.select("h", "g", "owner", place.alias("place"), _tag(F.col("spot")).alias("tag")).repartition("h").sortWithinPartitions("h", "g", "owner", "tag", "place")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (h, owner, tag, place) of the current hash's first occurrence
+        last = None  # (h, g, owner, tag, place) of the current window's first occurrence
         for b in batches:
             if b.num_rows == 0:
                 continue
-            h, owner, place, tag = (b.column(i).to_numpy() for i in range(4))
-            head = np.append(True, h[1:] != h[:-1])
-            if last is not None and h[0] == last[0]:
+            h, g, owner, place, tag = (b.column(i).to_numpy() for i in range(5))
+            head = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
+            if last is not None and (h[0], g[0]) == last[:2]:
                 head[0] = False
             at = np.maximum.accumulate(np.where(head, np.arange(len(h)), -1))
             ref = np.stack([owner[at], tag[at], place[at]], axis=1)
             if last is not None:
-                ref[at < 0] = last[1:]
-            last = (h[-1], *ref[-1])
+                ref[at < 0] = last[2:]
+            last = (h[-1], g[-1], *ref[-1])
             dup = (owner != ref[:, 0]) | (tag != ref[:, 1]) | (place != ref[:, 2])
             if dup.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[dup])) for x in (owner, tag, place, ref[:, 0], ref[:, 2])], ["owner", "tag", "place", "ref_doc_id", "ref_place"])
@@ -165,8 +175,7 @@ FACTOR = "doc_id long, tag long, span_start long, span_end long, factor_start lo
 
 def factors(dups: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Follow duplicate windows along their references: the factors, trimmed where they overlap, and the spans they join to."""
-    n = shuffle_partitions(dups.sparkSession)
-    ordered = dups.select("owner", "tag", "place", "ref_doc_id", "ref_place").repartition(n, "owner", "tag").sortWithinPartitions("owner", "tag", "place")
+    ordered = dups.select("owner", "tag", "place", "ref_doc_id", "ref_place").repartition("owner", "tag").sortWithinPartitions("owner", "tag", "place")
 
     def parse(cols: list[np.ndarray]) -> pa.RecordBatch:
         owner, tag, place, ro, rp = cols
@@ -215,13 +224,13 @@ def duplicate_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Words are split at ASCII white space and compared exactly. Null doc_ids and
     null texts take no part. Rows equal in doc_id and text count once. Texts of
-    under ``min_words`` words have no spans. Long texts are read whole; a place
-    beyond 2**26 words is not supported. Other columns are ignored.
+    under ``min_words`` words have no spans. Long texts are read whole; one of over
+    2**30 words is an error. Other columns are ignored. No rows in, no rows out.
     """
     if min_words < ANCHOR_WORDS:
         raise ValueError(f"min_words must be {ANCHOR_WORDS} at least")
     ids, dups = duplicate_windows(docs, min_words)
-    copies = ids.filter((F.col("doc_id") != F.col("owner")) & (F.col("n_words") >= min_words))
+    copies = ids.filter(F.col("doc_id") != F.col("owner"))
     whole = copies.select("doc_id", F.lit(0).cast("long").alias("span_start"), F.col("n_words").alias("span_end"), F.lit(0).cast("long").alias("factor_start"), F.col("n_words").alias("factor_end"), F.col("owner").alias("ref_doc_id"), F.lit(0).cast("long").alias("ref_start"))
     return factors(dups, min_words).drop("tag").unionByName(whole)
 
@@ -243,12 +252,14 @@ def drop_duplicate_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     """``docs`` with every duplicate span cut from its text; columns as they were, ``n_chars`` brought up to date.
 
     A document with no word left goes; the first occurrence of each passage
-    stays where it is. Rows without a duplicate span are returned unchanged.
+    stays where it is. Rows without a duplicate span are returned unchanged, those
+    with a null or empty text or a null doc_id among them. Repeated rows are cut
+    alike. No column of ``docs`` can clash. An empty table stays empty.
     """
     ids, dups = duplicate_windows(docs, min_words)
     spans = factors(dups, min_words).select("doc_id", "tag", "span_start", "span_end").distinct()
     marks = spans.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("spans"))
-    whole = ids.filter((F.col("doc_id") != F.col("owner")) & (F.col("n_words") >= min_words))
+    whole = ids.filter(F.col("doc_id") != F.col("owner"))
     whole = whole.select("doc_id", _tag(F.col("u1")).alias("tag"), F.array(F.struct(F.lit(0).cast("long").alias("span_start"), F.col("n_words").alias("span_end"))).alias("spans"))
     marks = marks.unionByName(whole).select(F.col("doc_id").alias("__rc_id"), F.col("tag").alias("__rc_tag"), F.col("spans").alias("__rc_spans"))
     joined = docs.join(marks, (docs["doc_id"] == marks["__rc_id"]) & (_tag(text_hash(docs["text"], 1)) == marks["__rc_tag"]), "left").drop("__rc_id", "__rc_tag")

@@ -1,6 +1,9 @@
 import random
 
-from recollect.llm.substring import MIN_WORDS, cut, drop_duplicate_spans, duplicate_spans
+import pyarrow as pa
+
+from recollect.llm.arrow_text import words
+from recollect.llm.substring import MIN_WORDS, anchors, cut, drop_duplicate_spans, duplicate_spans, windows_with
 
 from .conftest import DOCS, prose
 
@@ -51,14 +54,67 @@ def test_spans_and_factors_against_brute_force(spark):
         assert all(b <= c for (_, b), (c, _) in zip(factors, factors[1:]))
 
 
-def test_greedy_parse_of_one_document(spark):
-    """The spans are those a greedy Lempel-Ziv parse relative to all blocks gives, boundaries checked."""
-    rng = random.Random(8)
-    a, b = prose(rng, 70), prose(rng, 70)
-    rows = [(1, a), (2, b), (3, f"{a} {b} new end")]
-    got = duplicate_spans(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)).orderBy("factor_start").collect()
-    assert [(r["doc_id"], r["factor_start"], r["factor_end"], r["ref_doc_id"], r["ref_start"]) for r in got] == [(3, 0, 70, 1, 0), (3, 70, 140, 2, 0)]
-    assert {(r["span_start"], r["span_end"]) for r in got} == {(0, 140)}
+def parse(rows):
+    """A naive greedy parser: (doc, factor_start, factor_end, ref_doc, ref_start) of every factor, text by text, word by word."""
+    first, text = {}, {i: t.split() for i, t in rows}
+    for i, w in sorted(text.items()):
+        for s in range(len(w) - MIN_WORDS + 1):
+            first.setdefault(tuple(w[s : s + MIN_WORDS]), (i, s))
+    out = set()
+    for i, w in sorted(text.items()):
+        owner = min(k for k, v in text.items() if v == w)
+        if owner != i and len(w) >= MIN_WORDS:
+            out.add((i, 0, len(w), owner, 0))
+            continue
+        at, done = 0, 0
+        while at <= len(w) - MIN_WORDS:
+            ref = first[tuple(w[at : at + MIN_WORDS])]
+            if ref == (i, at):
+                at += 1
+                continue
+            end = at + MIN_WORDS
+            # as long as the next word is the reference's next, and the reference has that window nowhere before
+            while end < len(w) and first[tuple(w[end + 1 - MIN_WORDS : end + 1])] == (ref[0], ref[1] + end + 1 - MIN_WORDS - at):
+                end += 1
+            begin = max(at, done)
+            out.add((i, begin, end, ref[0], ref[1] + begin - at))
+            # the windows across the factor's end are tried next
+            at, done = end - MIN_WORDS + 1, end
+    return out
+
+
+def test_factors_against_a_naive_greedy_parser(spark):
+    for seed in (8, 9, 10):
+        rng = random.Random(seed)
+        rows = corpus(rng)
+        base = rows[5][1].split()
+        rows += [(70 + k, " ".join(w if rng.random() > 0.012 else "edit%d" % rng.randrange(99) for w in base * 3)) for k in range(8)]
+        a, b = prose(rng, 70), prose(rng, 70)
+        rows += [(90, a), (91, b), (92, f"{a} {b} new end")]
+        docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+        got = duplicate_spans(docs).collect()
+        factors = {(r["doc_id"], r["factor_start"], r["factor_end"], r["ref_doc_id"], r["ref_start"]) for r in got}
+        assert factors == parse(rows) and {(92, 0, 70, 90, 0), (92, 70, 140, 91, 0)} <= factors
+        assert {(r["span_start"], r["span_end"]) for r in got if r["doc_id"] == 92} == {(0, 140)}
+
+
+def test_second_hash_tells_windows_apart():
+    w = words(pa.array([" ".join(f"w{k}" for k in range(60))]), lower=False)
+    chosen = [anchors(w)[0]]
+    h, g, at = windows_with(w, chosen)
+    assert at.tolist() == list(range(11)) and len(set(h.tolist())) == len(set(g.tolist())) == 11 and not set(h.tolist()) & set(g.tolist())
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    passage, long = prose(rng, 120), prose(rng, 200_000)
+    rows = [(1, f"{passage} {long}"), (2, f"{long[:700_000]} {passage}"), (3, "same " * 20_000)]
+    got = duplicate_spans(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)).collect()
+    text = {i: t.split() for i, t in rows}
+    assert all(text[r["doc_id"]][r["factor_start"] : r["factor_end"]] == text[r["ref_doc_id"]][r["ref_start"] : r["ref_start"] + r["factor_end"] - r["factor_start"]] for r in got)
+    n = len(text[2])
+    assert sum(r["factor_end"] - r["factor_start"] for r in got if r["doc_id"] == 2) >= n - 1
+    assert {(r["span_start"], r["span_end"]) for r in got if r["doc_id"] == 3} == {(1, 20_000)}
 
 
 def test_cut():
