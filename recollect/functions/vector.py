@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import tokenize
@@ -58,3 +59,44 @@ def hash_embed(text: Column, dimension: int = DIMENSION) -> Column:
         return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dimension), pa.array(unit.ravel()))
 
     return embed(tokenize(text))
+
+
+def buckets(vector: Column, tables: int, bits: int) -> Column:
+    """array<long>: the bucket of the vector in each table, by the sides of ``bits`` random hyperplanes; one matrix product a batch.
+
+    Null vectors and those without a direction have no bucket.
+    """
+
+    @F.arrow_udf("array<long>")
+    def run(vectors: pa.Array) -> pa.Array:
+        if isinstance(vectors, pa.ChunkedArray):
+            vectors = vectors.combine_chunks()
+        size = vectors.value_lengths().fill_null(0).to_numpy()
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+        at = np.append(0, np.cumsum(size))
+        rows: list[np.ndarray | None] = [None] * len(size)
+        for d in np.unique(size[size > 0]).tolist():
+            planes = np.random.default_rng(d).normal(size=(d, tables * bits))
+            own = np.flatnonzero(size == d)
+            x = flat[at[own][:, None] + np.arange(d)]
+            code = ((x @ planes > 0).reshape(len(own), tables, bits) << np.arange(bits)).sum(axis=2) + (np.arange(tables) << 48)
+            for i, c, ok in zip(own.tolist(), code, (x != 0).any(axis=1) & ~np.isnan(x).any(axis=1)):
+                rows[i] = c if ok else None
+        return pa.array([r.tolist() if r is not None else [] for r in rows], pa.list_(pa.int64()))
+
+    return run(vector)
+
+
+def embed_distinct(rows: DataFrame, embed: Callable[[Column], Column], text: str = "text", vector: str = "vector") -> DataFrame:
+    """``rows`` with the vector of each text, which is embedded once however often it occurs.
+
+    The cache of a set-oriented engine: distinct texts, embedded, joined back. A null
+    text has a null vector.
+    """
+    once = rows.select(F.col(text).alias("__t")).filter("__t is not null").distinct().select("__t", embed(F.col("__t")).alias(vector))
+    return rows.join(once, F.col(text) == F.col("__t"), "left").drop("__t")
+
+
+def mock_embed(text: Column, dimension: int = DIMENSION) -> Column:
+    """A fixed vector for tests: every component 0.1 for any text but null."""
+    return F.when(text.isNotNull(), F.array_repeat(F.lit(0.1), dimension))

@@ -7,13 +7,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.entity_words import GENERIC, PARTICLES, PLACES, SURNAMES
 from recollect.functions.text import normalize
-from recollect.functions.vector import cosine
-from recollect.plans.session import small_side
+from recollect.functions.vector import buckets, cosine
+from recollect.plans.session import checkpointed, small_side
 
 _PRIORITY = {kind: n for n, kind in enumerate(("IDENTIFIER", "TOPIC", "QUOTED", "PROPER"))}
 _CAP = "[A-Z][a-z]+"
@@ -86,21 +86,30 @@ def search_entities(entities: DataFrame, queries: DataFrame, k: int = 10) -> Dat
     return top_k(entities.crossJoin(small_side(queries)).select("query_id", "id", F.round(score, 9).alias("score")).filter("score is not null"), k, ["query_id"])
 
 
-def match_entities(new: DataFrame, known: DataFrame, least: float = 0.95) -> DataFrame:
+def match_entities(new: DataFrame, known: DataFrame, least: float = 0.95, tables: int = 16, bits: int = 8) -> DataFrame:
     """(key, id, how) for new entities (key, text, vector) among known (id, text, vector) of equal name, else of the best cosine of at least ``least``; how is new without one.
 
-    Equal names are an equi-join; only what is left is compared by vector.
+    Equal names are an equi-join; only what is left is compared by vector, and only
+    with what shares one of ``tables`` buckets of ``bits`` random hyperplanes. Two
+    vectors at a cosine of 0.95 share one with a probability of 0.9999 (more bits for
+    more entities); the cosine itself is exact.
     """
     n = new.withColumn("__k", normalize(F.col("text")))
     k = known.select(F.col("id"), normalize(F.col("text")).alias("__k"), F.col("vector").alias("__v"))
     exact = n.join(k.groupBy("__k").agg(F.min("id").alias("id")), "__k").select("key", "id", F.lit("exact").alias("how"))
-    rest = n.join(exact.select("key"), "key", "left_anti")
-    sim = rest.crossJoin(k.drop("__k")).select("key", "id", F.round(cosine(F.col("vector"), F.col("__v")), 9).alias("s")).filter(F.col("s") >= least)
-    best = sim.withColumn("__r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("s"), "id"))).filter("__r = 1").select("key", "id", F.lit("similar").alias("how"))
+    rest = n.join(exact.select("key"), "key", "left_anti").select("key", "vector", F.explode(buckets(F.col("vector"), tables, bits)).alias("__b"))
+    there = k.select("id", "__v", F.explode(buckets(F.col("__v"), tables, bits)).alias("__b"))
+    sim = rest.join(there, "__b").select("key", "id", F.round(cosine(F.col("vector"), F.col("__v")), 9).alias("s")).filter(F.col("s") >= least)
+    best = sim.groupBy("key").agg(F.min(F.struct((-F.col("s")).alias("s"), "id")).alias("b")).select("key", "b.id", F.lit("similar").alias("how"))
     found = exact.unionByName(best)
     return new.select("key").join(found, "key", "left").select("key", "id", F.coalesce("how", F.lit("new")).alias("how"))
 
 
+def newest(entities: DataFrame, k: int = 100) -> DataFrame:
+    """Entities that aren't deleted, newest first, up to ``k`` (a limited sort: each task keeps ``k``)."""
+    return entities.filter("is_deleted = 0").orderBy(F.desc("created_at"), F.desc("id")).limit(k)
+
+
 def link_memories(entities: DataFrame, links: DataFrame) -> DataFrame:
     """Entities with further memory ids (id, memory_id) added to their sorted set."""
     more = links.groupBy("id").agg(F.collect_set("memory_id").alias("__more"))
@@ -134,11 +143,27 @@ def similar_names(names: DataFrame, least: float = 0.75) -> DataFrame:
     return pairs.mapInPandas(run, "a string, b string, ratio double")
 
 
-def canonical_names(names: DataFrame, least: float = 0.75) -> DataFrame:
-    """(name, canonical): equal or alike names in groups, the first by alphabet standing for all."""
-    from recollect.operators.graph import components
+def canonical_names(names: DataFrame, least: float = 0.75, max_rounds: int = 100) -> DataFrame:
+    """(name, canonical): by alphabet, a name that no canonical before it is alike to is canonical itself; the others go to the first they are alike to.
 
-    pairs = similar_names(names, least).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))
-    groups = components(pairs).select(F.col("id").alias("key"), F.col("cluster"))
+    Names are only held against canonical ones, so chains of alike names are not
+    merged. Rounds decide all names whose earlier neighbours are decided.
+    """
+    pairs = checkpointed(similar_names(names, least).select("a", "b"))
     key = names.select("name", normalize(F.col("name")).alias("key")).distinct()
-    return key.join(groups, "key", "left").select("name", F.coalesce("cluster", "key").alias("canonical"))
+    state = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("canonical", F.lit(None).cast("string")))
+    for _ in range(max_rounds):
+        # of each open name: the first canonical before it, and whether one before it is open
+        before = pairs.join(state.select(F.col("key").alias("a"), F.col("canonical").alias("c")), "a").groupBy(F.col("b").alias("key")).agg(F.min(F.when(F.col("c") == F.col("a"), F.col("a"))).alias("first"), F.min(F.when(F.col("c").isNull(), F.col("a"))).alias("open"))
+        told = F.when(F.col("open").isNull(), F.coalesce("first", "key")).when(F.col("first") < F.col("open"), F.col("first"))
+        state = checkpointed(state.join(before, "key", "left").select("key", F.coalesce("canonical", told).alias("canonical")))
+        if state.filter("canonical is null").isEmpty():
+            return key.join(state, "key", "left").select("name", F.coalesce("canonical", "key").alias("canonical"))
+    raise RuntimeError("names did not settle")
+
+
+def apply_canonical(facts: DataFrame, canon: DataFrame) -> DataFrame:
+    """Facts (subject, object, ...) with both names replaced by their canonical form (name, canonical)."""
+    s = canon.select(F.col("name").alias("subject"), F.col("canonical").alias("__s"))
+    o = canon.select(F.col("name").alias("object"), F.col("canonical").alias("__o"))
+    return facts.join(s, "subject", "left").join(o, "object", "left").withColumns({"subject": F.coalesce("__s", "subject"), "object": F.coalesce("__o", "object")}).select(facts.columns)

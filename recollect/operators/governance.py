@@ -35,6 +35,17 @@ def rbac_check(requests: DataFrame, grants: DataFrame) -> DataFrame:
     return requests.join(g, ["user_id", "agent_id"], "left").groupBy("request_id").agg(F.bool_or(own | F.coalesce(hit, F.lit(False))).alias("allowed"))
 
 
+def grant(grants: DataFrame, new: DataFrame) -> DataFrame:
+    """Grants (user_id, agent_id, role, namespace) with the new ones; role and namespace default to agent and * where null."""
+    more = new.select("user_id", "agent_id", F.coalesce("role", F.lit("agent")).alias("role"), F.coalesce("namespace", F.lit("*")).alias("namespace"))
+    return grants.unionByName(more).distinct()
+
+
+def revoke(grants: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Grants without those of (user_id, agent_id)."""
+    return grants.join(pairs.select("user_id", "agent_id"), ["user_id", "agent_id"], "left_anti")
+
+
 def scope(user_id: str, agent_id: str | None = None) -> Column:
     c = F.col("user_id") == user_id
     return c if agent_id is None else c & (F.col("agent_id") == agent_id)
@@ -48,7 +59,7 @@ def cross_agent(memories: DataFrame, newest: int = 100) -> DataFrame:
 
 
 def dedup_window(rows: DataFrame, seconds: int = 300, by: str = "user_id", text: str = "text", at: str = "ts", order: str = "id") -> DataFrame:
-    """Rows with ``accepted``: a text counts again once ``seconds`` have gone by since it was last *accepted*; rejected repeats don't prolong the wait.
+    """Rows with ``accepted``: a text counts again once more than ``seconds`` have gone by since it was last *accepted*; rejected repeats don't prolong the wait.
 
     The fold is in order of time, over the repeats of one text of one user.
     """
@@ -57,7 +68,7 @@ def dedup_window(rows: DataFrame, seconds: int = 300, by: str = "user_id", text:
     items = F.array_sort(F.collect_list(item))
     kind = f"struct<last:bigint,ids:array<{dict(rows.dtypes)[order]}>>"
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{dict(rows.dtypes)[order]}>").alias("ids")).cast(kind)
-    fold = F.aggregate(items, start, lambda s, x: F.when(s["last"].isNull() | (x["t"] - s["last"] >= seconds * 1_000_000), F.struct(x["t"].alias("last"), F.array_append(s["ids"], x["k"]).alias("ids"))).otherwise(s))
+    fold = F.aggregate(items, start, lambda s, x: F.when(s["last"].isNull() | (x["t"] - s["last"] > seconds * 1_000_000), F.struct(x["t"].alias("last"), F.array_append(s["ids"], x["k"]).alias("ids"))).otherwise(s))
     taken = rows.groupBy(by, content_hash(F.concat_ws(":", F.col(by).cast("string"), F.trim(text))).alias("text_hash")).agg(fold.alias("f"))
     accepted = taken.select(F.explode("f.ids").alias(order), F.lit(True).alias("__ok"))
     return rows.join(accepted, order, "left").select(rows[order], rows[by], F.coalesce("__ok", F.lit(False)).alias("accepted"))

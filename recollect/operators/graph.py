@@ -69,12 +69,19 @@ def graph_scores(reached: DataFrame) -> DataFrame:
     return reached.withColumn("score", F.pow(F.lit(0.5), F.col("depth")))
 
 
-def stats(edges: DataFrame) -> DataFrame:
-    """Nodes, edges and density, edges / (n (n - 1)) to four places."""
-    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id"))
-    nodes = ends.agg(F.count_distinct("id").alias("nodes"))
+def stats(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Nodes, edges and density to four places: edges / (n (n - 1)), or / 1 for a graph of one node at most.
+
+    ``nodes`` (id) is the node table; without it the ends of the edges are the nodes.
+    """
+    ids = nodes.select("id") if nodes is not None else edges.select(F.explode(F.array("source_id", "target_id")).alias("id"))
     n = F.col("nodes")
-    return edges.agg(F.count("*").alias("edges")).crossJoin(F.broadcast(nodes)).select("nodes", "edges", F.round(F.when(n > 1, F.col("edges") / (n * (n - 1))).otherwise(0.0), 4).alias("density"))
+    return edges.agg(F.count("*").alias("edges")).crossJoin(F.broadcast(ids.agg(F.count_distinct("id").alias("nodes")))).select("nodes", "edges", F.round(F.col("edges") / F.greatest(n * (n - 1), F.lit(1)), 4).alias("density"))
+
+
+def delete_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges (id, ...) without those of the given ids."""
+    return edges.join(ids.select("id"), "id", "left_anti")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -99,13 +106,18 @@ def clusters(edges: DataFrame) -> DataFrame:
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, label): synchronous label propagation; each node takes its neighbours' most frequent label, of ties the smallest."""
+    """(id, label): label propagation; each node takes the most frequent label among its neighbours and itself, of ties the smallest.
+
+    All nodes move at once, so a node's own label counts: else the two ends of an
+    edge would swap labels for ever.
+    """
     both = checkpointed(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).unionByName(edges.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))).filter("a <> b").distinct())
     label = both.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct()
     for _ in range(rounds):
-        votes = both.join(label, both["b"] == label["id"]).groupBy("a", "label").agg(F.count("*").alias("n"))
-        first = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "label"))
-        new = checkpointed(votes.withColumn("__r", first).filter("__r = 1").select(F.col("a").alias("id"), "label"))
+        heard = both.join(label, both["b"] == label["id"]).select("a", "label").unionByName(label.select(F.col("id").alias("a"), "label"))
+        votes = heard.groupBy("a", "label").agg(F.count("*").alias("n"))
+        # the most votes, then the smallest label: one aggregate a node, no sort
+        new = checkpointed(votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("v")).select(F.col("a").alias("id"), "v.label"))
         same = new.join(label, ["id", "label"], "left_anti").isEmpty()
         label = new
         if same:

@@ -100,3 +100,26 @@ def entity_global_dedup(entities: DataFrame) -> DataFrame:
 def upsert_latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return rows.withColumn("__nr", F.row_number().over(w)).filter("__nr = 1").drop("__nr")
+
+
+def apply_decisions(facts: DataFrame, decisions: DataFrame, sure: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """Route ADD, UPDATE, DELETE and NOOP decisions (seq, event, id, text, confidence) onto facts (id, text, is_deleted): (facts, results).
+
+    An update or delete that is less than ``sure`` is a NOOP, and so is an update of a
+    fact that isn't there or is deleted. An added fact's id is the decision's. Of
+    several decisions on one fact the last in order of ``seq`` counts. ``results`` says what
+    became of each decision (seq, event).
+    """
+    live = facts.filter("is_deleted = 0").select("id", F.lit(True).alias("__there"))
+    d = decisions.join(live, "id", "left")
+    doubtful = F.col("event").isin("UPDATE", "DELETE") & (F.coalesce("confidence", F.lit(0.0)) < sure)
+    event = F.when(doubtful | ((F.col("event") == "UPDATE") & F.col("__there").isNull()), "NOOP").otherwise(F.col("event"))
+    routed = d.select("seq", "id", "text", event.alias("event"))
+    last = routed.filter("event <> 'NOOP'").groupBy("id").agg(F.max_by(F.struct("event", "text"), "seq").alias("__d"))
+    kept = facts.join(last, "id", "left").select(
+        "id",
+        F.when(F.col("__d.event").isin("UPDATE", "ADD"), F.col("__d.text")).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("__d.event") == "DELETE", 1).otherwise(F.col("is_deleted")).alias("is_deleted"),
+    )
+    added = last.filter("__d.event = 'ADD'").join(facts.select("id"), "id", "left_anti").select("id", F.col("__d.text").alias("text"), F.lit(0).alias("is_deleted"))
+    return kept.unionByName(added), routed.select("seq", "event")

@@ -99,7 +99,13 @@ def with_identity(facts: DataFrame) -> DataFrame:
 
 
 def remove_reference(entities: DataFrame, ids: DataFrame) -> DataFrame:
-    """Take memory ids out of entities; one that links nothing any more is soft-deleted."""
-    gone = ids.agg(F.collect_set("id").alias("__gone"))
-    links = F.array_except("linked_memory_ids", "__gone")
-    return entities.crossJoin(F.broadcast(gone)).withColumns({"linked_memory_ids": links, "is_deleted": F.when(F.size(links) == 0, 1).otherwise(F.col("is_deleted"))}).drop("__gone")
+    """Take memory ids out of entities (id, linked_memory_ids, is_deleted); one that links nothing any more is soft-deleted.
+
+    Links are exploded and anti-joined, so neither side is collected; the entities
+    that link a removed id are the only ones regrouped.
+    """
+    links = entities.select("id", F.explode("linked_memory_ids").alias("__m"))
+    hit = links.join(ids.select(F.col("id").alias("__m")).distinct(), "__m", "left_semi").select("id", "__m")
+    gone = hit.groupBy("id").agg(F.collect_set("__m").alias("__gone"))
+    left = F.when(F.col("__gone").isNotNull(), F.array_except("linked_memory_ids", "__gone")).otherwise(F.col("linked_memory_ids"))
+    return entities.join(gone, "id", "left").withColumn("linked_memory_ids", left).withColumn("is_deleted", F.when(F.size("linked_memory_ids") == 0, 1).otherwise(F.col("is_deleted"))).select(entities.columns)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text as tx
 from recollect.functions.vector import cosine, hash_embed
+from recollect.functions.vector import embed_distinct as embed_each
 from recollect.operators import evolution, filters, fusion, governance, graph, knowledge, records, rerank, routing, search, strength
 from recollect.operators import entity as ent
 from recollect.plans.session import checkpoint_dir
@@ -422,16 +423,16 @@ def user_profile(s, d):
     return knowledge.profile(f)
 
 
-_COV = f"""{_RULES}, parts AS (SELECT 'semantic' AS namespace, count(*) AS n, round(avg(confidence), 9) AS confidence, 0.0 AS floor FROM facts WHERE subject < 3 UNION ALL SELECT 'procedural', count(*), round(avg(confidence), 9), 0.1 FROM rules WHERE rule_id < 4
-    UNION ALL SELECT 'episodic', count(*), 0.8, 0.0 FROM events WHERE event_id < 5 UNION ALL SELECT 'working', count(*), 1.0, 0.0 FROM customer WHERE c_custkey < 2),
+_COV = f"""{_RULES}, parts AS (SELECT 'semantic' AS namespace, count(*) AS n, round(avg(confidence), 9) AS confidence, 0.0 AS floor FROM facts UNION ALL SELECT 'procedural', count(*), round(avg(confidence), 9), 0.1 FROM rules
+    UNION ALL SELECT 'episodic', count(*), 0.8, 0.0 FROM events UNION ALL SELECT 'working', count(*), 1.0, 0.0 FROM customer),
     cov AS (SELECT namespace, n, coalesce(confidence, 0) AS confidence, CASE WHEN n = 0 THEN 0 ELSE round(least(1.0, n / 10.0) * greatest(floor, confidence), 9) END AS score FROM parts)"""
 
 
 def _coverage(s, d):
-    f = src.facts(s, d).filter("subject < 3")
-    r = knowledge.rule_state(src.rule_outcomes(s, d)).filter("rule_id < 4")
-    e = src.episodes(s, d).filter("id < 5")
-    b = src.table(s, d, "customer").filter("c_custkey < 2")
+    f = src.facts(s, d)
+    r = knowledge.rule_state(src.rule_outcomes(s, d))
+    e = src.episodes(s, d)
+    b = src.table(s, d, "customer")
     stats = knowledge.namespace_stats
     return knowledge.coverage([
         stats(f, "semantic", F.col("confidence"), F.col("predicate"), "id"), stats(r, "procedural", F.col("confidence"), F.col("rule_id").cast("string"), "rule_id", 0.1),
@@ -464,11 +465,11 @@ def compress_partial(s, d):
     return evolution.compress(src.table(s, d, "conversations"), "partial", 5).drop("summary")
 
 
-@query("live", sql="""WITH RECURSIVE i AS (SELECT seq % 3 AS query_id, seq AS id, row_number() OVER (PARTITION BY seq % 3 ORDER BY seq) AS nr, CASE WHEN length(content) = 0 THEN 0 ELSE greatest(1, length(content) // 4) END AS tokens FROM live WHERE seq < 60),
+@query("live", sql="""WITH RECURSIVE i AS (SELECT seq % 3 AS query_id, seq AS id, row_number() OVER (PARTITION BY seq % 3 ORDER BY seq) AS nr, CASE WHEN length(content) = 0 THEN 0 ELSE greatest(1, length(content) // 4) END AS tokens FROM live),
     f AS (SELECT query_id, 0::BIGINT AS nr, 0::BIGINT AS used, NULL::BIGINT AS id, false AS took FROM (SELECT DISTINCT query_id FROM i) UNION ALL SELECT i.query_id, i.nr, CASE WHEN f.used + i.tokens <= 2000 THEN f.used + i.tokens ELSE f.used END, i.id, f.used + i.tokens <= 2000 FROM f JOIN i ON i.query_id = f.query_id AND i.nr = f.nr + 1)
     SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY nr) - 1 AS pos, max(used) OVER (PARTITION BY query_id) AS used_tokens FROM f WHERE took""")
 def token_budget(s, d):
-    rows = _live(s, d).filter("seq < 60").select((F.col("seq") % 3).alias("query_id"), F.col("seq").alias("id"), (-F.col("seq").cast("double")).alias("score"), F.col("content").alias("text"))
+    rows = _live(s, d).select((F.col("seq") % 3).alias("query_id"), F.col("seq").alias("id"), (-F.col("seq").cast("double")).alias("score"), F.col("content").alias("text"))
     return rerank.token_budget(rows, 2000)
 
 
@@ -521,15 +522,20 @@ def _part_edges(s, d):
     return graph.dedup_edges(li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target_id"), F.col("l_returnflag").alias("relation")))
 
 
-@query(sql="""WITH RECURSIVE e AS (SELECT event_id AS a, event_id + 64 AS b FROM events WHERE event_id % 3 <> 0 AND event_id < 600), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS l FROM b UNION SELECT r.id, b.b FROM r JOIN b ON b.a = r.l) SELECT id, min(l) AS cluster FROM r GROUP BY 1""")
+@query(sql="""WITH RECURSIVE e AS (SELECT event_id AS a, event_id + 64 AS b FROM events WHERE event_id % 3 <> 0), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS l FROM b UNION SELECT r.id, b.b FROM r JOIN b ON b.a = r.l) SELECT id, min(l) AS cluster FROM r GROUP BY 1""")
 def components(s, d):
-    e = src.table(s, d, "events").filter("event_id % 3 <> 0 and event_id < 600").select(F.col("event_id").alias("source_id"), (F.col("event_id") + 64).alias("target_id"), F.lit("x").alias("relation"))
+    e = src.table(s, d, "events").filter("event_id % 3 <> 0").select(F.col("event_id").alias("source_id"), (F.col("event_id") + 64).alias("target_id"), F.lit("x").alias("relation"))
     return graph.components(e)
 
 
-@query()
+def _propagation_sql(rounds: int) -> str:
+    steps = "".join(f", l{k} AS MATERIALIZED (SELECT a AS id, label FROM (SELECT a, label, count(*) AS n FROM (SELECT a, label FROM b JOIN l{k - 1} ON id = b.b UNION ALL SELECT id, label FROM l{k - 1}) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, label) = 1)" for k in range(1, rounds + 1))
+    return f"WITH b AS MATERIALIZED (SELECT source_id AS a, target_id AS b FROM chain WHERE source_id <> target_id UNION SELECT target_id, source_id FROM chain WHERE source_id <> target_id), l0 AS (SELECT DISTINCT a AS id, a AS label FROM b){steps} SELECT id, label FROM l{rounds}"
+
+
+@query("chain", sql=_propagation_sql(10))
 def label_propagation(s, d):
-    return graph.label_propagation(src.chain_edges(s, d).filter("source_id < 2000"))
+    return graph.label_propagation(src.chain_edges(s, d), 10)
 
 
 @query("chain", sql="SELECT source_id AS id, target_id AS other, relation, 'outgoing' AS direction FROM chain WHERE source_id < 20 UNION ALL SELECT target_id, source_id, relation, 'incoming' FROM chain WHERE target_id < 20")
@@ -552,9 +558,10 @@ def causal_effects(s, d):
     return graph.causal_paths(src.causal_edges(s, d), _causal_seeds(s, d), "effects", 4)
 
 
-@query("causal", sql=_paths_sql("effect", "cause"))
+@query("causal", sql=_paths_sql("effect", "cause").replace("min(event_id)", "arg_max(event_id, (ts, event_id))"))
 def causal_causes(s, d):
-    return graph.causal_paths(src.causal_edges(s, d), _causal_seeds(s, d), "causes", 4)
+    last = src.table(s, d, "events").filter("user_id < 5").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("seed")).select("seed")
+    return graph.causal_paths(src.causal_edges(s, d), last, "causes", 4)
 
 
 @query("causal", sql="""WITH pairs AS (SELECT cause, effect FROM causal WHERE cause % 7 = 0 UNION SELECT cause, effect + 1 FROM causal WHERE cause % 11 = 0), dd AS (SELECT cause, effect, arg_max((relation, confidence), (confidence, relation)) AS d FROM causal GROUP BY 1, 2),
@@ -625,7 +632,7 @@ def shared_memories(s, d):
 
 
 @query(sql="""WITH RECURSIVE o AS (SELECT event_id AS id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nr FROM events),
-    f AS (SELECT id, user_id, event_type, ts AS last, nr, true AS accepted FROM o WHERE nr = 1 UNION ALL SELECT o.id, o.user_id, o.event_type, CASE WHEN o.ts - f.last >= INTERVAL 6 HOUR THEN o.ts ELSE f.last END, o.nr, o.ts - f.last >= INTERVAL 6 HOUR FROM f JOIN o ON o.user_id = f.user_id AND o.event_type = f.event_type AND o.nr = f.nr + 1)
+    f AS (SELECT id, user_id, event_type, ts AS last, nr, true AS accepted FROM o WHERE nr = 1 UNION ALL SELECT o.id, o.user_id, o.event_type, CASE WHEN o.ts - f.last > INTERVAL 6 HOUR THEN o.ts ELSE f.last END, o.nr, o.ts - f.last > INTERVAL 6 HOUR FROM f JOIN o ON o.user_id = f.user_id AND o.event_type = f.event_type AND o.nr = f.nr + 1)
     SELECT id, user_id, accepted FROM f""")
 def capture_dedup(s, d):
     e = src.table(s, d, "events").select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("text"), "ts")
@@ -693,13 +700,13 @@ def detect_language(s, d):
 
 @query()
 def entity_extract(s, d):
-    e = _live(s, d).filter("seq < 500").select("id", F.explode(ent.extract_entities(F.col("content"))).alias("e"))
+    e = _live(s, d).select("id", F.explode(ent.extract_entities(F.col("content"))).alias("e"))
     return e.select("id", "e.text", "e.type", "e.start", "e.end")
 
 
 @query()
 def fallback_triplets(s, d):
-    m = _live(s, d).filter("seq < 300").select("id", "content", ent.extract_entities(F.col("content")).alias("es"))
+    m = _live(s, d).select("id", "content", ent.extract_entities(F.col("content")).alias("es"))
     return m.select("id", F.explode(ent.neighbour_triplets(F.col("content"), F.col("es"))).alias("t")).select("id", "t.source", "t.relation", "t.target")
 
 
@@ -876,22 +883,22 @@ def has_edge(s, d):
     return s.range(50).join(hit, "id", "left").select("id", F.coalesce("h", F.lit(False)).alias("has_edge"))
 
 
-@query("chain", sql="SELECT source_id, target_id, relation FROM chain WHERE source_id < 100 AND source_id % 5 <> 0 AND target_id % 5 <> 0")
+@query("chain", sql="SELECT source_id, target_id, relation FROM chain WHERE source_id % 5 <> 0 AND target_id % 5 <> 0")
 def delete_node(s, d):
-    e = graph.dedup_edges(src.chain_edges(s, d)).filter("source_id < 100")
+    e = graph.dedup_edges(src.chain_edges(s, d))
     nodes = src.table(s, d, "events").select(F.col("event_id").alias("id")).unionByName(e.select(F.col("target_id").alias("id"))).distinct()
     return graph.delete_node(e, nodes, nodes.filter("id % 5 = 0"))[0].select("source_id", "target_id", "relation")
 
 
-@query(sql="SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id < 500")
+@query(sql="SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def get_node(s, d):
-    e = src.table(s, d, "events").filter("event_id < 500")
+    e = src.table(s, d, "events")
     return e.select(F.col("event_id").alias("id"), F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("chain", sql="""WITH RECURSIVE e AS (SELECT event_id AS a, event_id + 64 AS b FROM events WHERE event_id % 3 <> 0 AND event_id < 600), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS l FROM b UNION SELECT r.id, b.b FROM r JOIN b ON b.a = r.l), c AS (SELECT id, min(l) AS cluster FROM r GROUP BY 1) SELECT cluster, count(*) AS size, list_sort(list(id)) AS members FROM c GROUP BY 1 HAVING count(*) > 1""")
+@query("chain", sql="""WITH RECURSIVE e AS (SELECT event_id AS a, event_id + 64 AS b FROM events WHERE event_id % 3 <> 0), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS l FROM b UNION SELECT r.id, b.b FROM r JOIN b ON b.a = r.l), c AS (SELECT id, min(l) AS cluster FROM r GROUP BY 1) SELECT cluster, count(*) AS size, list_sort(list(id)) AS members FROM c GROUP BY 1 HAVING count(*) > 1""")
 def clusters(s, d):
-    e = src.table(s, d, "events").filter("event_id % 3 <> 0 and event_id < 600").select(F.col("event_id").alias("source_id"), (F.col("event_id") + 64).alias("target_id"), F.lit("x").alias("relation"))
+    e = src.table(s, d, "events").filter("event_id % 3 <> 0").select(F.col("event_id").alias("source_id"), (F.col("event_id") + 64).alias("target_id"), F.lit("x").alias("relation"))
     return graph.clusters(e)
 
 
@@ -901,9 +908,9 @@ def zettel_new_links(s, d):
     return evolution.zettel_links(v, evolution.zettel_links(v).filter("source_id % 2 = 0"))
 
 
-@query("ve", sql="WITH w AS (SELECT * FROM ve WHERE id < 50), z AS (SELECT a.id AS source_id, b.id AS target_id, round(list_cosine_similarity(a.vector, b.vector), 9) AS score FROM w a JOIN w b ON a.user_id = b.user_id AND a.id <> b.id), t AS (SELECT * FROM z WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) <= 5) SELECT source_id, target_id, max(score) AS score FROM (SELECT * FROM t UNION ALL SELECT target_id, source_id, score FROM t) GROUP BY 1, 2")
+@query("ve", sql="WITH w AS (SELECT * FROM ve), z AS (SELECT a.id AS source_id, b.id AS target_id, round(list_cosine_similarity(a.vector, b.vector), 9) AS score FROM w a JOIN w b ON a.user_id = b.user_id AND a.id <> b.id), t AS (SELECT * FROM z WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) <= 5) SELECT source_id, target_id, max(score) AS score FROM (SELECT * FROM t UNION ALL SELECT target_id, source_id, score FROM t) GROUP BY 1, 2")
 def dream(s, d):
-    return evolution.zettel_links(src.vector_entries(s, d).filter("id < 50"), threshold=0.1)
+    return evolution.zettel_links(src.vector_entries(s, d), threshold=0.1)
 
 
 @query("strength", sql="SELECT id AS memory_id, coalesce(access_count, 0) AS access_count, coalesce(base_value, 0.5) AS base_value FROM (SELECT unnest(range(150, 260)) AS id) LEFT JOIN strength ON memory_id = id")
@@ -917,9 +924,9 @@ def testing_effect(s, d):
     return strength.touched(s.range(20), src.strengths(s, d), NOW).select("memory_id", "access_count", "last_accessed")
 
 
-@query("facts", sql="SELECT id, CASE WHEN id % 3 = 0 THEN lower(object) ELSE object END AS object FROM facts WHERE subject < 30 AND id % 7 <> 0")
+@query("facts", sql="SELECT id, CASE WHEN id % 3 = 0 THEN lower(object) ELSE object END AS object FROM facts WHERE id % 7 <> 0")
 def facts_current(s, d):
-    f = src.facts(s, d).filter("subject < 30").withColumns({"seq": F.lit(0), "is_deleted": F.lit(0)})
+    f = src.facts(s, d).withColumns({"seq": F.lit(0), "is_deleted": F.lit(0)})
     changed = f.filter("id % 3 = 0").withColumns({"object": F.lower("object"), "seq": F.lit(1)})
     gone = f.filter("id % 7 = 0").withColumns({"seq": F.lit(2), "is_deleted": F.lit(1)})
     return records.current(f.unionByName(changed).unionByName(gone), order=("seq",)).select("id", "object")
@@ -930,9 +937,9 @@ def reasoning_episodes(s, d):
     return records.timeline(src.episodes(s, d), ["view"], k=20).select("id")
 
 
-@query(sql="SELECT o_orderkey AS id, o_orderkey % 4 = 0 AS is_identity FROM orders WHERE o_orderkey < 2000")
+@query(sql="SELECT o_orderkey AS id, o_orderkey % 4 = 0 AS is_identity FROM orders")
 def identity_facts(s, d):
-    o = src.table(s, d, "orders").filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, F.array(F.lit("identity"), F.lit("x"))).when(F.col("o_orderkey") % 4 == 1, F.array(F.lit("x"))).alias("tags"))
+    o = src.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, F.array(F.lit("identity"), F.lit("x"))).when(F.col("o_orderkey") % 4 == 1, F.array(F.lit("x"))).alias("tags"))
     return records.with_identity(o).select("id", "is_identity")
 
 
@@ -993,44 +1000,44 @@ def block_upsert(s, d):
     return knowledge.upsert_latest(c.unionByName(new), "id", "seq").join(gone, "id", "left_anti").select("id", "value")
 
 
-@query(sql="SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'out ' || event_type WHEN event_id % 3 = 1 THEN event_type ELSE '{\"other\":1}' END AS text FROM events WHERE event_id < 300")
+@query(sql="SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'out ' || event_type WHEN event_id % 3 = 1 THEN event_type ELSE '{\"other\":1}' END AS text FROM events")
 def tool_capture(s, d):
     i = F.col("event_id")
-    e = src.table(s, d, "events").filter(i < 300)
+    e = src.table(s, d, "events")
     out = F.when(i % 3 == 0, F.concat(F.lit(" out "), "event_type")).otherwise(F.lit(" "))
     inp = F.when(i % 3 == 1, F.concat(F.lit('{"query":"'), "event_type", F.lit('"}'))).otherwise(F.lit('{"other":1}'))
     return e.select(i.alias("id"), tx.tool_text(out, inp).alias("text"))
 
 
-@query(sql="SELECT event_id AS id, 'Observation: ' || event_type || chr(10) || 'Thoughts: t' || event_id || chr(10) || 'Action: a' || chr(10) || 'Result: r' AS content FROM events WHERE event_id < 300")
+@query(sql="SELECT event_id AS id, 'Observation: ' || event_type || chr(10) || 'Thoughts: t' || event_id || chr(10) || 'Action: a' || chr(10) || 'Result: r' AS content FROM events")
 def reasoning_narrative(s, d):
-    e = src.table(s, d, "events").filter("event_id < 300")
+    e = src.table(s, d, "events")
     return e.select(F.col("event_id").alias("id"), tx.narrative(F.col("event_type"), F.concat(F.lit("t"), F.col("event_id").cast("string")), F.lit("a"), F.lit("r")).alias("content"))
 
 
-@query(sql="SELECT event_id AS id, CASE WHEN event_id % 3 = 0 AND event_id % 10 < 7 THEN 'NOOP' WHEN event_id % 3 = 0 THEN 'UPDATE' ELSE 'ADD' END AS event, 'text ' || event_id AS text FROM events WHERE event_id < 300")
+@query(sql="SELECT event_id AS id, CASE WHEN event_id % 3 = 0 AND event_id % 10 < 7 THEN 'NOOP' WHEN event_id % 3 = 0 THEN 'UPDATE' ELSE 'ADD' END AS event, 'text ' || event_id AS text FROM events")
 def decision_parse(s, d):
     i = F.col("event_id")
-    e = src.table(s, d, "events").filter(i < 300)
+    e = src.table(s, d, "events")
     answer = F.concat(F.lit('```json\n[{"text":"text '), i.cast("string"), F.lit('"'), F.when(i % 3 == 0, F.concat(F.lit(',"event":"update","confidence":0.'), (i % 10).cast("string"))).otherwise(""), F.lit('},{"event":"NONSENSE","text":"x"},{"event":"ADD","text":" "}]\n```'))
     return e.select(i.alias("id"), F.explode(tx.parse_decisions(answer)).alias("x")).select("id", "x.event", "x.text")
 
 
-@query(sql="SELECT event_id AS id, 'u' || user_id AS source, 'did_' || event_type AS relation, 'e' || event_id AS target FROM events WHERE event_id < 300")
+@query(sql="SELECT event_id AS id, 'u' || user_id AS source, 'did_' || event_type AS relation, 'e' || event_id AS target FROM events")
 def triplet_parse(s, d):
     i = F.col("event_id")
-    e = src.table(s, d, "events").filter(i < 300)
+    e = src.table(s, d, "events")
     u = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     t = F.concat(F.lit("e"), i.cast("string"))
     answer = F.concat(F.lit('[{"source":"'), u, F.lit('","relation":"Did '), "event_type", F.lit('!","target":"'), t, F.lit('"},{"source":"nobody","relation":"x","target":"y"}]'))
     return e.select(i.alias("id"), F.explode(tx.parse_triplets(answer, F.array(u, t))).alias("x")).select("id", "x.source", "x.relation", "x.target")
 
 
-@query(sql="SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN (event_id % 10) / 10.0::DOUBLE WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 ELSE 0.5 END AS score FROM events WHERE event_id < 400")
+@query(sql="SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN (event_id % 10) / 10.0::DOUBLE WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 ELSE 0.5 END AS score FROM events")
 def rerank_score_parse(s, d):
     i = F.col("event_id")
     said = F.when(i % 4 == 0, F.concat(F.lit("Score: 0."), (i % 10).cast("string"))).when(i % 4 == 1, "7 of 10").when(i % 4 == 2, "-3.5").otherwise("no idea")
-    return src.table(s, d, "events").filter(i < 400).select(i.alias("id"), tx.parse_score(said).alias("score"))
+    return src.table(s, d, "events").select(i.alias("id"), tx.parse_score(said).alias("score"))
 
 
 @query("live", sql=f"SELECT id FROM live WHERE {_redact_sql('content')} <> content")
@@ -1038,11 +1045,88 @@ def has_sensitive(s, d):
     return _live(s, d).filter(tx.has_sensitive(F.col("content"))).select("id")
 
 
-@query("live", sql="SELECT 'episodic' AS namespace, event_id AS id, 0.5::DOUBLE AS score FROM events WHERE event_id < 20 UNION ALL SELECT 'procedural', rule_id, 0.7 FROM (SELECT unnest(range(3)) AS rule_id) UNION ALL SELECT 'semantic', seq, 0.9 FROM live WHERE seq < 10")
+@query("vhits", "facts", sql="""WITH routes AS (SELECT DISTINCT query_id, unnest(CASE WHEN query_id % 2 = 0 THEN ['semantic', 'verbatim'] ELSE ['verbatim'] END) AS namespace FROM vhits),
+    h AS (SELECT 'verbatim' AS namespace, query_id, id, score FROM vhits UNION ALL SELECT 'semantic', id % 5, id, confidence FROM facts)
+    SELECT query_id, namespace, id, score, row_number() OVER (PARTITION BY query_id, namespace ORDER BY score DESC, id) - 1 AS rank FROM h JOIN routes USING (query_id, namespace) QUALIFY rank < 5""")
 def namespace_union(s, d):
-    e = src.episodes(s, d).filter("id < 20").select(F.lit("episodic").alias("namespace"), "id", F.lit(0.5).alias("score"))
-    r = s.range(3).select(F.lit("procedural").alias("namespace"), "id", F.lit(0.7).alias("score"))
-    return e.unionByName(r).unionByName(_live(s, d).filter("seq < 10").select(F.lit("semantic").alias("namespace"), F.col("seq").alias("id"), F.lit(0.9).alias("score")))
+    hits = search.cosine_scores(src.vector_entries(s, d), _vector_queries(s, d))
+    facts = src.facts(s, d).select((F.col("id") % 5).alias("query_id"), "id", F.col("confidence").alias("score"))
+    q = _vector_queries(s, d).select("query_id")
+    routes = q.select("query_id", F.lit("verbatim").alias("namespace")).unionByName(q.filter("query_id % 2 = 0").select("query_id", F.lit("semantic").alias("namespace")))
+    return routing.cube_search(routes, {"verbatim": hits, "semantic": facts}, 5)
+
+
+@query(sql="SELECT kind, count(*) AS n FROM (SELECT CASE event_type WHEN 'view' THEN 'semantic' WHEN 'click' THEN 'episodic' ELSE 'verbatim' END AS kind FROM events) GROUP BY 1")
+def cube_add(s, d):
+    kind = F.when(F.col("event_type") == "view", "semantic").when(F.col("event_type") == "click", "episodic").when(F.col("event_id") % 2 == 0, "odd")
+    out = None
+    for name, rows in routing.cube_add(src.table(s, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("content"), kind.alias("memory_type"))).items():
+        rows = rows.select(F.lit(name).alias("kind"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+_DECIDED = """f AS (SELECT o_orderkey AS id, o_orderpriority AS text, CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS is_deleted FROM orders),
+    d AS (SELECT o_orderkey AS seq, ['ADD', 'UPDATE', 'DELETE', 'NOOP'][CAST(o_orderkey % 4 + 1 AS INTEGER)] AS event, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey + 10000000 ELSE o_orderkey END AS id, 'new ' || o_clerk AS text, (o_orderkey % 10) / 10.0::DOUBLE AS confidence FROM (SELECT *, o_custkey AS o_clerk FROM orders)),
+    q AS (SELECT seq, id, text, CASE WHEN event IN ('UPDATE', 'DELETE') AND confidence < 0.7 OR event = 'UPDATE' AND id NOT IN (SELECT id FROM f WHERE is_deleted = 0) THEN 'NOOP' ELSE event END AS event FROM d)"""
+
+
+def _decisions(s, d):
+    k = F.col("o_orderkey")
+    o = src.table(s, d, "orders")
+    facts = o.select(k.alias("id"), F.col("o_orderpriority").alias("text"), F.when(k % 9 == 0, 1).otherwise(0).alias("is_deleted"))
+    event = F.element_at(F.array(*map(F.lit, ["ADD", "UPDATE", "DELETE", "NOOP"])), (k % 4 + 1).cast("int"))
+    return knowledge.apply_decisions(facts, o.select(k.alias("seq"), event.alias("event"), F.when(k % 4 == 0, k + 10_000_000).otherwise(k).alias("id"), F.concat(F.lit("new "), F.col("o_custkey").cast("string")).alias("text"), ((k % 10) / 10.0).alias("confidence")))
+
+
+@query(sql=f"WITH {_DECIDED} SELECT f.id, CASE WHEN q.event = 'UPDATE' THEN q.text ELSE f.text END AS text, CASE WHEN q.event = 'DELETE' THEN 1 ELSE is_deleted END AS is_deleted FROM f LEFT JOIN q ON f.id = q.id AND q.event IN ('UPDATE', 'DELETE') UNION ALL SELECT id, text, 0 FROM q WHERE event = 'ADD'")
+def decisions_applied(s, d):
+    return _decisions(s, d)[0]
+
+
+@query(sql=f"WITH {_DECIDED} SELECT seq, event FROM q")
+def decisions_routed(s, d):
+    return _decisions(s, d)[1]
+
+
+@query(sql="WITH g AS (SELECT n_name AS user_id, 'bot' || n_nationkey % 4 AS agent_id, CASE n_nationkey % 3 WHEN 0 THEN 'owner' WHEN 1 THEN 'agent' ELSE 'observer' END AS role, '*' AS namespace FROM nation) SELECT * FROM (SELECT * FROM g UNION SELECT n_name, 'new', 'agent', '*' FROM nation WHERE n_nationkey % 2 = 0) WHERE NOT (agent_id = 'bot1' AND user_id < 'K')")
+def grants_changed(s, d):
+    n, k = src.table(s, d, "nation"), F.col("n_nationkey")
+    g = n.select(F.col("n_name").alias("user_id"), F.concat(F.lit("bot"), (k % 4).cast("string")).alias("agent_id"), F.when(k % 3 == 0, "owner").when(k % 3 == 1, "agent").otherwise("observer").alias("role"), F.lit("*").alias("namespace"))
+    none = F.lit(None).cast("string")
+    more = governance.grant(g, n.filter(k % 2 == 0).select(F.col("n_name").alias("user_id"), F.lit("new").alias("agent_id"), none.alias("role"), none.alias("namespace")))
+    return governance.revoke(more, n.filter("n_name < 'K'").select(F.col("n_name").alias("user_id"), F.lit("bot1").alias("agent_id")))
+
+
+@query(sql="SELECT l_orderkey AS id, l_partkey AS source_id, l_suppkey AS target_id FROM lineitem WHERE l_linenumber = 1 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 6 = 0)")
+def edges_deleted(s, d):
+    e = src.table(s, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id"))
+    return graph.delete_edges(e, src.table(s, d, "orders").filter("o_orderkey % 6 = 0").select(F.col("o_orderkey").alias("id")))
+
+
+@query(sql="SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 5 <> 0 QUALIFY row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) <= 100")
+def entities_newest(s, d):
+    return ent.newest(src.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0).alias("is_deleted"))).select("id")
+
+
+@query("dtok", sql="SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM (SELECT id, unnest(words) AS term, 1 AS tf FROM dtok WHERE id NOT LIKE '%3') GROUP BY 1 ".replace("count(*) AS df", "count(DISTINCT id) AS df"))
+def keyword_delete(s, d):
+    docs = _live(s, d).select("id", F.col("content").alias("text"))
+    left = search.delete_postings(search.postings(docs, tx.tokenize(F.col("text"))), docs.filter("id like '%3'"))
+    return left.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+
+@query(sql="SELECT event_id AS id, event_type AS text, len(event_type) AS n FROM events")
+def embed_distinct(s, d):
+    rows = src.table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("text"))
+    v = embed_each(rows, lambda t: F.array(F.length(t).cast("double")))
+    return v.select("id", "text", F.element_at("vector", 1).cast("long").alias("n"))
+
+
+@query()
+def vector_approximate(s, d):
+    v = src.vector_entries(s, d)
+    return search.approximate_top_k(v, v.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")), 10)
 
 
 @query("causal", sql="WITH RECURSIVE p AS (SELECT seed, [seed] AS path, 1.0::DOUBLE AS c, 0 AS n FROM (SELECT min(event_id) AS seed FROM events WHERE user_id < 5 GROUP BY user_id) UNION ALL SELECT seed, list_append(path, q.effect), c * confidence, n + 1 FROM p JOIN causal q ON q.cause = path[-1] WHERE n < 3 AND NOT list_contains(path, q.effect)) SELECT seed, max(round(c, 9)) AS best, count(*) AS n FROM p WHERE n = 3 GROUP BY 1")
@@ -1067,11 +1151,25 @@ def _stream(s, d, name):
     return s.readStream.schema(src.table(s, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def _drained(df, name, mode):
-    state = f"{checkpoint_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def _drained(df, mode):
+    """The stream run to its end; each batch's rows are written to the shared folder, the last batch is the result.
+
+    Complete mode writes all rows with every batch; in update mode the streams here
+    read one file, which is one batch.
+    """
+    folder = f"{checkpoint_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    kept = []
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/rows-{number}")
+        kept.append(f"{folder}/rows-{number}")
+
+    df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    if mode == "append" and kept:
+        return df.sparkSession.read.parquet(*kept)
+    if mode == "complete" or len(kept) < 2:
+        return df.sparkSession.read.parquet(kept[-1]) if kept else df.sparkSession.createDataFrame([], df.schema)
+    raise RuntimeError("an update stream of several batches has no last one")
 
 
 @query(sql="SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS access_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -1079,7 +1177,7 @@ def stream_access_counts(s, d):
     from recollect.streaming.operators import access_counts
 
     logs = _stream(s, d, "events").select(F.col("ts").cast("timestamp").alias("accessed_at"), F.col("event_type").alias("access_type"))
-    return _drained(access_counts(logs, "1 day"), "stream_access_counts", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "access_type", "n")
+    return _drained(access_counts(logs, "1 day"), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "access_type", "n")
 
 
 @query("outcomes", sql=f"WITH {_RULES} SELECT rule_id, helpful_count, harmful_count, deprecated FROM rules")
@@ -1087,15 +1185,27 @@ def stream_rules(s, d):
     from recollect.streaming.operators import rule_stream
 
     o = _stream(s, d, "labels").select((F.col("doc_id") % 100).alias("rule_id"), F.col("doc_id").alias("seq"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("helpful"))
-    return _drained(rule_stream(o), "stream_rules", "update")
+    return _drained(rule_stream(o), "update")
 
 
-@query("strength", sql="SELECT memory_id, access_count FROM strength")
+@query("strength", sql="""WITH l AS (SELECT event_id % 200 AS memory_id, ts, lag(ts) OVER (PARTITION BY event_id % 200 ORDER BY ts, event_id) AS before FROM events),
+    m AS (SELECT memory_id, least(1.0, min(coalesce(pow(0.5, epoch(ts - before) / (7 * 86400.0)), 1.0))) AS least FROM l GROUP BY 1)
+    SELECT memory_id, access_count, round(least, 6) AS least, round(pow(0.5, epoch(TIMESTAMP '2024-02-02' - last_accessed) / (7 * 86400.0)), 6) AS strength FROM strength JOIN m USING (memory_id)""")
 def stream_strength(s, d):
     from recollect.streaming.operators import strength_stream
 
-    logs = _stream(s, d, "events").select((F.col("event_id") % 200).alias("memory_id"), F.col("ts").alias("accessed_at"))
-    return _drained(strength_stream(logs), "stream_strength", "update").select("memory_id", "access_count")
+    logs = _stream(s, d, "events").select((F.col("event_id") % 200).alias("memory_id"), F.col("ts").alias("accessed_at"), F.lit(NOW).cast("timestamp").alias("now"))
+    return _drained(strength_stream(logs), "update").select("memory_id", "access_count", F.round("least", 6).alias("least"), F.round("strength", 6).alias("strength"))
+
+
+@query(sql="""WITH RECURSIVE o AS (SELECT event_id AS id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nr FROM events),
+    f AS (SELECT id, user_id, event_type, ts AS last, nr, true AS accepted FROM o WHERE nr = 1 UNION ALL SELECT o.id, o.user_id, o.event_type, CASE WHEN o.ts - f.last > INTERVAL 6 HOUR THEN o.ts ELSE f.last END, o.nr, o.ts - f.last > INTERVAL 6 HOUR FROM f JOIN o ON o.user_id = f.user_id AND o.event_type = f.event_type AND o.nr = f.nr + 1)
+    SELECT user_id, event_type AS text, count(*) AS n FROM f WHERE accepted GROUP BY 1, 2""")
+def stream_dedup(s, d):
+    from recollect.streaming.operators import dedup_stream
+
+    e = _stream(s, d, "events").select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("ts"))
+    return _drained(dedup_stream(e, 6 * 3600), "append").groupBy("user_id", "text").agg(F.count("*").alias("n"))
 
 
 __all__ = ["ORACLE", "QUERIES", "cosine"]

@@ -12,9 +12,33 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from recollect.functions.text import content_hash
 
 
-def dedup_stream(events: DataFrame, window: str = "5 minutes", by: str = "user_id", text: str = "text", at: str = "ts") -> DataFrame:
-    """The first of equal texts of a user within ``window`` of event time. Rows later than the watermark are dropped."""
-    return events.withColumn("text_hash", content_hash(F.trim(text))).withWatermark(at, window).dropDuplicatesWithinWatermark([by, "text_hash"])
+def dedup_stream(events: DataFrame, seconds: int = 300, by: str = "user_id", text: str = "text", at: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """Events of which an equal text of the user was accepted no more than ``seconds`` of event time before are left out.
+
+    As ``governance.dedup_window``: rejected repeats don't prolong the wait. The state is
+    the time of the last accepted row of a text; it goes once the watermark has
+    passed the wait. Rows later than the watermark are dropped; those of one batch
+    are taken in order of time.
+    """
+    names, wait = list(events.columns), seconds * 1_000_000
+
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("__us", kind="stable")
+        last = state.get[0] if state.exists else None
+        taken = []
+        for us in rows["__us"].tolist():
+            taken.append(last is None or us - last > wait)
+            if taken[-1]:
+                last = us
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + wait) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield rows.loc[taken, names]
+
+    keyed = events.withWatermark(at, late).withColumns({"__us": F.unix_micros(F.col(at).cast("timestamp")), "__h": content_hash(F.trim(text))})
+    return keyed.groupBy(by, "__h").applyInPandasWithState(keep, events.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def access_counts(logs: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -30,19 +54,29 @@ def access_sessions(logs: DataFrame, gap: str = "30 minutes", late: str = "10 mi
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "app_id", "n")
 
 
-def strength_stream(logs: DataFrame) -> DataFrame:
-    """(memory_id, access_count, last_accessed, strength) after each batch of accesses: reading refreshes the strength."""
+def strength_stream(logs: DataFrame, half_life: float = 7.0) -> DataFrame:
+    """(memory_id, access_count, last_us, least, strength) after each batch of accesses, in order of time.
+
+    Strength decays by half in ``half_life`` days and reading brings it back to 1.
+    ``least`` is the lowest that it had come to when the memory was read, ``strength``
+    what it has at ``now`` (a column of the logs; without it, at the last access).
+    """
+    day = 86400e6
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, last = state.get if state.exists else (0, 0)
-        for pdf in batches:
-            count += len(pdf)
-            last = max(last, int(pdf["us"].max()))
-        state.update((count, last))
-        yield pd.DataFrame({"memory_id": [key[0]], "access_count": [count], "last_us": [last], "strength": [1.0]})
-
-    rows = logs.select("memory_id", F.unix_micros(F.col("accessed_at").cast("timestamp")).alias("us"))
-    return rows.groupBy("memory_id").applyInPandasWithState(update, "memory_id long, access_count long, last_us long, strength double", "n long, last long", "update", GroupStateTimeout.NoTimeout)
+        count, last, least = state.get if state.exists else (0, None, 1.0)
+        rows = pd.concat(list(batches))
+        for us in sorted(rows["us"].tolist()):
+            if last is not None:
+                least = min(least, 0.5 ** (max(us - last, 0) / (half_life * day)))
+            count, last = count + 1, us if last is None else max(last, us)
+        state.update((count, last, least))
+        now = int(rows["now_us"].max())
+        yield pd.DataFrame({"memory_id": [key[0]], "access_count": [count], "last_us": [last], "least": [round(least, 9)], "strength": [round(0.5 ** (max(now - last, 0) / (half_life * day)), 9)]})
+
+    us = F.unix_micros(F.col("accessed_at").cast("timestamp"))
+    rows = logs.select("memory_id", us.alias("us"), (F.unix_micros(F.col("now").cast("timestamp")) if "now" in logs.columns else us).alias("now_us"))
+    return rows.groupBy("memory_id").applyInPandasWithState(update, "memory_id long, access_count long, last_us long, least double, strength double", "n long, last long, least double", "update", GroupStateTimeout.NoTimeout)
 
 
 def rule_stream(outcomes: DataFrame) -> DataFrame:

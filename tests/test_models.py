@@ -146,6 +146,10 @@ def test_similar_names_against_difflib(spark):
     assert got == want and want
     canon = {r["name"]: r["canonical"] for r in entity.canonical_names(spark.createDataFrame([("Apple Inc",), ("apple  inc.",), ("Pear",)], "name string")).collect()}
     assert canon == {"Apple Inc": "apple inc", "apple  inc.": "apple inc", "Pear": "pear"}
+    # a chain: the last is alike to the middle one only, which isn't canonical
+    chain = [("abcdefgh",), ("abcdefxy",), ("abcdwzxy",)]
+    canon = {r["name"]: r["canonical"] for r in entity.canonical_names(spark.createDataFrame(chain, "name string")).collect()}
+    assert canon == {"abcdefgh": "abcdefgh", "abcdefxy": "abcdefgh", "abcdwzxy": "abcdwzxy"}
 
 
 def edges(spark, pairs):
@@ -157,6 +161,10 @@ def test_label_propagation_and_components(spark):
     pairs = [(a, b) for g in (range(0, 6), range(10, 16)) for a in g for b in g if a < b] + [(20, 21), (5, 30)]
     got = {r["id"]: r["label"] for r in graph.label_propagation(edges(spark, pairs), 20).collect()}
     assert {got[i] for i in range(10, 16)} == {10} and len({got[i] for i in range(6)}) == 1
+    assert got[20] == got[21] == 20, "the ends of an edge don't swap labels"
+    loop = graph.stats(edges(spark, [(1, 1)])).first()
+    assert (loop["nodes"], loop["edges"], loop["density"]) == (1, 1, 1.0)
+    assert graph.stats(edges(spark, [(1, 2)]), spark.range(4)).first()["density"] == round(1 / 12, 4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400 + i, 401 + i) for i in range(60)]
     root = {x: x for p in pairs for x in p}
 

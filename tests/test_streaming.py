@@ -28,7 +28,19 @@ def test_dedup(spark, tmp_path):
     rows = [[(1, "u", "hi", "2024-01-01 00:00:00"), (2, "u", " hi ", "2024-01-01 00:01:00"), (3, "v", "hi", "2024-01-01 00:01:00"), (4, "u", "other", "2024-01-01 00:02:00")]]
     df = stream(spark, tmp_path, rows, "id long, user_id string, text string, at string").withColumn("ts", F.col("at").cast("timestamp"))
     got = {r["id"] for r in run(dedup_stream(df), "dedup", "append", spark).collect()}
-    assert len(got) == 3 and {3, 4} <= got
+    assert got == {1, 3, 4}
+
+
+def test_dedup_waits_from_the_accepted_row(spark, tmp_path):
+    """As the batch form: a repeat at exactly the wait is one, a second later it counts again, and repeats in between don't prolong the wait."""
+    from recollect.operators.governance import dedup_window
+
+    at = [0, 200, 300, 301, 500, 601, 602, 1300]
+    rows = [(i, "u", "hi", f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}") for i, s in enumerate(at)]
+    df = stream(spark, tmp_path, [rows], "id long, user_id string, text string, at string").withColumn("ts", F.col("at").cast("timestamp"))
+    got = {r["id"] for r in run(dedup_stream(df), "waits", "append", spark).collect()}
+    batch = spark.createDataFrame(rows, "id long, user_id string, text string, at string").withColumn("ts", F.col("at").cast("timestamp"))
+    assert got == {0, 3, 6, 7} == {r["id"] for r in dedup_window(batch, 300).collect() if r["accepted"]}
 
 
 def test_counts_and_sessions(spark, tmp_path):
@@ -43,8 +55,12 @@ def test_counts_and_sessions(spark, tmp_path):
 
 def test_state(spark, tmp_path):
     df, rows = logs(spark, tmp_path)
-    got = {r["memory_id"]: r["access_count"] for r in run(strength_stream(df), "strength", "update", spark).collect()}
-    assert got == {k: sum(r[0] == k for r in rows) for k in range(4)}
+    got = {r["memory_id"]: r for r in run(strength_stream(df, 0.1).withColumn("x", F.lit(1)), "strength", "update", spark).collect()}
+    assert {k: r["access_count"] for k, r in got.items()} == {k: sum(r[0] == k for r in rows) for k in range(4)}
+    for k, r in got.items():
+        at = sorted(int(x[3][11:13]) * 60 + int(x[3][14:16]) for x in rows if x[0] == k)
+        least = min(0.5 ** ((b - a) / 144) for a, b in zip(at, at[1:]))
+        assert abs(r["least"] - least) < 1e-6 and r["least"] < 0.9 and r["strength"] == 1.0
 
 
 def test_rules(spark, tmp_path):
