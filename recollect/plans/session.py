@@ -25,11 +25,13 @@ def session(name: str = "recollect", master: str | None = None, **options: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one of the driver's only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; where that is unset a temporary one, on a local master only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if sc.master.partition("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="recollect-checkpoint-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
