@@ -25,8 +25,8 @@ from recollect.llm.common import need, table
 #: Bounds of the labelled sample: characters and documents a language.
 SAMPLE_CHARS = 48_000
 SAMPLE_DOCS = 256
-#: Phrases end at every multiple of so many characters, at any length of text; strips are parsed side by side.
-STRIP = 1024
+#: Bytes of text parsed side by side, all documents of them a character further at a time: the longest one says how many steps there are.
+SIDE_BY_SIDE = 16 << 20
 
 #: Cells of the table that holds automata in full; those that do not fit are kept by their transitions alone.
 DENSE_CELLS = 1 << 26
@@ -134,18 +134,14 @@ class Parser:
     def _letters() -> np.ndarray:
         return np.array([i for i in range(0x30000) if chr(i).isalpha()], dtype=np.int64)
 
-    def phrases(self, col: pa.Array, strip: int = STRIP) -> tuple[np.ndarray, np.ndarray]:
-        """(phrases a document and language, characters a document)."""
+    def phrases(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases a document and language, characters a document); each text is parsed from its first to its last character."""
         low = pc.utf8_lower(pc.fill_null(col, ""))
         chars = pc.utf8_length(low).to_numpy(zero_copy_only=False).astype(np.int64)
         codes = self.code[np.frombuffer("".join(low.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
-        n = -(-chars // strip)
-        doc = np.repeat(np.arange(len(chars)), n)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-        start = (np.cumsum(chars) - chars)[doc] + nth * strip
-        size = np.minimum(chars[doc] - nth * strip, strip)
-        order = np.argsort(-size, kind="stable")
-        doc, start, size = doc[order], start[order], size[order]
+        doc = np.flatnonzero(chars)
+        doc = doc[np.argsort(-chars[doc], kind="stable")]
+        start, size = (np.cumsum(chars) - chars)[doc], chars[doc]
         active = len(doc) - np.searchsorted(size[::-1], np.arange(1, int(size[0]) + 1)) if len(size) else []
         out = np.zeros((len(chars), len(self.languages)), dtype=np.int64)
         if self.dense:
@@ -187,27 +183,33 @@ def _parser(samples: dict[str, str]) -> Parser:
 
 
 def labelled_sample(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, sample_docs: int = SAMPLE_DOCS) -> dict[str, str]:
-    """Text per language from at most ``sample_docs`` labelled documents, those first in order of a hash of doc_id, cut at ``sample_chars``."""
-    spark = docs.sparkSession
-    known = need(docs, "doc_id", "lang", "text").filter("doc_id is not null and lang is not null and text is not null")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("nr", F.row_number().over(first)).filter(F.col("nr") <= sample_docs).select("doc_id").distinct()
-    picked = spark.createDataFrame(ids.collect(), "doc_id long")
-    rows = known.join(F.broadcast(picked), "doc_id").select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, sample_chars).alias("t")).collect()
+    """Text per language: labelled documents in order of a hash of doc_id, ``sample_docs`` at most, until they hold ``sample_chars``, where the last is cut.
+
+    No more than ``sample_chars`` and one document of each language reach the driver.
+    """
+    known = need(docs, "doc_id", "lang", "text").filter("doc_id is not null and lang is not null and text is not null and text <> ''").withColumn("n", F.length("text").cast("long"))
+    # sizes alone decide, so few texts are read for it: those that begin before the bound
+    ids = known.select("doc_id", "lang", "n", F.xxhash64("text").alias("h")).withColumn("nr", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))).filter(F.col("nr") <= sample_docs)
+    before = F.coalesce(F.sum(F.col("n") + 1).over(Window.partitionBy("lang").orderBy("nr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ids = ids.withColumn("before", before).filter(F.col("before") < sample_chars).select("doc_id", "lang", "h", "nr")
+    picked = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long, lang string, h long, nr int")
+    # of rows that are equal in id, language and text one is taken for each number it was given
+    twins = Window.partitionBy("doc_id", "lang", "h").orderBy("doc_id")
+    rows = known.select("doc_id", "lang", F.xxhash64("text").alias("h"), "text").join(F.broadcast(picked.select("doc_id", "lang", "h").distinct()), ["doc_id", "lang", "h"], "left_semi")
+    rows = rows.withColumn("k", F.row_number().over(twins)).filter("k = 1").drop("k").join(F.broadcast(picked), ["doc_id", "lang", "h"]).select("lang", "nr", "text").collect()
     out: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["doc_id"], r["t"])):
-        have = out.get(r["lang"], "")
-        out[r["lang"]] = (have + " " + r["t"])[:sample_chars] if have else r["t"]
-    return {k: v for k, v in out.items() if v.strip()}
+    for r in sorted(rows, key=lambda r: (r["lang"], r["nr"])):
+        out[r["lang"]] = out[r["lang"]] + " " + r["text"] if r["lang"] in out else r["text"]
+    return {k: v[:sample_chars] for k, v in out.items() if v.strip()}
 
 
-def identify(docs: DataFrame, samples: dict[str, str] | None = None, sample_chars: int = SAMPLE_CHARS, sample_docs: int = SAMPLE_DOCS, strip: int = STRIP) -> DataFrame:
+def identify(docs: DataFrame, samples: dict[str, str] | None = None, sample_chars: int = SAMPLE_CHARS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(doc_id, language, entropy, runner_up, margin, n_chars) of every row.
 
     ``language`` has the least ``entropy`` (bits a character; of equal ones the
     first by name), ``margin`` is how much more ``runner_up`` has. ``samples`` maps
     languages to text; by default it is drawn from the rows' own ``lang`` labels,
-    within the two bounds. Whole texts are parsed, in strips of ``strip`` characters.
+    within the two bounds. Whole texts are parsed.
 
     Null and empty texts have no language, entropy, runner-up or margin. A null
     ``doc_id`` is carried along, a null ``lang`` takes no part in the sample.
@@ -220,7 +222,7 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None, sample_char
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text", SIDE_BY_SIDE):
                 n = b.num_rows
                 best = second = np.zeros(n, dtype=np.int64)
                 chars = pc.fill_null(pc.utf8_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -228,7 +230,7 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None, sample_char
                 low, gap = np.zeros(n), np.zeros(n)
                 if samples:
                     parser = _parser(samples)
-                    count, chars = parser.phrases(b.column("text"), strip)
+                    count, chars = parser.phrases(b.column("text"))
                     bits = count * parser.bits / np.maximum(chars, 1)[:, None]
                     languages = parser.languages
                     order = np.argsort(bits, axis=1, kind="stable")

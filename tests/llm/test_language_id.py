@@ -15,18 +15,17 @@ def tongue(rng, syllables, n):
 TONGUES = {"xa": ["ka", "lo", "mi", "tek"], "yb": ["ou", "shra", "ka", "vel"], "zc": ["ñu", "ri", "lo", "bo"]}
 
 
-def naive_phrases(sample, text, strip):
+def naive_phrases(sample, text):
     """Greedy longest matches, looked up by substring search."""
     sample, count = normalise(sample), 0
     text = "".join(c if c.isalpha() else " " for c in text.lower())
-    for s in range(0, len(text), strip):
-        part, at = text[s : s + strip], 0
-        while at < len(part):
-            n = 1
-            while at + n < len(part) and part[at : at + n + 1] in sample:
-                n += 1
-            at += n
-            count += 1
+    at = 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in sample:
+            n += 1
+        at += n
+        count += 1
     return count
 
 
@@ -35,10 +34,10 @@ def test_phrases_against_naive():
     samples = {k: tongue(rng, v, 150) for k, v in TONGUES.items()}
     parser = Parser(samples)
     texts = [tongue(rng, rng.choice(list(TONGUES.values())), rng.randint(1, 120)) for _ in range(40)] + ["", "q", "日本 x", "123 !!", "KA lo\tMI"]
-    for strip in (64, 1024):
-        got, chars = parser.phrases(pa.array(texts), strip)
-        want = np.array([[naive_phrases(samples[k], t, strip) for k in parser.languages] for t in texts])
-        assert (got == want).all() and chars.tolist() == [len(t) for t in texts]
+    texts += [tongue(rng, TONGUES["xa"], 3000)]
+    got, chars = parser.phrases(pa.array(texts))
+    want = np.array([[naive_phrases(samples[k], t) for k in parser.languages] for t in texts])
+    assert (got == want).all() and chars.tolist() == [len(t) for t in texts]
 
 
 def test_held_out_accuracy(spark):
@@ -52,6 +51,19 @@ def test_held_out_accuracy(spark):
     assert len(unseen) > 200 and sum(got[i] == k for i, k in unseen) / len(unseen) > 0.97
 
 
+def test_sample_is_bounded(spark):
+    """Rows of one id over and over, and long documents: neither bound is passed, and the sample is the documents in their order."""
+    rows = [(1, "ab " * 50, "xa", "s", 0)] * 3000 + [(i, f"t{i} " * 400, "xa", "s", 0) for i in range(2, 40)] + [(100, "q " * 30_000, "yb", "s", 0), (101, None, "yb", "s", 0), (102, "", "yb", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = labelled_sample(docs, 5000, 4000)
+    assert len(got["xa"]) == 5000 and got["yb"] == ("q " * 30_000)[:5000]
+    order = [r["doc_id"] for r in docs.filter("lang = 'xa'").selectExpr("doc_id", "xxhash64(doc_id) h").distinct().orderBy("h", "doc_id").collect()]
+    text = {r[0]: r[1] for r in rows if r[0] < 100}
+    want = " ".join(t for i in order for t in [text[i]] * (3000 if i == 1 else 1))
+    assert got["xa"] == want[:5000]
+    assert labelled_sample(docs, 5000, 1)["xa"] == text[order[0]][:5000]
+
+
 def test_edges(nasty, empty):
     rows = identify(nasty).collect()
     assert len(rows) == nasty.count()
@@ -68,14 +80,14 @@ def test_any_number_of_languages_and_scripts():
     rng = random.Random(11)
     samples = {k: tongue(rng, v, 150) for k, v in TONGUES.items()}
     texts = [tongue(rng, rng.choice(list(TONGUES.values())), rng.randint(1, 120)) for _ in range(30)] + ["", "q", "日本 x", "123 !!", "ñu KA"]
-    want, _ = Parser(samples).phrases(pa.array(texts), 64)
+    want, _ = Parser(samples).phrases(pa.array(texts))
     for cells in (0, 20_000, 60_000):
         parser = Parser(samples, cells)
         assert len(parser.sparse) > 0
-        assert (parser.phrases(pa.array(texts), 64)[0] == want).all()
+        assert (parser.phrases(pa.array(texts))[0] == want).all()
     wide = {f"latin{i}": tongue(rng, list(TONGUES.values())[i], 8000)[:48_000] for i in range(3)}
     wide["han"] = "".join(chr(0x4E00 + int(2800 * rng.random() ** 2)) for _ in range(48_000))
     parser = Parser(wide)
     got, chars = parser.phrases(pa.array([wide["han"][100:400] + "。", wide["latin1"][50:350]]))
     assert parser.languages[int(got[0].argmin())] == "han" and parser.languages[int(got[1].argmin())] == "latin1"
-    assert got[0].tolist() == [naive_phrases(wide[k], wide["han"][100:400] + "。", 1024) for k in parser.languages]
+    assert got[0].tolist() == [naive_phrases(wide[k], wide["han"][100:400] + "。") for k in parser.languages]
