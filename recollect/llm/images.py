@@ -3,11 +3,16 @@
 Each grey image is searched for corners at several scales. Around each corner a
 patch is turned by its own orientation (the direction of its intensity
 centroid) and 256 pairs of points are compared, a bit each. Descriptors meet in
-tables: the first 240 bits are ten words of 24 bits, and two descriptors are
-compared if a word is equal; they match within ``radius`` bits. Every match says
-how one image would have to be scaled, turned and shifted onto the other; an
-image pair whose matches agree on one such motion is a copy, however it was
-cropped, brightened or turned.
+tables: 252 bits are 14 words of 18 bits, and two descriptors are compared if a
+word is equal; they match within ``radius`` bits. With 24 of 256 bits different,
+at random places, an equal word is there with a probability of 0.93, with fewer
+bits more often.
+
+Every match says how one image would have to be scaled, turned and shifted onto
+the other, from its own place on. The motion that most of the pair's other
+matches agree with is fitted to them anew and held against all; an image pair
+with enough corners on one motion is a copy, however it was cropped, brightened,
+turned or resized. Places and distances are relative to the images' sides.
 """
 
 from __future__ import annotations
@@ -20,15 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import checkpointed, need, shuffle_partitions, table
+from recollect.llm.common import checkpointed, need, table
 
 SCALES = (1.0, 0.7071067811865476, 0.5)
 PATCH = 15
 CORNER_SHARE = 0.02
-TABLES, WORD = 10, 24
-RADIUS = 40
+TABLES, WORD = 14, 18
+RADIUS = 24
 MIN_INLIERS = 4
-SHIFT_CELL, TURN_CELLS, SCALE_CELL = 8.0, 12, 0.5
+#: How far a corner may be off, in pixels of its own scale; and, as a share of its distance, from a motion read off one match and from a fitted one.
+OFF_PIXELS, OFF_ONE, OFF_FITTED = 3.0, 0.25, 0.03
+#: How far a match's own turn (radians) and scale (octaves) may differ from the motion's.
+OFF_TURN, OFF_SCALE = 0.6, 0.75
 _TURNS = 32
 _IMAGES_AT_ONCE = 64
 
@@ -114,8 +122,9 @@ def describe(images: np.ndarray) -> dict[str, np.ndarray]:
 def descriptors(images: DataFrame) -> DataFrame:
     """(image_id, spot, d0..d3) of (image_id, width, height, pixels): one byte a pixel, row by row.
 
-    ``spot`` packs where a corner is and how it lies: x and y in eighths of a pixel
-    (18 bits each), the scale's number (4), the angle in 4096ths of a turn (12).
+    ``spot`` packs where a corner is and how it lies: x and y as shares of the longer
+    side (18 bits each), that side's pixels at the corner's scale as 64ths of an
+    octave (12), the angle in 4096ths of a turn (12).
     """
     names = ["image_id", "spot", "d0", "d1", "d2", "d3"]
 
@@ -133,52 +142,78 @@ def descriptors(images: DataFrame) -> DataFrame:
                     d = describe(np.frombuffer(b"".join(pixels[i] for i in part), np.uint8).reshape(len(part), h, w).astype(float))
                     if len(d["image"]) == 0:
                         continue
-                    spot = (np.rint(d["x"] * 8).astype(np.int64) << 34) | (np.rint(d["y"] * 8).astype(np.int64) << 16)
-                    spot |= (np.searchsorted(-np.array(SCALES), -d["scale"]) << 12) | (np.rint(d["angle"] * 2048 / np.pi).astype(np.int64) & 4095)
+                    side = max(h, w)
+                    x, y = (np.minimum((d[k] * (1 << 18) / side).astype(np.int64), (1 << 18) - 1) for k in ("x", "y"))
+                    size = np.rint(np.log2(d["scale"] * side) * 64).astype(np.int64)
+                    spot = (x << 42) | (y << 24) | (size << 12) | (np.rint(d["angle"] * 2048 / np.pi).astype(np.int64) & 4095)
                     bits = d["bits"].view(np.int64)
                     own = np.array([ids[i] for i in part], dtype=np.int64)[d["image"]]
                     yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(spot), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)]], names)
 
-    rows = need(images, "image_id", "width", "height", "pixels").filter("image_id is not null and pixels is not null and width < 32768 and height < 32768")
+    rows = need(images, "image_id", "width", "height", "pixels").filter("image_id is not null and pixels is not null")
     return rows.mapInArrow(run, "image_id long, spot long, d0 long, d1 long, d2 long, d3 long")
 
 
+def _inliers(a_spot: np.ndarray, b_spot: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """Which matches, of rows of pairs padded to one length, agree on their pair's best motion from a to b."""
+    part = lambda s, at, bits: ((s >> at) & ((1 << bits) - 1)).astype(float)
+    a, b = ((part(s, 42, 18) + 1j * part(s, 24, 18)) / (1 << 18) for s in (a_spot, b_spot))
+    la, lb = (part(s, 12, 12) / 64 for s in (a_spot, b_spot))
+    motion = np.exp2(la - lb) * np.exp(2j * np.pi / 4096 * (part(b_spot, 0, 12) - part(a_spot, 0, 12)))
+    slack = OFF_PIXELS * np.exp2(-lb)
+
+    def alike(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        q = c / d
+        return (np.abs(np.angle(q)) <= OFF_TURN) & (np.abs(np.log2(np.abs(q))) <= OFF_SCALE)
+
+    # each match's motion, from its own corner on, against every match of the pair: [pair, motion, match]
+    step = motion[:, :, None] * (a[:, None, :] - a[:, :, None])
+    ok = np.abs(b[:, None, :] - b[:, :, None] - step) <= slack[:, None, :] + OFF_ONE * np.abs(step)
+    ok &= alike(motion[:, None, :], motion[:, :, None]) & real[:, None, :] & real[:, :, None]
+    inside = ok[np.arange(len(ok)), ok.sum(axis=2).argmax(axis=1)]
+    for _ in range(3):
+        n = np.maximum(inside.sum(axis=1), 1)
+        ma, mb = ((v * inside).sum(axis=1) / n for v in (a, b))
+        u, v = (a - ma[:, None]) * inside, (b - mb[:, None]) * inside
+        c = (v * u.conj()).sum(axis=1) / np.maximum((np.abs(u) ** 2).sum(axis=1), 1e-12)
+        c = np.where(np.abs(c) > 1e-6, c, 1e-6)
+        far = np.abs(c[:, None] * (a - ma[:, None]))
+        inside = (np.abs(b - mb[:, None] - c[:, None] * (a - ma[:, None])) <= slack + OFF_FITTED * far) & alike(motion, c[:, None]) & real
+    return inside
+
+
 def consensus(a: np.ndarray, b: np.ndarray, a_spot: np.ndarray, b_spot: np.ndarray, min_inliers: int) -> pa.RecordBatch:
     """(image_id, copy_id, inliers) of the pairs (in runs) whose matches agree on one motion from a to b.
 
-    Motions vote for cells of scale, turn and shift, in two grids half a cell apart,
-    so that agreement is not lost at a cell's edge. A cell counts its corners of
-    the image that has fewer of them there.
+    Inliers are counted by corners of the image that has fewer of them.
     """
     new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    pair = np.cumsum(new) - 1
-    field = lambda s, at, bits: (s >> at) & ((1 << bits) - 1)
-    scales = np.array(SCALES)
-    scale = scales[field(a_spot, 12, 4)] / scales[field(b_spot, 12, 4)]
-    turn = (field(b_spot, 0, 12) - field(a_spot, 0, 12)) * (2 * np.pi / 4096)
-    ax, ay, bx, by = (field(s, at, 18) / 8.0 for s in (a_spot, b_spot) for at in (34, 16))
-    dx = bx - scale * (np.cos(turn) * ax - np.sin(turn) * ay)
-    dy = by - scale * (np.sin(turn) * ax + np.cos(turn) * ay)
-    best = np.zeros(int(pair[-1]) + 1, dtype=np.int64)
-    for grid in (0.0, 0.5):
-        cells = [np.floor(v / width + grid).astype(np.int64) for v, width in ((np.log2(scale), SCALE_CELL), (turn, 2 * np.pi / TURN_CELLS), (dx, SHIFT_CELL), (dy, SHIFT_CELL))]
-        cells[1] %= TURN_CELLS
-        fewest = None
-        for spot in (a_spot, b_spot):
-            order = np.lexsort((spot, *cells, pair))
-            keys = [x[order] for x in (pair, *cells)]
-            head = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
-            fresh = head | np.append(True, spot[order][1:] != spot[order][:-1])
-            count = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(head))
-            fewest = count if fewest is None else np.minimum(fewest, count)
-        np.maximum.at(best, keys[0][head], fewest)
     first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(a)))
+    best = np.zeros(len(first), dtype=np.int64)
+    width = 1 << np.maximum(np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64), 1)
+    for w in np.unique(width[size >= min_inliers]).tolist():
+        every = np.flatnonzero((width == w) & (size >= min_inliers))
+        at_once = max(1, (1 << 20) // (w * w))
+        for s in range(0, len(every), at_once):
+            own = every[s : s + at_once]
+            real = np.arange(w)[None, :] < size[own][:, None]
+            at = first[own][:, None] + np.where(real, np.arange(w)[None, :], 0)
+            inside = _inliers(a_spot[at], b_spot[at], real)
+            row = np.nonzero(inside)[0]
+            fewest = None
+            for spot in (a_spot[at][inside], b_spot[at][inside]):
+                order = np.lexsort((spot, row))
+                fresh = np.append(True, (row[order][1:] != row[order][:-1]) | (spot[order][1:] != spot[order][:-1]))[: len(order)]
+                count = np.bincount(row[order][fresh], minlength=len(own))
+                fewest = count if fewest is None else np.minimum(fewest, count)
+            best[own] = fewest
     good = best >= min_inliers
     return pa.RecordBatch.from_arrays([pa.array(a[first][good]), pa.array(b[first][good]), pa.array(best[good])], ["image_id", "copy_id", "inliers"])
 
 
 def _word(t: int, prefix: str) -> Column:
-    """Word ``t`` of a descriptor, of 24 bits, which may lie across two of its longs."""
+    """Word ``t`` of a descriptor, which may lie across two of its longs."""
     k, s = divmod(t * WORD, 64)
     word = F.shiftrightunsigned(F.col(f"{prefix}d{k}"), s)
     if s + WORD > 64:
@@ -196,8 +231,12 @@ def find_copies(images: DataFrame, radius: int = RADIUS, min_inliers: int = MIN_
 
     Null ids, null pixels, and pixels that aren't width times height are left
     out; images without a corner, or too small for one, match nothing but
-    identical ones. Of repeated rows of an id, all corners count. Other columns
-    are ignored.
+    identical ones. Of repeated rows of an id, all corners count. Corners that tie in
+    strength are all kept; of equally good motions the first is taken. Images of any
+    size are read whole. Other columns are ignored. No rows in, no rows out.
+
+    The search is approximate (see the module's head): a match at the full radius is
+    met with a probability of 0.93, and a copy needs ``min_inliers`` of its matches.
     """
     whole = need(images, "image_id", "width", "height", "pixels").filter("image_id is not null and pixels is not null and width > 0 and height > 0 and length(pixels) = width * height")
     prints = checkpointed(whole.select("image_id", F.xxhash64("width", "height", "pixels").alias("p0"), F.md5("pixels").alias("p1")))
@@ -207,7 +246,7 @@ def find_copies(images: DataFrame, radius: int = RADIUS, min_inliers: int = MIN_
     d = descriptors(whole.join(firsts, "image_id", "left_semi"))
     keys = F.array(*[(F.lit(t << WORD) + _word(t, "")).cast("int") for t in range(TABLES)])
     # both sides of the join read one exchange of slim rows
-    keyed = d.withColumn("key", F.explode(keys)).repartition(shuffle_partitions(images.sparkSession), "key")
+    keyed = d.withColumn("key", F.explode(keys)).repartition("key")
     columns = d.columns
     a = keyed.select("key", *[F.col(c).alias(f"a_{c}") for c in columns])
     b = keyed.select("key", *[F.col(c).alias(f"b_{c}") for c in columns])
@@ -217,8 +256,7 @@ def find_copies(images: DataFrame, radius: int = RADIUS, min_inliers: int = MIN_
     for t in range(TABLES - 1):
         earlier = earlier | ((F.col("key") >= (t + 1) << WORD) & (_word(t, "a_") == _word(t, "b_")))
     met = a.join(b, "key").filter((F.col("a_image_id") < F.col("b_image_id")) & (apart <= radius) & ~earlier)
-    n = shuffle_partitions(images.sparkSession)
-    pairs = met.select(F.col("a_image_id").alias("image_id"), F.col("b_image_id").alias("copy_id"), "a_spot", "b_spot").repartition(n, "image_id", "copy_id").sortWithinPartitions("image_id", "copy_id")
+    pairs = met.select(F.col("a_image_id").alias("image_id"), F.col("b_image_id").alias("copy_id"), "a_spot", "b_spot").repartition("image_id", "copy_id").sortWithinPartitions("image_id", "copy_id")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
