@@ -448,17 +448,19 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_size: int = MIN_SI
         m = len(name) + 1
         return pa.table({"host": pa.array([key[0].as_py()] * m, pa.string()), "part": pa.array([part] * m, pa.int32()), "groups": pa.array([parts] * m, pa.int32()), "token": pa.array([*name.view(np.int64).tolist(), None], pa.int64()), "sig": np.append(sig.view(np.int64), 0), "on": np.append(on, base_pages), "total": np.append(total, 0), "place": np.append(spot, -1)})
 
-    found = checkpointed(given.groupBy("host", "part").applyInArrow(sums, "host string, part int, groups int, token long, sig long, on long, total long, place long"))
+    found = given.groupBy("host", "part").applyInArrow(sums, "host string, part int, groups int, token long, sig long, on long, total long, place long")
+    # windows within a host, one exchange for all: read once, in one job with the extraction, so that both share the pages' exchange
+    host, token = Window.partitionBy("host"), Window.partitionBy("host", "token")
     # vectors add up over the groups (modulo 2**64, hence by halves), and a token must have a place in each where it is
     low, high = F.col("sig").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("sig", 32)
-    merged = found.groupBy("host", "token", "groups").agg(F.sum("on").alias("on"), F.sum("total").alias("total"), F.sum(low).alias("lo"), F.sum(high).alias("hi"), F.min("place").alias("least"), F.min_by("place", "part").alias("place"))
-    merged = merged.withColumn("host_pages", F.max(F.when(F.col("token").isNull(), F.col("on"))).over(Window.partitionBy("host"))).filter("token is not null and least >= 0").filter((F.col("host_pages") >= min_pages) & (F.col("on") >= F.col("host_pages") * F.lit(min_share)))
+    merged = found.withColumn("host_pages", F.sum(F.when(F.col("token").isNull(), F.col("on"))).over(host)).filter("token is not null")
+    merged = merged.select("host", "part", "groups", "token", "host_pages", F.col("place").alias("p"), *[x.over(token).alias(c) for c, x in {"on": F.sum("on"), "total": F.sum("total"), "lo": F.sum(low), "hi": F.sum(high), "least": F.min("place"), "place": F.min_by("place", "part"), "first": F.min("part")}.items()])
+    merged = merged.filter("least >= 0").filter((F.col("host_pages") >= min_pages) & (F.col("on") >= F.col("host_pages") * F.lit(min_share)))
     carry = F.shiftrightunsigned("lo", 32)
     merged = merged.withColumn("klass", F.xxhash64(F.col("lo").bitwiseAND(F.lit(0xFFFFFFFF)), (F.col("hi") + carry).bitwiseAND(F.lit(0xFFFFFFFF)), "on", "total"))
     # the groups must give a class one order: its tokens' ranks are compared
-    ranks = found.filter("token is not null").select("host", "part", "token", F.col("place").alias("p")).join(merged.select("host", "token", "klass"), ["host", "token"])
-    ranks = ranks.withColumn("r", F.row_number().over(Window.partitionBy("host", "part", "klass").orderBy("p"))).groupBy("host", "token").agg(F.min("r").alias("r1"), F.max("r").alias("r2")).filter("r1 = r2").select("host", "token")
-    agreed = merged.join(ranks, ["host", "token"])
+    ranked = merged.withColumn("r", F.row_number().over(Window.partitionBy("host", "part", "klass").orderBy("p")))
+    agreed = ranked.withColumns({"r1": F.min("r").over(token), "r2": F.max("r").over(token)}).filter("r1 = r2 and part = first")
     own = Window.partitionBy("host", "klass")
     agreed = agreed.withColumns({"col": F.row_number().over(own.orderBy("place")) - 1, "size": F.count("*").over(own)}).filter(F.col("size") >= min_size)
     template = agreed.groupBy("host", "groups").agg(F.collect_list(F.struct("token", "place", (F.col("total") != F.col("on")).alias("repeats"), "klass", F.col("col").cast("long").alias("col"), "size")).alias("template"))
