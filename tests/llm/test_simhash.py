@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from recollect.llm.simhash import compare, distinct_features, drop_near_duplicates, fingerprints, near_duplicates
+from recollect.llm.simhash import candidates, compare, compare_part, distinct_features, drop_near_duplicates, fingerprints, near_duplicates, parts
 
 from .conftest import DOCS, prose
 
@@ -123,3 +123,46 @@ def test_appended_text_is_near_whenever_the_radius_says_so(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
     got = {r["doc_id"]: r["kept_doc_id"] for r in near_duplicates(docs, tile_rows=16).collect()}
     assert len(near) > 50 and got == brute_groups(prints, list(range(len(texts)))) and all(got[i] == k for i, k in near.items())
+
+
+def test_parts_lose_no_pair_and_meet_few():
+    """Part by part as by comparing all: at the very radius, with the bits that differ spread so that few parts are near. And at a share of the pairs."""
+    rng = np.random.default_rng(11)
+    n = 3000
+    f = rng.integers(0, 1 << 63, (n, 4)).astype(np.uint64) * np.uint64(2)
+    for radius in (54, 30, 3, 0):
+        for by in {parts(1 << 20, radius), parts(100_000, radius)}:
+            assert sum(r + 1 for _, _, r in by) == radius + 1 and by[-1][0] + by[-1][1] <= 256 and [s for s, _, _ in by[1:]] == [s + w for s, w, _ in by[:-1]]
+            b = np.unpackbits(f.view(np.uint8), axis=1, bitorder="little")
+            for i in range(0, n, 3):
+                # one more than a part's radius in each part but one
+                last, off = rng.integers(len(by)), []
+                for k, (s, w, r) in enumerate(by):
+                    off += (s + rng.permutation(w)[: r + (k != last)]).tolist()
+                b[i + 1] = b[i]
+                b[i + 1, off] ^= 1
+                b[i + 2] = b[i + 1]
+                b[i + 2, [x for x in range(256) if x not in off][0]] ^= 1
+            g = np.packbits(b, axis=1, bitorder="little").view(np.uint64)
+            for same, x, y in ((True, g, g), (False, g[: n // 2 + 1], g[n // 2 + 1 :])):
+                want = {(min(p), max(p)) if same else p for p in zip(*(v.tolist() for v in compare(x, y, radius, same)))}
+                hits = [p for part in by for i, j in compare_part(x, y, part, radius, same) for p in zip(i.tolist(), j.tolist())]
+                assert {(min(p), max(p)) if same else p for p in hits} == want and (not same or len(want) >= n // 3)
+    x = rng.integers(0, 1 << 63, (20_000, 4)).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, (20_000, 4)).astype(np.uint64)
+    met = sum((at.stop - at.start) * len(rows) for part in parts(1 << 20) for at, rows, *_ in candidates(x, x, part, True))
+    assert met < 0.15 * 20_000**2 / 2
+
+
+def test_groups_by_parts(spark, monkeypatch):
+    """The job on tiles that are compared part by part, in several tasks, gives the groups of brute force."""
+    from recollect.llm import simhash
+
+    by = parts(1 << 20)
+    monkeypatch.setattr(simhash, "parts", lambda n, radius: by)
+    monkeypatch.setattr(simhash, "HITS_AT_ONCE", 50)
+    texts = corpus(random.Random(4))
+    f, n = distinct_features(pa.array(texts))
+    want = brute_groups(fingerprints(f, np.cumsum(n) - n), list(range(len(texts))))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    for rows in (40, None):
+        assert {r["doc_id"]: r["kept_doc_id"] for r in near_duplicates(docs, tile_rows=rows).collect()} == want
