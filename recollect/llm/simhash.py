@@ -38,8 +38,8 @@ from recollect.llm.components import components
 
 BITS = 256
 RADIUS = 54
-#: Rows of a tile: two fit a Python worker's memory.
-TILE_ROWS = 1 << 20
+#: Rows of a tile: two, with what comparing them takes, fit a Python worker of a few hundred MB.
+TILE_ROWS = 3 << 18
 #: Tile pairs are cut by parts into so many tasks, or as many parts as there are.
 TASKS = 96
 BLOCK_ROWS = 512

@@ -44,3 +44,22 @@ def test_stages_take_effect(spark, tmp_path):
 
 def test_contract():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_dedup_goes_by_parts(spark, monkeypatch):
+    """At the tables' sizes of some GB the stage compares by parts, a share of all pairs, and keeps the same rows."""
+    from math import comb
+
+    from recollect.llm import simhash
+
+    for n in (200_000, simhash.TILE_ROWS):
+        by = simhash.parts(n)
+        assert by and sum(sum(comb(w, k) for k in range(r + 1)) / 2**w for _, w, r in by) < 0.15
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.randint(40, 120)), "en", "a", 0) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " tail", "en", "b", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    whole = sorted(r["doc_id"] for r in stage(spark, docs, "").collect())
+    monkeypatch.setattr(simhash, "parts", lambda n, radius: by)
+    assert sorted(r["doc_id"] for r in stage(spark, docs, "").collect()) == whole and len(whole) < len(rows)
