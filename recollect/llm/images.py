@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.common import checkpointed, need, table
+from recollect.llm.components import components
 
 SCALES = (1.0, 0.7071067811865476, 0.5)
 PATCH = 15
@@ -221,6 +222,11 @@ def _word(t: int, prefix: str) -> Column:
     return word.bitwiseAND(F.lit((1 << WORD) - 1))
 
 
+def _whole(images: DataFrame) -> DataFrame:
+    """The images that have an id and as many pixels as their sides say."""
+    return need(images, "image_id", "width", "height", "pixels").filter("image_id is not null and pixels is not null and width > 0 and height > 0 and length(pixels) = width * height")
+
+
 def find_copies(images: DataFrame, radius: int = RADIUS, min_inliers: int = MIN_INLIERS) -> DataFrame:
     """(image_id, copy_id, inliers, identical): pairs, image_id the smaller, of which one is a copy of the other.
 
@@ -238,7 +244,7 @@ def find_copies(images: DataFrame, radius: int = RADIUS, min_inliers: int = MIN_
     The search is approximate (see the module's head): a match at the full radius is
     met with a probability of 0.93, and a copy needs ``min_inliers`` of its matches.
     """
-    whole = need(images, "image_id", "width", "height", "pixels").filter("image_id is not null and pixels is not null and width > 0 and height > 0 and length(pixels) = width * height")
+    whole = _whole(images)
     prints = checkpointed(whole.select("image_id", F.xxhash64("width", "height", "pixels").alias("p0"), F.md5("pixels").alias("p1")))
     groups = prints.groupBy("p0", "p1").agg(F.min("image_id").alias("first"))
     same = prints.join(groups, ["p0", "p1"]).filter("image_id <> first").select(F.col("first").alias("image_id"), F.col("image_id").alias("copy_id"), F.lit(None).cast("long").alias("inliers"), F.lit(True).alias("identical")).distinct()
@@ -279,6 +285,33 @@ def find_copies(images: DataFrame, radius: int = RADIUS, min_inliers: int = MIN_
     return near.withColumn("identical", F.lit(False)).unionByName(same)
 
 
+def copy_classes(images: DataFrame, **parameters) -> DataFrame:
+    """(image_id, class_id, links), a row for each image: its class of copies, and how many other images it is paired with.
+
+    Classes are the connected components of ``find_copies``' pairs, named by their
+    smallest id; an image without a copy is alone in its own. ``links`` counts
+    the images that are identical to it or a copy of it, and those identical to
+    these: as many pairs as ``find_copies`` would have if identical images weren't
+    folded. So the rows grow with the images, whatever the size of a class.
+
+    What ``find_copies`` leaves out has no row. Repeated rows of an id are one
+    image; an id of several pictures has the links of all of them.
+    """
+    pairs = checkpointed(find_copies(images, **parameters))
+    classes = components(pairs.select(F.col("copy_id").alias("src"), F.col("image_id").alias("dst")))
+    same = pairs.filter("identical").select("image_id", "copy_id")
+    more = same.groupBy("image_id").agg(F.count("*").alias("n"))
+    near = pairs.filter("not identical").select("image_id", "copy_id")
+    both = near.unionByName(near.select(F.col("copy_id").alias("image_id"), F.col("image_id").alias("copy_id")))
+    seen = both.join(more.select(F.col("image_id").alias("copy_id"), "n"), "copy_id", "left").select("image_id", (F.lit(1) + F.coalesce("n", F.lit(0))).alias("n"))
+    first = seen.unionByName(more).groupBy("image_id").agg(F.sum("n").alias("n"))
+    # an identical image sees what the first of its group sees, that one in its own stead
+    links = first.unionByName(same.join(first, "image_id").select(F.col("copy_id").alias("image_id"), "n")).groupBy("image_id").agg(F.sum("n").alias("links"))
+    every = _whole(images).select("image_id").distinct()
+    found = every.join(classes, every["image_id"] == classes["node"], "left").drop("node").join(links, "image_id", "left")
+    return found.select("image_id", F.coalesce("root", "image_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def embedding_thumbnails(embeddings: DataFrame, cell: int = 8) -> DataFrame:
     """Images (image_id, width, height, pixels) from vectors whose length is a square: each value a square of ``cell`` pixels, the range stretched to 0..255.
 
@@ -303,5 +336,5 @@ def embedding_thumbnails(embeddings: DataFrame, cell: int = 8) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Copies among the thumbnails of all embeddings (the test tables hold no other images)."""
-    return find_copies(embedding_thumbnails(table(spark, sf_dir, "embeddings")))
+    """Classes of copies among the thumbnails of all embeddings (the test tables hold no other images)."""
+    return copy_classes(embedding_thumbnails(table(spark, sf_dir, "embeddings")))

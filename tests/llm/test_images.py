@@ -1,6 +1,6 @@
 import numpy as np
 
-from recollect.llm.images import MIN_INLIERS, RADIUS, TABLES, WORD, _resize, consensus, describe, descriptors, embedding_thumbnails, find_copies
+from recollect.llm.images import MIN_INLIERS, RADIUS, TABLES, WORD, _resize, consensus, copy_classes, describe, descriptors, embedding_thumbnails, find_copies
 
 SCHEMA = "image_id long, width int, height int, pixels binary, t int, word long"
 
@@ -132,3 +132,41 @@ def test_edges(spark):
     assert find_copies(df.limit(0)).count() == 0
     e = spark.createDataFrame([(1, [0.1] * 64), (2, None), (3, [1.0, None] * 32), (4, [1.0, 2.0])], "vec_id long, embedding array<double>")
     assert [r["image_id"] for r in embedding_thumbnails(e).collect()] == [1]
+
+
+def test_classes_have_a_row_an_image_and_lose_no_link(spark):
+    """Against the pairs written out: groups of edited and of identical copies, and images alone."""
+    rng = np.random.default_rng(12)
+    rows = [row(90, scene(rng)), row(91, scene(rng)), (92, None, 4, b"abcd", 1, 2), (None, 4, 4, b"x" * 16, 1, 2)]
+    for k in range(2):
+        s = scene(rng)
+        rows += [row(10 * k + n, s + rng.normal(0, 3, s.shape)) for n in range(6)]
+        rows += [(10 * k + 7, *rows[-1][1:]), (10 * k + 8, *rows[-1][1:]), (10 * k + 9, *rows[-3][1:])]
+    rows += [rows[0], rows[6]]
+    images = spark.createDataFrame(rows, SCHEMA)
+    pixels = {r[0]: r[1:4] for r in rows}
+    ids = sorted(i for i in pixels if i is not None and i != 92)
+    near = {frozenset((r["image_id"], r["copy_id"])) for r in find_copies(images).filter("not identical").collect()}
+    first = {i: min(j for j in ids if pixels[j] == pixels[i]) for i in ids}
+    links = {i: {j for j in ids if j != i and (first[i] == first[j] or frozenset((first[i], first[j])) in near)} for i in ids}
+    name = {i: i for i in ids}
+    for _ in ids:
+        name = {i: min([name[i], *(name[j] for j in links[i])]) for i in ids}
+    got = [(r["image_id"], r["class_id"], r["links"]) for r in copy_classes(images).collect()]
+    assert sorted(got) == [(i, name[i], len(links[i])) for i in ids]
+    assert {name[i] for i in ids} == {0, 10, 90, 91} and sum(map(len, links.values())) > 100
+    assert copy_classes(images.limit(0)).count() == 0
+
+
+def test_rows_of_the_query_grow_with_the_images(spark, tmp_path):
+    """A query over copies of one picture, each with a spot changed, returns a row an image, not a row a pair."""
+    from recollect.llm.images import query
+
+    rng = np.random.default_rng(13)
+    v = rng.random(64)
+    for n in (8, 16):
+        e = [(i, [float(x + (0.02 * rng.random() if k == i else 0)) for k, x in enumerate(v)]) for i in range(n)]
+        (tmp_path / str(n)).mkdir()
+        spark.createDataFrame(e, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        got = query(spark, f"{tmp_path}/{n}").collect()
+        assert sorted(r["image_id"] for r in got) == list(range(n)) and {r["class_id"] for r in got} == {0} and all(r["links"] >= n // 2 for r in got)
