@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.functions.text import content_hash, has_sensitive, redact
+from recollect.functions.text import content_hash, has_sensitive, redact, trim_spaces
 from recollect.functions.vector import norm, unit_cosine
 
 
@@ -83,10 +83,11 @@ def accept_lessons(proposals: DataFrame, rules: DataFrame, by: tuple[str, ...] =
     return fresh.groupBy(*by).agg(kept.alias("kept")).select(*by, F.explode("kept").alias("x")).select(*by, "x.source_id", "x.pos", "x.statement")
 
 
-def capture(rows: DataFrame, by: str = "user_id", order: str = "seq", text: str = "text") -> DataFrame:
-    """Texts as they would be stored: trimmed, not empty, the first of equal ones, secrets hidden."""
-    clean = rows.withColumn("__t", F.trim(text)).filter("__t <> ''").withColumn("text_hash", content_hash(F.col("__t")))
-    first = F.row_number().over(Window.partitionBy(by, "text_hash").orderBy(order))
+def capture(rows: DataFrame, by: str = "user_id", order: str = "seq", text: str = "text", blank: bool = False) -> DataFrame:
+    """Texts as they would be stored: trimmed, the first of equal ones, secrets hidden; empty and null ones only if ``blank``."""
+    clean = rows.withColumn("__t", trim_spaces(F.col(text)))
+    clean = (clean if blank else clean.filter("__t <> ''")).withColumn("text_hash", content_hash(F.col("__t")))
+    first = F.row_number().over(Window.partitionBy(by, "text_hash").orderBy(F.asc_nulls_last(order)))
     kept = clean.withColumn("__r", first).filter("__r = 1")
     return kept.select(by, order, redact(F.col("__t")).alias("content"), "text_hash", has_sensitive(F.col("__t")).alias("redacted"))
 
