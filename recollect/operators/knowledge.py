@@ -57,10 +57,15 @@ def injectable(rules: DataFrame, least: float) -> DataFrame:
 
 
 def rules_prompt(rules: DataFrame) -> DataFrame:
-    """One text of all active rules, in order of id."""
-    line = F.format_string("- %s (confidence=%.2f)", F.col("rule"), F.col("confidence"))
+    """One text of all active rules, in order of id; null without any.
+
+    The confidence is rounded from its binary value, as C and Python do it; format_string
+    would round the decimal digits that are shown (0.305 to 0.31).
+    """
+    line = F.concat(F.lit("- "), F.col("rule"), F.lit(" (confidence="), F.call_function("format_number", F.col("confidence"), F.lit("0.00")), F.lit(")"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("rule_id", line.alias("line")))), lambda x: x["line"])
-    return rules.filter(~F.col("deprecated")).agg(F.concat(F.lit("<procedural_rules>\n"), F.array_join(lines, "\n"), F.lit("\n</procedural_rules>")).alias("prompt"))
+    prompt = F.concat(F.lit("<procedural_rules>\n"), F.array_join(lines, "\n"), F.lit("\n</procedural_rules>"))
+    return rules.filter(~F.col("deprecated")).agg(F.when(F.count("*") > 0, prompt).alias("prompt"))
 
 
 def namespace_stats(rows: DataFrame, namespace: str, confidence: Column, topic: Column, order: str, floor: float = 0.0) -> DataFrame:

@@ -235,7 +235,7 @@ class Memory:
         return out if include_deprecated else out.filter("not deprecated")
 
     def rules_prompt(self, user_id: str) -> str:
-        return knowledge.rules_prompt(self.rules(user_id)).first()["prompt"]
+        return knowledge.rules_prompt(self.rules(user_id)).first()["prompt"] or ""
 
     def add_causal_edge(self, cause: str, effect: str, relation="causes", confidence=0.5, user_id: str = "default") -> None:
         self._append("causal", [{"cause": cause, "effect": effect, "relation": relation, "confidence": confidence, "user_id": user_id}])
