@@ -6,19 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import content_hash, has_sensitive, redact, trim_spaces
-from recollect.functions.vector import norm, unit_cosine
+from recollect.operators.nearest import best_in_tiles
 
 
 def zettel_links(entries: DataFrame, existing: DataFrame | None = None, threshold: float = 0.3, most: int = 5) -> DataFrame:
     """(source_id, target_id, score): each entry (id, vector, user_id) to its best ``most`` others of the same user, in both directions.
 
     Twice as many are fetched; links that exist already are taken out of them
-    before the best are kept. The pairs of a user come from one equi-join.
+    before the best are kept. All pairs of a user are scored, in tiles.
     """
-    e = entries.withColumn("__n", norm(F.col("vector"))).filter("__n > 0")
-    o = e.select("user_id", F.col("id").alias("target_id"), F.col("vector").alias("__v"), F.col("__n").alias("__m"))
-    pairs = e.join(o, "user_id").filter(F.col("id") != F.col("target_id"))
-    scored = pairs.select(F.col("id").alias("source_id"), "target_id", F.round(unit_cosine(F.col("vector"), F.col("__n"), F.col("__v"), F.col("__m")), 9).alias("score")).filter(F.col("score") >= threshold)
+    q = entries.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"), "user_id")
+    scored = best_in_tiles(q, entries, 2 * most - 1, threshold, "user_id").select(F.col("query_id").alias("source_id"), F.col("id").alias("target_id"), "score")
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "target_id"))
     # of twice as many hits one is the entry itself
     near = scored.withColumn("__r", rank).filter(F.col("__r") <= 2 * most - 1).drop("__r")
