@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import lemmas, tokenize
-from recollect.functions.vector import buckets, cosine, norm, unit_cosine
+from recollect.functions.vector import buckets, norm, unit_cosine
+from recollect.operators.nearest import best_in_tiles
 from recollect.plans.session import small_side
 
 K1, B = 1.5, 0.75
@@ -45,14 +46,15 @@ def approximate_top_k(entries: DataFrame, queries: DataFrame, k: int = 10, thres
     """``vector_top_k`` among the entries that share a bucket of random hyperplanes with the query, instead of all.
 
     At the defaults a pair with a cosine of 0.9 shares a bucket with a probability of
-    0.999, one of 0.8 of 0.98. The scan is replaced by an equi-join on the bucket;
-    store the buckets with the entries where they are searched more than once.
+    0.999, one of 0.8 of 0.98. The pairs of a bucket are scored in tiles, and only the
+    best of a query leave a tile: what is shuffled is each vector once a table (and tile
+    of the other side), and ``k`` rows a query and table.
     """
     e = entries.select("id", "vector", F.explode(buckets(F.col("vector"), tables, bits)).alias("__b"))
     q = queries.select("query_id", "query_vector", F.explode(buckets(F.col("query_vector"), tables, bits)).alias("__b"))
-    met = e.join(q, "__b").groupBy("query_id", "id").agg(F.any_value("vector").alias("v"), F.any_value("query_vector").alias("w"))
-    scored = met.select("query_id", "id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine(F.col("v"), F.col("w")))), 9).alias("score"))
-    return top_k(scored.filter(F.col("score") >= threshold), k, ["query_id"])
+    scored = best_in_tiles(q, e, k, threshold, "__b", same=True)
+    # a pair has the same score in each of its buckets
+    return top_k(scored.withColumn("score", F.greatest(F.lit(0.0), "score")).distinct(), k, ["query_id"])
 
 
 def hydrate(hits: DataFrame, rows: DataFrame, threshold: float = 0.1, k: int = 5) -> DataFrame:
