@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from recollect.functions.entity_words import GENERIC, PARTICLES, PLACES, SURNAMES
 from recollect.functions.text import normalize
-from recollect.functions.vector import buckets, cosine
+from recollect.functions.vector import cosine
+from recollect.operators.nearest import best_in_tiles
 from recollect.plans.session import checkpointed, small_side
 
 _PRIORITY = {kind: n for n, kind in enumerate(("IDENTIFIER", "TOPIC", "QUOTED", "PROPER"))}
@@ -86,21 +87,18 @@ def search_entities(entities: DataFrame, queries: DataFrame, k: int = 10) -> Dat
     return top_k(entities.crossJoin(small_side(queries)).select("query_id", "id", F.round(score, 9).alias("score")).filter("score is not null"), k, ["query_id"])
 
 
-def match_entities(new: DataFrame, known: DataFrame, least: float = 0.95, tables: int = 16, bits: int = 8) -> DataFrame:
+def match_entities(new: DataFrame, known: DataFrame, least: float = 0.95) -> DataFrame:
     """(key, id, how) for new entities (key, text, vector) among known (id, text, vector) of equal name, else of the best cosine of at least ``least``; how is new without one.
 
-    Equal names are an equi-join; only what is left is compared by vector, and only
-    with what shares one of ``tables`` buckets of ``bits`` random hyperplanes. Two
-    vectors at a cosine of 0.95 share one with a probability of 0.9999 (more bits for
-    more entities); the cosine itself is exact.
+    Equal names are an equi-join; only what is left is compared by vector, with every
+    known one, in tiles.
     """
     n = new.withColumn("__k", normalize(F.col("text")))
     k = known.select(F.col("id"), normalize(F.col("text")).alias("__k"), F.col("vector").alias("__v"))
     exact = n.join(k.groupBy("__k").agg(F.min("id").alias("id")), "__k").select("key", "id", F.lit("exact").alias("how"))
-    rest = n.join(exact.select("key"), "key", "left_anti").select("key", "vector", F.explode(buckets(F.col("vector"), tables, bits)).alias("__b"))
-    there = k.select("id", "__v", F.explode(buckets(F.col("__v"), tables, bits)).alias("__b"))
-    sim = rest.join(there, "__b").select("key", "id", F.round(cosine(F.col("vector"), F.col("__v")), 9).alias("s")).filter(F.col("s") >= least)
-    best = sim.groupBy("key").agg(F.min(F.struct((-F.col("s")).alias("s"), "id")).alias("b")).select("key", "b.id", F.lit("similar").alias("how"))
+    rest = n.join(exact.select("key"), "key", "left_anti").select(F.col("key").alias("query_id"), F.col("vector").alias("query_vector"))
+    sim = best_in_tiles(rest, k.select("id", F.col("__v").alias("vector")), 1, least, same=True)
+    best = sim.groupBy(F.col("query_id").alias("key")).agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b")).select("key", "b.id", F.lit("similar").alias("how"))
     found = exact.unionByName(best)
     return new.select("key").join(found, "key", "left").select("key", "id", F.coalesce("how", F.lit("new")).alias("how"))
 
