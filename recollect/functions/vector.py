@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from recollect.functions.text import tokenize
 
 DIMENSION = 128
+#: Words that are embedded at a time.
+SLICE = 200_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,8 +51,14 @@ def hash_embed(text: Column, dimension: int = DIMENSION) -> Column:
     def embed(tokens: pa.Array) -> pa.Array:
         if isinstance(tokens, pa.ChunkedArray):
             tokens = tokens.combine_chunks()
-        n = len(tokens)
         size = tokens.value_lengths().fill_null(0).to_numpy()
+        # about SLICE words at a time, whose places and counts are what stands in memory
+        part = (np.cumsum(size) - size) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(tokens)]
+        return pa.concat_arrays([one(tokens.slice(a, b - a), size[a:b]) for a, b in zip(cuts, cuts[1:])])
+
+    def one(tokens: pa.Array, size: np.ndarray) -> pa.Array:
+        n = len(tokens)
         words = tokens.flatten().dictionary_encode()
         place = np.array([hashlib.md5(t.encode("utf-8")).digest()[-1] % dimension for t in words.dictionary.to_pylist()], dtype=np.int64)
         cell = np.repeat(np.arange(n), size) * dimension + place[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
