@@ -76,8 +76,23 @@ def postings(docs: DataFrame, words: Column) -> DataFrame:
     return rows.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
 
 
+def term_counts(docs: DataFrame, words: Column) -> DataFrame:
+    """(term, df, tf) of (id, text): how many ids have the term, and how often; what ``postings`` gives, summed by term.
+
+    Where no id is repeated, a document's own counts are added up before the shuffle,
+    which then has a row a term and task instead of one a term and document.
+    """
+    if not docs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        rows = docs.select("id", F.explode_outer(words).alias("term")).filter("term is not null")
+        return rows.groupBy("term", "id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+    d = docs.select(words.alias("words"))
+    both = d.select(F.explode(F.array(F.struct(F.lit(0).alias("df"), "words"), F.struct(F.lit(1).alias("df"), F.array_distinct("words").alias("words")))).alias("x"))
+    rows = both.select("x.df", F.explode_outer("x.words").alias("term")).filter("term is not null")
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum(1 - F.col("df")).alias("tf"))
+
+
 def delete_postings(index: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """The inverted index without the documents of the ids; without ids it is cleared."""
+    """The inverted index, or the documents that it is made of, without those of the ids; without ids it is cleared."""
     return index.limit(0) if ids is None else index.join(ids.select("id"), "id", "left_anti").select(index.columns)
 
 
