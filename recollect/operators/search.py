@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from recollect.functions.text import lemmas, tokenize
 from recollect.functions.vector import buckets, norm, unit_cosine
 from recollect.operators.nearest import best_in_tiles
-from recollect.plans.session import small_side
+from recollect.plans.session import checkpointed, small_side
 
 K1, B = 1.5, 0.75
 
@@ -99,20 +99,29 @@ def delete_postings(index: DataFrame, ids: DataFrame | None = None) -> DataFrame
 def bm25(docs: DataFrame, queries: DataFrame, lemmatized: bool = True, k1: float = K1, b: float = B, by: list[str] | None = None) -> DataFrame:
     """BM25 of (id, text[, by...]) for every query (query_id, query); rows above 0.
 
-    Only terms of queries leave the scan: documents keep the query terms' counts,
-    not their words, before anything is shuffled. A term repeated in a query counts
-    as often. ``by`` names columns (a tenant) with statistics of their own; then
+    Texts are read and cut into words once. Only terms of queries leave the scan:
+    documents keep the query terms' counts, not their words, before anything is
+    shuffled. A term repeated in a query counts as often. ``by`` names columns (a tenant) with statistics of their own; then
     queries carry them, too.
     """
     by = by or []
     words = lemmas if lemmatized else tokenize
-    d = docs.select("id", *by, words(F.col("text")).alias("words"))
-    stats = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
     terms = queries.select("query_id", *by, F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", *by, "term").agg(F.count("*").alias("weight"))
-    wanted = small_side(terms.select(*by, "term").distinct())
-    # counted with the words still beside each other: one row a document and query term
-    # (an inner explode would have the words computed once more below it, to filter out documents without any)
-    counts = d.select("id", *by, F.size("words").alias("dl"), F.explode_outer("words").alias("term")).join(wanted, [*by, "term"]).groupBy("id", *by, "dl", "term").agg(F.count("*").alias("f"))
+    wanted = terms.select(*by, "term").distinct()
+    if lemmatized:  # the few words that have the terms as lemmas, instead of the lemmas of all words
+        forms = wanted.select(*by, "term", F.explode(F.array(*[F.concat("term", F.lit(e)) for e in ("", "s", "ed", "ing")])).alias("__w"))
+        wanted = forms.filter(F.element_at(lemmas(F.col("__w")), 1) == F.col("term"))
+    else:
+        wanted = wanted.withColumn("__w", F.col("term"))
+    # one pass over the texts: words are counted while they are still beside each other, and each document has a row
+    # without a term (the null before its words), which the statistics are taken from
+    d = docs.select("id", *by, tokenize(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("__row"))
+    each = d.select("id", *by, "__row", F.size("words").alias("dl"), F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("__w"))
+    # (a null text has no words to count; size says -1 or null then)
+    met = each.join(small_side(wanted), [*by, "__w"], "left").filter("term is not null or __w is null").groupBy("id", *by, "__row", "dl", "term").agg(F.count("*").alias("f"))
+    met = checkpointed(met)
+    stats = met.filter("term is null").groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    counts = met.filter("term is not null").groupBy("id", *by, "dl", "term").agg(F.sum("f").alias("f"))
     df = counts.groupBy(*by, "term").agg(F.count("*").alias("df"))
     scored = counts.join(terms, [*by, "term"]).join(df, [*by, "term"])
     scored = scored.join(stats, by) if by else scored.crossJoin(F.broadcast(stats))
