@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,33 +13,43 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from recollect.functions.text import content_hash
 
 
-def dedup_stream(events: DataFrame, seconds: int = 300, by: str = "user_id", text: str = "text", at: str = "ts", late: str = "10 minutes") -> DataFrame:
+def dedup_stream(events: DataFrame, seconds: int = 300, by: str = "user_id", text: str = "text", at: str = "ts", late: str = "10 minutes", shards: int = 1024) -> DataFrame:
     """Events of which an equal text of the user was accepted no more than ``seconds`` of event time before are left out.
 
     As ``governance.dedup_window``: rejected repeats don't prolong the wait. The state is
     the time of the last accepted row of a text; it goes once the watermark has
     passed the wait. Rows later than the watermark are dropped; those of one batch
-    are taken in order of time.
+    are taken in order of time. A user's text is a key of 16 bytes, and ``shards``
+    groups of keys have a state each: a call of Python a group, not a key.
     """
     names, wait = list(events.columns), seconds * 1_000_000
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held = np.frombuffer(state.get[0], dtype=[("key", "V16"), ("last", "i8")]) if state.exists else None
+        last = dict(zip(map(bytes, held["key"].tolist()), held["last"].tolist())) if held is not None else {}
+        passed = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values("__us", kind="stable")
+            taken = []
+            for k, us in zip(map(bytes, rows["__k"].tolist()), rows["__us"].tolist()):
+                before = last.get(k)
+                taken.append(before is None or us - before > wait)
+                if taken[-1]:
+                    last[k] = us
+            yield rows.loc[np.array(taken), names]
+        last = {k: us for k, us in last.items() if us + wait >= passed}
+        if not last:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values("__us", kind="stable")
-        last = state.get[0] if state.exists else None
-        taken = []
-        for us in rows["__us"].tolist():
-            taken.append(last is None or us - last > wait)
-            if taken[-1]:
-                last = us
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + wait) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield rows.loc[taken, names]
-
-    keyed = events.withWatermark(at, late).withColumns({"__us": F.unix_micros(F.col(at).cast("timestamp")), "__h": content_hash(F.trim(text))})
-    return keyed.groupBy(by, "__h").applyInPandasWithState(keep, events.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+        out = np.zeros(len(last), dtype=[("key", "V16"), ("last", "i8")])
+        out["key"], out["last"] = np.frombuffer(b"".join(last), dtype="V16"), np.fromiter(last.values(), np.int64, len(last))
+        state.update((out.tobytes(),))
+        state.setTimeoutTimestamp(max((min(last.values()) + wait) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+    user = F.coalesce(F.concat(F.lit("+"), F.col(by).cast("string")), F.lit(""))
+    key = F.unhex(F.md5(F.concat(F.coalesce(content_hash(F.trim(text)), F.lit("")), F.lit("|"), user).cast("binary")))
+    keyed = events.withWatermark(at, late).withColumns({"__us": F.unix_micros(F.col(at).cast("timestamp")), "__k": key}).withColumn("__s", F.pmod(F.xxhash64("__k"), F.lit(shards)))
+    return keyed.groupBy("__s").applyInPandasWithState(keep, events.schema, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def access_counts(logs: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
